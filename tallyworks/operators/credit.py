@@ -12,14 +12,14 @@ from tallyworks.session import materialise
 
 def monthly_rate(rate: Column) -> Column:
     """Yearly percent as a monthly fraction with ten decimals."""
-    units = half_up_div((whole(rate, 4) * 1000000).cast("decimal(38,0)"), F.lit(1200).cast("decimal(4,0)") * 1)
+    units = half_up_div((whole(rate, 4) * 1000000).cast("decimal(38,0)"), F.lit(1200).cast("decimal(4,0)"))
     return (units.cast("decimal(20,0)") * F.lit("0.0000000001").cast("decimal(11,10)")).cast(MONTHLY_RATE)
 
 
 def annuity(principal: Column, rate: Column, term: Column) -> Column:
     """Monthly payment. The power is computed in double and kept to ten decimals."""
-    growth = F.pow((F.lit(1) + rate).cast("double"), -term.cast("double")).cast("decimal(38,10)")
-    share = (F.lit(1).cast("decimal(1,0)") - growth).cast("decimal(38,10)")
+    growth = F.pow((F.lit(1) + rate).cast("double"), -term.cast("double")).cast("decimal(11,10)")
+    share = F.lit(1).cast("decimal(1,0)") - growth
     with_interest = cents(half_up_div(whole((principal * rate).cast("decimal(33,12)"), 12), whole(share, 10)))
     flat = cents(half_up_div(whole(principal, 2), term.cast("decimal(10,0)")))
     return F.when(rate == 0, flat).otherwise(with_interest)
