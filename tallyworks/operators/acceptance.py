@@ -9,37 +9,41 @@ rounds over all undecided documents at once:
 - refuse it if some need does not fit after the accepted earlier documents alone.
 
 The earliest undecided document is always decided, so the rounds end, and each decision is
-the one the serial order would take. Rounds carry only undecided documents.
+the one the serial order would take. Rounds carry only undecided documents, and each leaves
+about half of them. Once few enough rows are left for one task, they are served one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.operators.scan import before, chunked
+from tallyworks.operators.scan import Parts, before, chunked
 from tallyworks.session import materialise
 
+TAIL_ROWS = 10_000
+
 
-def accept_in_order(needs: DataFrame) -> DataFrame:
+def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """(seq, accepted) for every document in ``needs``.
 
     ``needs`` has one row per (seq, key): ``need`` and ``stock`` (decimal(14,3)), and
     ``takes``, false for a document that is refused later for other reasons and so leaves
-    the stock as it is.
+    the stock as it is. At most ``tail_rows`` undecided rows are left to one task.
     """
     undecided = F.col("state") == "undecided"
-    live = (
-        chunked(needs.select("seq", "key", "need", "stock", "takes"), "key", ["seq"], "needs")
-        .withColumnRenamed("stock", "left")
-        .withColumn("state", F.lit("undecided"))
-    )
+    nothing = F.lit(0).cast("decimal(14,3)")
+    taken = F.when(F.col("takes"), F.col("need")).otherwise(nothing)
+    parts = chunked(needs.select("seq", "key", "need", "stock", "takes"), "key", ["seq"], "needs")
+    live = parts.rows.withColumnRenamed("stock", "left").withColumn("state", F.lit("undecided"))
     decided: list[DataFrame] = []
-    while True:
-        taken = F.when(F.col("takes"), F.col("need")).otherwise(F.lit(0).cast("decimal(14,3)"))
-        nothing = F.lit(0).cast("decimal(14,3)")
+    waiting = None
+    while waiting is None or waiting > tail_rows:
         scanned = before(
-            live,
+            Parts(live, parts.split),
             "key",
             ["seq"],
             {
@@ -47,9 +51,7 @@ def accept_in_order(needs: DataFrame) -> DataFrame:
                 "_waiting": F.when(undecided, taken).otherwise(nothing),
             },
         )
-        open_rows = scanned.filter(undecided).withColumn(
-            "left", (F.col("left") - F.col("_accepted")).cast("decimal(14,3)")
-        )
+        open_rows = _open_rows(scanned)
         verdicts = open_rows.groupBy("seq").agg(
             F.min(F.col("_waiting") + F.col("need") <= F.col("left")).alias("fits"),
             F.max(F.col("need") > F.col("left")).alias("short"),
@@ -63,10 +65,62 @@ def accept_in_order(needs: DataFrame) -> DataFrame:
         )
         decided.append(judged.filter(~undecided).select("seq", (F.col("state") == "accepted").alias("accepted")))
         live = judged.filter("state <> 'refused'")
-        if judged.filter(undecided).isEmpty():
-            break
+        waiting = judged.filter(undecided).count()
+    if waiting:
+        last = before(
+            Parts(live, parts.split),
+            "key",
+            ["seq"],
+            {"_accepted": F.when(F.col("state") == "accepted", taken).otherwise(nothing)},
+        )
+        rows = _open_rows(last).select(
+            "seq",
+            "key",
+            (F.col("need") * 1000).cast("bigint").alias("need"),
+            (F.col("left") * 1000).cast("bigint").alias("left"),
+            "takes",
+        )
+        one = rows.repartition(1).sortWithinPartitions("seq")
+        decided.append(one.mapInArrow(_serve, "seq bigint, accepted boolean"))
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
     # A document is decided in one round; its rows agree.
     return out.groupBy("seq").agg(F.first("accepted").alias("accepted"))
+
+
+def _open_rows(scanned: DataFrame) -> DataFrame:
+    """Undecided rows, with the stock that the documents accepted before them have left."""
+    return scanned.filter("state = 'undecided'").withColumn(
+        "left", (F.col("left") - F.col("_accepted")).cast("decimal(14,3)")
+    )
+
+
+def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Serve the documents of one sorted partition one by one."""
+    gone: dict[int, int] = {}
+    seqs: list[int] = []
+    answers: list[bool] = []
+    at, items = None, []
+
+    def decide() -> None:
+        fits = all(need + gone.get(key, 0) <= left for key, need, left, _ in items)
+        if fits:
+            for key, need, _, takes in items:
+                if takes:
+                    gone[key] = gone.get(key, 0) + need
+        seqs.append(at)
+        answers.append(fits)
+
+    for batch in batches:
+        for seq, *item in zip(*[column.to_pylist() for column in batch.columns]):
+            if seq != at:
+                if items:
+                    decide()
+                at, items = seq, []
+            items.append(item)
+    if items:
+        decide()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(seqs, pa.int64()), pa.array(answers, pa.bool_())], names=["seq", "accepted"]
+    )

@@ -1,12 +1,11 @@
 """Order-dependent folds per key: each row's result depends on the state the earlier rows left.
 
-Rows are cut into chunks of (key, order) as for running totals (``tallyworks.operators.scan``)
-and each chunk is folded by one task as a stream, so a task never holds a whole key. A key
-inside one chunk starts from its opening state. For a key that spans chunks, all its chunks
-are folded at the same time from guessed starts; the guesses are then checked against the
-ends of the chunks before them, and only chunks whose start was wrong are folded again. The
-first wrong chunk of a key always gets its exact start, so every pass settles at least one
-more chunk of every key and the result is exact.
+Rows are folded as a stream of sorted rows, so a task holds one Arrow batch at a time. Keys
+beyond the split limit are cut into chunks as for running totals (``tallyworks.operators.scan``).
+All chunks of such a key are folded at the same time from guessed starts; the guesses are then
+checked against the ends of the chunks before them, and only chunks whose start was wrong are
+folded again. The first wrong chunk of a key always gets its exact start, so every pass settles
+at least one more chunk of every key and the result is exact.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.operators.scan import chunked
+from tallyworks.operators.scan import Parts, chunked
 
 
 @dataclass(frozen=True)
@@ -46,44 +45,39 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
     fold's bigint input columns; (key, order) must be unique.
     """
     parts = chunked(rows, key, order, "fold")
-    starts = _chunk_starts(parts, key, order, fold)
-    fields = [*parts.schema.fields, T.StructField("_result", T.LongType()), T.StructField("_state", T.LongType())]
-    if starts:
-        # At most two rows per partition: every chunk has at most two keys that reach beyond it.
-        known = F.broadcast(_start_rows(parts, key, [(k, c, b, s) for (k, c), (b, s) in starts.items()]))
-        parts = (
-            parts.join(known, [key, "_chunk"], "left")
+    ready = parts.rows
+    names = ready.columns
+    if parts.split:
+        starts = _chunk_starts(parts, key, order, fold)
+        # One row per chunk and at most one more per partition: a key that is cut shares its
+        # first and last chunk with neighbours.
+        known = F.broadcast(_start_rows(ready, key, [(k, c, b, s) for (k, c), (b, s) in starts.items()]))
+        ready = (
+            ready.join(known, [key, "_chunk"], "left")
             .withColumn("_base", F.coalesce("_start_base", "_base"))
             .withColumn("_open", F.coalesce("_start", "_open"))
-            .select(*[f.name for f in fields[:-2]])
+            .select(*names)
         )
-    grouped = parts.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", *order)
-    out = grouped.mapInArrow(_stream(key, fold), T.StructType(fields))
+    groups = [key, "_chunk"] if parts.split else [key]
+    added = [T.StructField("_result", T.LongType()), T.StructField("_state", T.LongType())]
+    sorted_rows = ready.repartition(*groups).sortWithinPartitions(*groups, *order)
+    out = sorted_rows.mapInArrow(_stream(key, fold), T.StructType([*ready.schema.fields, *added]))
     return out.drop("_chunk", "_base", "_open")
 
 
-def _start_rows(parts: DataFrame, key: str, values: list[tuple]) -> DataFrame:
-    return parts.sparkSession.createDataFrame(
+def _start_rows(df: DataFrame, key: str, values: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(
         values, T.StructType.fromDDL(f"{key} bigint, _chunk int, _start_base bigint, _start bigint")
     )
 
 
-def _chunk_starts(parts: DataFrame, key: str, order: list[str], fold: Fold) -> dict[tuple, tuple[int, int]]:
-    """Exact (base, state) at the start of every chunk of the keys that span chunks.
+def _chunk_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> dict[tuple, tuple[int, int]]:
+    """Exact (base, state) at the start of every chunk of the cut keys.
 
-    What reaches the driver is one row per (spanning key, chunk): at most twice the number of
-    partitions, however large the data.
+    What reaches the driver is one row per (cut key, chunk): chunks plus cut keys, however
+    many rows there are.
     """
-    ends = parts.groupBy("_chunk").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    seen: dict = {}
-    for row in ends:
-        for k in {row.lo, row.hi}:
-            seen.setdefault(k, set()).add(row["_chunk"])
-    spanning = [k for k, chunks in seen.items() if len(chunks) > 1]
-    if not spanning:
-        return {}
-    keys = parts.sparkSession.createDataFrame([(k,) for k in spanning], f"{key} bigint")
-    shared = parts.join(F.broadcast(keys), key, "left_semi")
+    shared = parts.cut()
     sums = (
         shared.groupBy(key, "_chunk")
         .agg(
@@ -108,7 +102,7 @@ def _chunk_starts(parts: DataFrame, key: str, order: list[str], fold: Fold) -> d
             run = [a + row[f"s_{c}"] for a, c in zip(run, fold.inputs)]
     maps: dict = {at: {} for at in base}
     while True:
-        tries = _start_rows(parts, key, [(k, c, base[k, c], s) for (k, c), s in pending.items()])
+        tries = _start_rows(shared, key, [(k, c, base[k, c], s) for (k, c), s in pending.items()])
         tried = (
             shared.join(F.broadcast(tries), [key, "_chunk"])
             .repartition(key, "_chunk")

@@ -102,8 +102,10 @@ def create_sales(
         "sale-checks",
     )
     candidates = checked.filter(F.col("_code").isNull()).select("doc_id", F.col("_late").isNull().alias("takes"))
+    # An empty page is a row without product.
+    named = by_product.filter(F.col("product_id").isNotNull())
     accepted = accept_in_order(
-        by_product.join(candidates, "doc_id").select(
+        named.join(candidates, "doc_id").select(
             F.col("doc_id").alias("seq"),
             F.col("product_id").alias("key"),
             F.col("need").cast(QUANTITY).alias("need"),
@@ -131,7 +133,7 @@ def create_sales(
     )
     sold_lines = item_lines(pages, SALE_ITEM).join(sold.select("doc_id"), "doc_id", "left_semi")
     items = price_lines(sold_lines, products, finished_inventory).withColumnRenamed("doc_id", "sales_id")
-    issued = by_product.join(sold.select("doc_id"), "doc_id", "left_semi").select(
+    issued = named.join(sold.select("doc_id"), "doc_id", "left_semi").select(
         "product_id", F.col("need").alias("qty")
     )
     cash = post_movements(

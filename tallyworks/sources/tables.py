@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.operators.scan import chunked, chunk_offsets
+from tallyworks.operators.scan import before, chunked
 from tallyworks.schemas import AMOUNTS, TABLES
 
 
@@ -67,18 +67,11 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
 def assign_keys(df: DataFrame, key: str, order: list[str], start: int = 0) -> DataFrame:
     """Number the rows ``start + 1, start + 2, ...`` in the given order, which must be total.
 
-    Rows are range-partitioned by the order; each partition numbers its own rows and adds
-    the row count of the partitions before it, so no task sees more than one partition.
+    All rows form one sequence. Beyond the split limit it is cut into chunks, and each chunk
+    adds the number of rows in the chunks before it.
     """
-    parts = chunked(df.withColumn("_all", F.lit(0)), "_all", order)
-    counted = chunk_offsets(parts, "_all", {"_before": F.count(F.lit(1))})
-    return _number(parts, counted, key, order, start).drop("_all", "_chunk", "_before")
-
-
-def _number(parts: DataFrame, offsets: DataFrame, key: str, order: list[str], start: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("_all", "_chunk").orderBy(*order)
-    return parts.join(offsets, ["_all", "_chunk"]).withColumn(
-        key, F.lit(start) + F.col("_before") + F.row_number().over(within)
+    parts = chunked(df.withColumn("_all", F.lit(0)), "_all", order, "keys")
+    numbered = before(parts, "_all", order, {"_before": F.lit(1)})
+    return numbered.withColumn(key, (F.lit(start + 1) + F.col("_before")).cast("bigint")).drop(
+        "_all", "_chunk", "_before"
     )
