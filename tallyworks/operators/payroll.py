@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,16 @@ FULL_MONTH = 22
 TAX = "0.10"
 
 
-def calculate_payroll(period: str, employees: DataFrame, positions: DataFrame, timesheets: DataFrame) -> DataFrame:
-    """Pay of the active employees for the month of ``period``; no timesheet counts as a full month.
+def calculate_payroll(
+    periods: str | Sequence[str], employees: DataFrame, positions: DataFrame, timesheets: DataFrame
+) -> DataFrame:
+    """Pay of the active employees for the month of each period; no timesheet counts as a full month.
 
     The daily rate is cut after six decimals, as the decimal type of the quotient does.
     """
-    month = month_start(F.lit(period).cast("date"))
-    days = timesheets.filter(F.col("period_month") == month).select(
-        "employee_id", "worked_days", "bonus", "deductions"
+    months = [month_start(F.lit(p).cast("date")) for p in ([periods] if isinstance(periods, str) else periods)]
+    days = timesheets.filter(F.col("period_month").isin(*months)).select(
+        "employee_id", "period_month", "worked_days", "bonus", "deductions"
     )
     micro = F.call_function(
         "div", (whole(F.col("base_salary"), 2) * 10000).cast("decimal(38,0)"), F.lit(FULL_MONTH).cast("decimal(2,0)")
@@ -38,8 +42,9 @@ def calculate_payroll(period: str, employees: DataFrame, positions: DataFrame, t
     return (
         employees.filter("is_active")
         .join(positions.select("position_id", "base_salary"), "position_id")
-        .join(days, "employee_id", "left")
-        .select("employee_id", month.alias("period_month"), gross.alias("gross_salary"))
+        .select("employee_id", "base_salary", F.explode(F.array(*months)).alias("period_month"))
+        .join(days, ["employee_id", "period_month"], "left")
+        .select("employee_id", "period_month", gross.alias("gross_salary"))
         .withColumn("tax_amount", tax)
         .withColumn("net_salary", money(F.round(F.col("gross_salary") - F.col("tax_amount"), 2)))
     )

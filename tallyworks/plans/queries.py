@@ -31,13 +31,11 @@ def query(build: Callable[[StarBooks], DataFrame]) -> Callable[[StarBooks], Data
 
 def _payroll(b: StarBooks) -> DataFrame:
     """Two calculated months; all but one market segment have been paid on the last day of the month."""
-    staff, jobs, days = b.employees(), b.positions(), b.timesheets()
-    first, second = [payroll.calculate_payroll(m, staff, jobs, days) for m in PAYROLL_MONTHS]
+    pay = payroll.calculate_payroll(PAYROLL_MONTHS, b.employees(), b.positions(), b.timesheets())
     released = b.segments().withColumn("_released", F.lit(True))
     paid = F.col("_released").isNotNull()
     return (
-        first.unionByName(second)
-        .join(released, "employee_id", "left")
+        pay.join(released, "employee_id", "left")
         .select(
             "employee_id",
             "period_month",

@@ -192,12 +192,12 @@ def company_kpi_monthly(
         )
         for df in flows.values()
     ]
-    spine = monthly[0].select("month")
+    # Each source gives at most one row per month, so stacking and regrouping them joins them on
+    # the union of their months, and every source is computed once.
+    stacked = monthly[0]
     for m in monthly[1:]:
-        spine = spine.union(m.select("month"))
-    out = spine.distinct()
-    for m in monthly:
-        out = out.join(m, "month", "left")
+        stacked = stacked.unionByName(m, allowMissingColumns=True)
+    out = stacked.groupBy("month").agg(*[F.max(c).alias(c) for c in FLOWS])
     return out.withColumns({c: zero_if_null(F.col(c), TOTAL) for c in FLOWS}).select(
         "month",
         "revenue",

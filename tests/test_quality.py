@@ -10,7 +10,7 @@ from tallyworks.schemas import TABLES
 from tallyworks.sources.tables import rows, schema_of
 
 
-def test_rules_cover_the_declared_tables():
+def test_rules_cover_the_declared_tables(spark):
     assert len(TABLES) == 24
     for (child, column), parent in quality.REFERENCES.items():
         assert column in schema_of(child).fieldNames() and column in schema_of(parent).fieldNames()
