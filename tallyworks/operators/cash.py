@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import MONEY
@@ -18,11 +18,39 @@ def _pay(_base: int, balance: int, amount: int) -> tuple[int, int]:
     return balance, 0
 
 
-def _all_paid(_base: int, opening: int, sums: list[int]) -> int:
-    return max(0, opening + sums[0])
+def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> list[tuple]:
+    """Bounds of the balance at the start of each chunk, without knowing which payments pass.
 
-
-BALANCE = Fold(step=_pay, guess=_all_paid, inputs=("_signed",), delta="_none")
+    After a payment of ``a`` a balance between L and U lies between max(L - a, 0) and
+    max(U - a, a - 1 cent). So each bound is the running sum of all movements plus the
+    highest reset so far, and the bounds are never further apart than the largest payment.
+    """
+    run = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    paying = F.col("_signed") < 0
+    chunks = (
+        rows.withColumn("_run", F.sum("_signed").over(run))
+        .groupBy(key, "_chunk")
+        .agg(
+            F.min("_open").alias("opening"),
+            F.sum("_signed").alias("total"),
+            F.max(F.when(paying, -F.col("_run"))).alias("low"),
+            F.max(F.when(paying, -F.col("_signed") - 1 - F.col("_run"))).alias("high"),
+        )
+        .orderBy(key, "_chunk")
+        .collect()
+    )
+    out, at = [], None
+    for row in chunks:
+        if row[key] != at:
+            at, total, low, high = row[key], 0, row.opening, row.opening
+        out.append((at, row["_chunk"], 0, row.opening, total + low, total + high))
+        if row.low is not None:
+            low, high = max(low, row.low - total), max(high, row.high - total)
+        total += row.total
+    return out
+
+
+BALANCE = Fold(step=_pay, bounds=_balance_bounds, inputs=("_signed",), delta="_none")
 
 
 def signed(direction: Column, amount: Column) -> Column:

@@ -2,10 +2,11 @@
 
 Rows are folded as a stream of sorted rows, so a task holds one Arrow batch at a time. Keys
 beyond the split limit are cut into chunks as for running totals (``tallyworks.operators.scan``).
-All chunks of such a key are folded at the same time from guessed starts; the guesses are then
-checked against the ends of the chunks before them, and only chunks whose start was wrong are
-folded again. The first wrong chunk of a key always gets its exact start, so every pass settles
-at least one more chunk of every key and the result is exact.
+All chunks of such a key are folded at the same time from every start between two bounds; starts
+whose states meet go on as one, so this soon costs little more than a single start. The chunks
+are then linked, start to end. A chunk whose start was not tried is folded again; the first such
+chunk of a key always gets its exact start, so every pass settles at least one more chunk of
+every key and the result is exact.
 """
 
 from __future__ import annotations
@@ -21,21 +22,39 @@ from pyspark.sql import types as T
 from tallyworks.operators.scan import Parts, chunked
 
 
+# Most starts of a chunk that are tried, and most pieces of start-to-end maps that all chunks
+# together send to the driver; the other starts are left to later passes.
+MAX_STARTS = 200_000
+ALL_PIECES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Fold:
     """A fold over whole-number columns.
 
     ``step(base, state, *inputs)`` returns (new state, result). ``base`` is the opening base
     plus the ``delta`` of the earlier rows, a plain running sum that needs no guessing.
-    ``guess(base, state, sums)`` proposes a state from the totals of ``inputs`` so far.
-    ``width`` neighbours on each side of a guess are tried along with it.
+    ``bounds(rows, key, order)`` returns (key, chunk, base, opening state, low, high) in order
+    of key and chunk: the base at the start of the chunk and the starts worth trying.
     """
 
     step: Callable
-    guess: Callable
+    bounds: Callable
     inputs: tuple[str, ...]
     delta: str
-    width: int = 0
+
+
+@dataclass(frozen=True)
+class Piece:
+    """Starts first..last lead to ``end``, or, with slope 1, to ends ascending from it."""
+
+    first: int
+    last: int
+    end: int
+    slope: int
+
+    def at(self, start: int) -> int:
+        return self.end + self.slope * (start - self.first)
 
 
 def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> DataFrame:
@@ -51,11 +70,12 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
         starts = _chunk_starts(parts, key, order, fold)
         # One row per chunk and at most one more per partition: a key that is cut shares its
         # first and last chunk with neighbours.
-        known = F.broadcast(_start_rows(ready, key, [(k, c, b, s) for (k, c), (b, s) in starts.items()]))
+        exact = [(k, c, base, start, start) for (k, c), (base, start) in starts.items()]
+        known = F.broadcast(_start_rows(ready, key, exact))
         ready = (
             ready.join(known, [key, "_chunk"], "left")
             .withColumn("_base", F.coalesce("_start_base", "_base"))
-            .withColumn("_open", F.coalesce("_start", "_open"))
+            .withColumn("_open", F.coalesce("_low", "_open"))
             .select(*names)
         )
     groups = [key, "_chunk"] if parts.split else [key]
@@ -67,7 +87,7 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> Dat
 
 def _start_rows(df: DataFrame, key: str, values: list[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(
-        values, T.StructType.fromDDL(f"{key} bigint, _chunk int, _start_base bigint, _start bigint")
+        values, T.StructType.fromDDL(f"{key} bigint, _chunk int, _start_base bigint, _low bigint, _high bigint")
     )
 
 
@@ -78,50 +98,39 @@ def _chunk_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> dict[
     many rows there are.
     """
     shared = parts.cut()
-    sums = (
-        shared.groupBy(key, "_chunk")
-        .agg(
-            F.min("_base").alias("base"),
-            F.min("_open").alias("open"),
-            F.sum(fold.delta).alias("delta"),
-            *[F.sum(c).alias(f"s_{c}") for c in fold.inputs],
-        )
-        .orderBy(key, "_chunk")
-        .collect()
-    )
     chains: dict = {}
-    for row in sums:
-        chains.setdefault(row[key], []).append(row)
     base, pending = {}, {}
-    for k, chain in chains.items():
-        at, run = chain[0].base, [0] * len(fold.inputs)
-        for row in chain:
-            base[k, row["_chunk"]] = at
-            pending[k, row["_chunk"]] = fold.guess(chain[0].base, chain[0].open, run)
-            at += row.delta
-            run = [a + row[f"s_{c}"] for a, c in zip(run, fold.inputs)]
-    maps: dict = {at: {} for at in base}
+    for k, chunk, at, opening, low, high in fold.bounds(shared, key, order):
+        chains.setdefault(k, (opening, []))[1].append(chunk)
+        base[k, chunk] = at
+        middle = (low + high) // 2
+        pending[k, chunk] = (low, high) if high - low < MAX_STARTS else (middle, middle)
+    maps: dict[tuple, list[Piece]] = {at: [] for at in base}
     while True:
-        tries = _start_rows(shared, key, [(k, c, base[k, c], s) for (k, c), s in pending.items()])
+        tries = _start_rows(shared, key, [(k, c, base[k, c], *span) for (k, c), span in pending.items()])
         tried = (
             shared.join(F.broadcast(tries), [key, "_chunk"])
             .repartition(key, "_chunk")
             .sortWithinPartitions(key, "_chunk", *order)
-            .mapInArrow(_try_starts(key, fold), f"{key} bigint, _chunk int, starts array<bigint>, ends array<bigint>")
+            .mapInArrow(
+                _try_starts(key, fold, ALL_PIECES // len(pending) + 1),
+                f"{key} bigint, _chunk int, pieces array<struct<first:bigint,last:bigint,end:bigint,slope:int>>",
+            )
         )
         for row in tried.collect():
-            maps[row[key], row["_chunk"]].update(zip(row.starts, row.ends))
+            maps[row[key], row["_chunk"]] += [Piece(*p) for p in row.pieces]
         starts, pending = {}, {}
-        for k, chain in chains.items():
-            state = chain[0].open
-            for row in chain:
-                at = (k, row["_chunk"])
+        for k, (state, chunks) in chains.items():
+            for chunk in chunks:
+                at = (k, chunk)
                 starts[at] = (base[at], state)
-                if state in maps[at]:
-                    state = maps[at][state]
+                hit = next((p for p in maps[at] if p.first <= state <= p.last), None)
+                if hit is None:
+                    pending[at] = (state, state)
+                    hit = min(maps[at], key=lambda p: min(abs(p.first - state), abs(p.last - state)))
+                    state = hit.at(min(max(state, hit.first), hit.last))
                 else:
-                    pending[at] = state
-                    state = maps[at][min(maps[at], key=lambda s: abs(s - state))]
+                    state = hit.at(state)
         if not pending:
             return starts
 
@@ -153,30 +162,28 @@ def _stream(key: str, fold: Fold) -> Callable:
     return run
 
 
-def _try_starts(key: str, fold: Fold) -> Callable:
-    """Task function: end state of each chunk for the guessed start and its neighbours."""
-    names = [key, "_chunk", "_start_base", "_start", fold.delta, *fold.inputs]
-    out = pa.schema(
-        [(key, pa.int64()), ("_chunk", pa.int32()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-    )
+def _try_starts(key: str, fold: Fold, most: int) -> Callable:
+    """Task function: map of each chunk from the starts ``_low``..``_high`` to end states."""
+    names = [key, "_chunk", "_start_base", "_low", "_high", fold.delta, *fold.inputs]
+    piece = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("end", pa.int64()), ("slope", pa.int32())])
+    out = pa.schema([(key, pa.int64()), ("_chunk", pa.int32()), ("pieces", pa.list_(piece))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, base, starts, where, states = None, 0, [], [], []
+        # states: distinct current states; where: index of the state of each start
+        at, base, first, where, states = None, 0, 0, [], []
 
         def done() -> pa.RecordBatch:
-            ends = [states[i] for i in where]
-            return pa.RecordBatch.from_pylist(
-                [{key: at[0], "_chunk": at[1], "starts": starts, "ends": ends}], schema=out
-            )
+            pieces = _pieces(first, [states[i] for i in where])[:most]
+            row = {key: at[0], "_chunk": at[1], "pieces": [vars(p) for p in pieces]}
+            return pa.RecordBatch.from_pylist([row], schema=out)
 
         for batch in batches:
-            for k, chunk, base0, start, delta, *args in _columns(batch, names):
+            for k, chunk, base0, low, high, delta, *args in _columns(batch, names):
                 if (k, chunk) != at:
                     if at is not None:
                         yield done()
-                    at, base = (k, chunk), base0
-                    starts = list(range(max(0, start - fold.width), start + fold.width + 1))
-                    states, where = starts, list(range(len(starts)))
+                    at, base, first = (k, chunk), base0, low
+                    states, where = list(range(low, high + 1)), list(range(high - low + 1))
                 states = [fold.step(base, s, *args)[0] for s in states]
                 base += delta
                 if len(states) > 1 and len(set(states)) < len(states):
@@ -188,3 +195,17 @@ def _try_starts(key: str, fold: Fold) -> Callable:
             yield done()
 
     return run
+
+
+def _pieces(first: int, ends: list[int]) -> list[Piece]:
+    """Runs of starts ``first``, ``first + 1``, ... with equal or with ascending ends."""
+    pieces: list[Piece] = []
+    i = 0
+    while i < len(ends):
+        slope = 1 if i + 1 < len(ends) and ends[i + 1] == ends[i] + 1 else 0
+        j = i + 1
+        while j < len(ends) and ends[j] == ends[j - 1] + slope:
+            j += 1
+        pieces.append(Piece(first + i, first + j - 1, ends[i], slope))
+        i = j
+    return pieces

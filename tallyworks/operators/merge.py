@@ -38,12 +38,31 @@ def _average(stock: int, avg: int, qty: int, cost: int) -> tuple[int, int]:
     return after, after
 
 
-def _plain_average(stock: int, avg: int, sums: list[int]) -> int:
-    pool = stock + sums[0]
-    return (stock * avg + sums[1]) // pool if pool else 0
-
-
-AVERAGE = Fold(step=_average, guess=_plain_average, inputs=("_qty", "_cost"), delta="_qty", width=16)
+def _average_bounds(rows: DataFrame, key: str, order: list[str]) -> list[tuple]:
+    """A few cents around the average without rounding at the start of each chunk."""
+    chunks = (
+        rows.groupBy(key, "_chunk")
+        .agg(
+            F.min("_base").alias("stock"),
+            F.min("_open").alias("avg"),
+            F.sum("_qty").alias("qty"),
+            F.sum("_cost").alias("cost"),
+        )
+        .orderBy(key, "_chunk")
+        .collect()
+    )
+    out, at = [], None
+    for row in chunks:
+        if row[key] != at:
+            at, pool, value = row[key], row.stock, row.stock * row.avg
+        near = value // pool if pool else row.avg
+        out.append((at, row["_chunk"], pool, row.avg, max(0, near - NEAR), near + NEAR))
+        pool, value = pool + row.qty, value + row.cost
+    return out
+
+
+NEAR = 16
+AVERAGE = Fold(step=_average, bounds=_average_bounds, inputs=("_qty", "_cost"), delta="_qty")
 
 
 def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[str, DataFrame]:
