@@ -53,8 +53,8 @@ def half_up_div(num: Column, den: Column) -> Column:
 
 
 def cents(units: Column) -> Column:
-    """A whole number of cents as money."""
-    return (units.cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+    """A whole number of cents as money. The product has 18 digits, which Spark keeps in a long."""
+    return (units.cast("decimal(15,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import MONEY
+from tallyworks.functions.money import MONEY, cents
 from tallyworks.operators.fold import Fold, ordered_fold
 from tallyworks.operators.scan import before, chunked
 from tallyworks.session import materialise
@@ -86,7 +86,7 @@ def post_movements(movements: DataFrame, accounts: DataFrame) -> dict[str, DataF
         .withColumn("_open", (F.col("_opening") * 100).cast("bigint"))
     )
     folded = ordered_fold(valid, "account_id", ["seq"], BALANCE)
-    balance = (F.col("_state").cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+    balance = cents(F.col("_state"))
     columns = movements.columns
     posted = folded.select(
         *columns,

@@ -35,20 +35,27 @@ def build_schedule(loans: DataFrame) -> DataFrame:
         "_payment", annuity(F.col("principal_amount"), F.col("_rate"), F.col("term_months"))
     )
     row = "struct<installment_no:int,principal_due:decimal(14,2),interest_due:decimal(14,2)>"
+    def interest_on(remaining: Column) -> Column:
+        return money(F.round(remaining * F.col("_rate"), 2))
+
+    # The interest of the coming month travels in the state, so it is computed once per month.
     start = F.struct(
-        money(F.col("principal_amount")).alias("remaining"), F.array().cast(f"array<{row}>").alias("rows")
+        money(F.col("principal_amount")).alias("remaining"),
+        interest_on(F.col("principal_amount")).alias("interest"),
+        F.array().cast(f"array<{row}>").alias("rows"),
     )
 
     def month(state: Column, no: Column) -> Column:
         remaining = state["remaining"]
-        interest = money(F.round(remaining * F.col("_rate"), 2))
-        part = money(F.col("_payment") - interest)
+        part = money(F.col("_payment") - state["interest"])
         principal = F.when((no == F.col("term_months")) | (part > remaining), remaining).otherwise(part)
+        after = money(remaining - principal)
         entry = F.struct(
-            no.alias("installment_no"), principal.alias("principal_due"), interest.alias("interest_due")
+            no.alias("installment_no"), principal.alias("principal_due"), state["interest"].alias("interest_due")
         )
         return F.struct(
-            money(remaining - principal).alias("remaining"),
+            after.alias("remaining"),
+            interest_on(after).alias("interest"),
             F.array_append(state["rows"], entry).cast(f"array<{row}>").alias("rows"),
         )
 

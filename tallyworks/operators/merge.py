@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import MONEY, QUANTITY, moving_avg_cost, zero_if_null
+from tallyworks.functions.money import MONEY, QUANTITY, cents, moving_avg_cost, zero_if_null
 from tallyworks.operators.fold import Fold, ordered_fold
 from tallyworks.session import materialise
 
@@ -83,7 +83,7 @@ def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[
         .withColumn("_qty", (F.col("qty") * 1000).cast("bigint"))
         .withColumn("_cost", (F.col("total_cost") * 100000).cast("bigint"))
     )
-    avg = (F.col("_state").cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+    avg = cents(F.col("_state"))
     folded = materialise(
         ordered_fold(rows, key, ["seq"], AVERAGE).select(*receipts.columns, avg.alias("avg_cost_after")), "receipts"
     )

@@ -11,7 +11,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import cents, half_up_div, money, month_start, quantity, total, whole
+from tallyworks.functions.money import cents, money, month_start, quantity, total
 
 # Schemas of the star-schema tables that the mappings read.
 STAR: dict[str, str] = {
@@ -332,6 +332,7 @@ class StarBooks:
 
 
 def unit_price() -> Column:
-    """Extended price per unit of a line, rounded half up to cents."""
-    ext = whole(money(F.col("l_extendedprice")), 2)
-    return cents(half_up_div(ext, F.col("l_quantity").cast("decimal(14,0)")))
+    """Extended price per unit of a line, rounded half up to cents, in whole-number arithmetic."""
+    ext = (money(F.col("l_extendedprice")) * 100).cast("bigint")
+    units = F.col("l_quantity").cast("bigint")
+    return cents(F.call_function("div", 2 * ext + units, F.when(units != 0, 2 * units)))

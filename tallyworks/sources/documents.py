@@ -23,11 +23,14 @@ def is_bad_json(text: Column, item: str) -> Column:
 
 def page_lines(pages: DataFrame, item: str) -> DataFrame:
     """(doc_id, bad_json, item) rows: one per item, and one with a null item for a page without any."""
-    parsed = F.from_json("items_json", f"array<struct<{item}>>")
-    return pages.select(
+    parsed = pages.select(
+        "doc_id", "items_json", F.from_json("items_json", f"array<struct<{item}>>").alias("items")
+    )
+    # Two uses of the parsed column, so that Spark parses once and keeps the projections apart.
+    return parsed.select(
         "doc_id",
-        is_bad_json(F.col("items_json"), item).alias("bad_json"),
-        F.explode_outer(parsed).alias("item"),
+        (F.col("items_json").isNotNull() & F.col("items").isNull()).alias("bad_json"),
+        F.explode_outer("items").alias("item"),
     )
 
 
