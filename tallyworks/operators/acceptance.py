@@ -37,7 +37,8 @@ def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
     undecided = F.col("state") == "undecided"
     nothing = F.lit(0).cast("decimal(14,3)")
     taken = F.when(F.col("takes"), F.col("need")).otherwise(nothing)
-    parts = chunked(needs.select("seq", "key", "need", "stock", "takes"), "key", ["seq"], "needs")
+    claims = materialise(needs.select("seq", "key", "need", "stock", "takes"), "claims")
+    parts = chunked(claims, "key", ["seq"], "needs")
     live = parts.rows.withColumnRenamed("stock", "left").withColumn("state", F.lit("undecided"))
     decided: list[DataFrame] = []
     waiting = None

@@ -85,7 +85,7 @@ def post_movements(movements: DataFrame, accounts: DataFrame) -> dict[str, DataF
         .withColumn("_base", F.lit(0).cast("bigint"))
         .withColumn("_open", (F.col("_opening") * 100).cast("bigint"))
     )
-    folded = ordered_fold(valid, "account_id", ["seq"], BALANCE)
+    folded = ordered_fold(valid, "account_id", ["seq"], BALANCE, counted=movements)
     balance = cents(F.col("_state"))
     columns = movements.columns
     posted = folded.select(
@@ -123,7 +123,7 @@ def running_balance(movements: DataFrame, accounts: DataFrame) -> DataFrame:
     """Balance after each movement when all are taken as posted (a ledger read back)."""
     opened = accounts.select("account_id", F.col("balance").alias("_opening"))
     change = signed(F.col("direction"), F.col("amount"))
-    parts = chunked(movements.join(opened, "account_id"), "account_id", ["seq"], "ledger")
+    parts = chunked(movements.join(opened, "account_id"), "account_id", ["seq"], "ledger", counted=movements)
     run = before(parts, "account_id", ["seq"], {"_earlier": change})
     after = (F.col("_opening") + F.col("_earlier") + change).cast("decimal(38,2)")
     return run.select(*movements.columns, after.alias("running_balance"))

@@ -57,13 +57,15 @@ class Piece:
         return self.end + self.slope * (start - self.first)
 
 
-def ordered_fold(rows: DataFrame, key: str, order: list[str], fold: Fold) -> DataFrame:
+def ordered_fold(
+    rows: DataFrame, key: str, order: list[str], fold: Fold, counted: DataFrame | None = None
+) -> DataFrame:
     """``rows`` with ``_result`` and ``_state`` (after the row) for every row.
 
     ``rows`` holds ``_base`` and ``_open`` (opening base and state of its key, bigint) and the
-    fold's bigint input columns; (key, order) must be unique.
+    fold's bigint input columns; (key, order) must be unique. ``counted`` is as in ``chunked``.
     """
-    parts = chunked(rows, key, order, "fold")
+    parts = chunked(rows, key, order, "fold", counted)
     ready = parts.rows
     names = ready.columns
     if parts.split:

@@ -85,7 +85,7 @@ def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[
     )
     avg = cents(F.col("_state"))
     folded = materialise(
-        ordered_fold(rows, key, ["seq"], AVERAGE).select(*receipts.columns, avg.alias("avg_cost_after")), "receipts"
+        ordered_fold(rows, key, ["seq"], AVERAGE, counted=receipts).select(*receipts.columns, avg.alias("avg_cost_after")), "receipts"
     )
     last = folded.groupBy(key).agg(
         F.sum("qty").alias("_received"), F.max_by("avg_cost_after", "seq").alias("_avg")

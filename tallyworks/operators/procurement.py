@@ -120,7 +120,7 @@ def receive_purchase_orders(
     ).unionByName(cash["outcome"].select("seq", F.col("reference_id").alias("purchase_id"), "reason_code"))
     paid = cash["accepted"].select("seq", F.col("reference_id").alias("purchase_id"))
     # Lines are summed before the join, so a long purchase is one row per material.
-    receipts = receipt_by_material(items).join(paid, "purchase_id")
+    receipts = materialise(receipt_by_material(items).join(paid, "purchase_id"), "material-receipts")
     stock = merge_receipts(raw_inventory, receipts, "raw_material_id")
     received = paid.select("purchase_id", F.lit(True).alias("_received"))
     today = F.lit(as_of).cast("date")

@@ -60,7 +60,9 @@ def run_production(
     and ``products`` with the unit cost of their last run.
     """
     known = products.select("product_id", F.lit(True).alias("_product"))
-    needs = explode_recipe(requests.filter("quantity > 0"), bill_of_materials, raw_inventory)
+    needs = materialise(
+        explode_recipe(requests.filter("quantity > 0"), bill_of_materials, raw_inventory), "material-needs"
+    )
     per_run = needs.groupBy("production_order_id").agg(
         F.max(F.col("stock_qty").isNull()).alias("_no_stock"),
         F.max(F.col("required_qty") <= 0).alias("_nothing"),

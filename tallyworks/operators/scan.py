@@ -38,14 +38,18 @@ def split_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(SPLIT_SETTING, str(SPLIT_ROWS)))
 
 
-def chunked(df: DataFrame, key: str, order: list[str], label: str = "chunks") -> Parts:
+def chunked(
+    df: DataFrame, key: str, order: list[str], label: str = "chunks", counted: DataFrame | None = None
+) -> Parts:
     """Label the rows with chunks; (key, order) must be unique.
 
+    ``counted`` may name a cheaper table with at least as many rows of every key.
+
     The bounds of the chunks come from a sample, so rows that are cut are written once and
     everything that follows sees the same chunks.
     """
     limit = split_limit(df)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    counts = (df if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     keys, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     whole = F.lit(-1).cast("int").alias("_chunk")
     if keys == 0:
