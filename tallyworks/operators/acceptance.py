@@ -43,6 +43,7 @@ def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
     decided: list[DataFrame] = []
     waiting = None
     while waiting is None or waiting > tail_rows:
+        before_round = waiting
         scanned = before(
             Parts(live, parts.split),
             "key",
@@ -67,6 +68,8 @@ def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
         decided.append(judged.filter(~undecided).select("seq", (F.col("state") == "accepted").alias("accepted")))
         live = judged.filter("state <> 'refused'")
         waiting = judged.filter(undecided).count()
+        if waiting and waiting == before_round:
+            raise ValueError("needs without key, need or stock cannot be decided")
     if waiting:
         last = before(
             Parts(live, parts.split),

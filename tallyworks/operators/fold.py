@@ -25,7 +25,7 @@ from tallyworks.operators.scan import Parts, chunked
 # Most starts of a chunk that are tried, and most pieces of start-to-end maps that all chunks
 # together send to the driver; the other starts are left to later passes.
 MAX_STARTS = 200_000
-ALL_PIECES = 1_000_000
+ALL_PIECES = 200_000
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions.money import MONEY, money, month_start, total, whole
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import update_where
+from tallyworks.session import materialise
 
 # Working days of a full month and the tax rate.
 FULL_MONTH = 22
@@ -81,7 +82,7 @@ def pay_payroll(
     amount = payroll.filter(due).agg(
         F.coalesce(total(F.sum("net_salary")), F.lit(0)).cast("decimal(38,2)").alias("total_paid")
     )
-    movement = amount.filter("total_paid > 0").select(
+    payout = amount.filter("total_paid > 0").select(
         F.lit(1).cast("bigint").alias("seq"),
         F.lit(account_id).cast("bigint").alias("account_id"),
         F.lit("out").alias("direction"),
@@ -91,7 +92,7 @@ def pay_payroll(
         F.lit(None).cast("bigint").alias("reference_id"),
         F.lit("salary payout").alias("description"),
     )
-    cash = post_movements(movement, accounts)
+    cash = post_movements(materialise(payout, "payout"), accounts)
     posted = cash["outcome"].agg(
         F.count(F.lit(1)).alias("_n"), F.max("reason_code").alias("_code"), F.max("amount").alias("total_paid")
     )

@@ -45,7 +45,8 @@ def create_purchase_orders(
         .when(F.col("_bad"), 51004)
         .when(F.col("_unknown"), 51005)
     )
-    outcome = (
+    # Orders and lines both depend on the outcome, so it is computed once.
+    outcome = materialise(
         documents.join(supplier, "supplier_id", "left")
         .join(checks, "doc_id", "left")
         .withColumn("reason_code", code)
@@ -53,7 +54,8 @@ def create_purchase_orders(
             *documents.columns,
             "reason_code",
             F.when(F.col("reason_code").isNull(), money(F.col("_total"))).alias("total_amount"),
-        )
+        ),
+        "purchase-outcome",
     )
     accepted = outcome.filter(F.col("reason_code").isNull())
     today = F.lit(as_of).cast("date")

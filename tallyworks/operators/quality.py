@@ -57,6 +57,24 @@ OPTIONAL: dict[str, list[str]] = {
     "loan_schedule": ["paid_at"],
 }
 
+# Most characters of text columns.
+LENGTHS: dict[str, dict[str, int]] = {
+    "suppliers": {"supplier_name": 200, "contact_person": 200, "phone": 50, "email": 200},
+    "raw_materials": {"material_name": 200, "unit": 30},
+    "cash_accounts": {"account_name": 200, "currency_code": 3},
+    "cash_movements": {"direction": 3, "category": 100, "reference_table": 128, "description": 400},
+    "purchase_orders": {"status": 20},
+    "products": {"sku": 50, "product_name": 200, "category": 100, "size_label": 20},
+    "production_orders": {"status": 20},
+    "customers": {"customer_name": 200, "phone": 50, "email": 200},
+    "sales_orders": {"status": 20},
+    "departments": {"department_name": 100},
+    "positions": {"position_name": 100},
+    "employees": {"full_name": 200},
+    "payroll": {"status": 20},
+    "loans": {"bank_name": 200, "status": 20},
+}
+
 # References, (child, column) -> parent; the parent column has the same name.
 REFERENCES: dict[tuple[str, str], str] = {
     ("supplier_material_prices", "supplier_id"): "suppliers",
@@ -107,6 +125,8 @@ def conditions(table: str, columns: list[str]) -> dict[str, str]:
     for column in columns:
         if column not in OPTIONAL.get(table, []):
             out[f"{table}.{column}_required"] = f"{column} is not null"
+        if column in LENGTHS.get(table, {}):
+            out[f"{table}.{column}_length"] = f"length({column}) <= {LENGTHS[table][column]}"
     return out
 
 

@@ -40,6 +40,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return with_amounts(spark.read.schema(schema_of(name)).parquet(os.path.join(folder, name)), name)
 
 
+def read_snapshot(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot, all 24 unless named."""
+    return {name: read_table(spark, folder, name) for name in names or TABLES}
+
+
+def empty_table(spark: SparkSession, name: str) -> DataFrame:
+    """A domain table without rows, to start a company's books."""
+    return spark.createDataFrame([], schema_of(name))
+
+
 def append_rows(df: DataFrame, folder: str, name: str) -> None:
     """Append rows to a table of a snapshot."""
     stored = [c for c in schema_of(name).fieldNames() if c in df.columns]

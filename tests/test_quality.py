@@ -28,6 +28,12 @@ def test_value_state_and_required_rules(spark):
     assert sorted((r.rule, r.timesheet_id) for r in found.collect()) == [("timesheets.days", 1), ("timesheets.month_start", 1)]
 
 
+def test_text_lengths(spark):
+    accounts = rows(spark, "cash_accounts", [(1, "a", D(1), "EURO"), (2, "b", D(1), "EUR")], "account_id account_name balance currency_code")
+    found = quality.violations(accounts, quality.conditions("cash_accounts", ["currency_code"]), ["account_id"])
+    assert [tuple(r) for r in found.collect()] == [("cash_accounts.currency_code_length", 1)]
+
+
 def test_demo_tables_break_no_rule(spark):
     t = tables(spark)
     for name, df in t.items():

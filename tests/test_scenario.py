@@ -8,7 +8,9 @@ import pytest
 from demo import FEBRUARY, PURCHASE, SALES, TODAY, day, tables
 from tallyworks.operators import credit, merge, payroll, procurement, production, sales
 from tallyworks.plans import reports
-from tallyworks.sources.tables import append_rows, read_table, register_views, rows, write_snapshot
+from tallyworks.plans.views import VIEWS, register_books
+from tallyworks.schemas import TABLES
+from tallyworks.sources.tables import append_rows, empty_table, read_snapshot, read_table, rows, write_snapshot
 
 AS_OF = TODAY.isoformat()
 
@@ -186,5 +188,22 @@ def test_snapshot_is_not_overwritten_and_views_work(spark, cycle):
     t, step = cycle
     with pytest.raises(Exception):
         write_snapshot({"loans": t["loans"]}, step["folder"])
-    register_views({"loans_view": reports.loans_status(t["loans"], t["loan_schedule"])})
-    assert spark.sql("SELECT * FROM loans_view ORDER BY loan_id").count() == 1
+    names = register_books(t)
+    assert set(VIEWS) <= set(names)
+    assert spark.sql("SELECT * FROM v_loans_status ORDER BY loan_id").count() == 1
+    assert [r.product_name for r in spark.sql("SELECT * FROM v_finished_product_balance ORDER BY product_name").collect()] == [
+        "Hoodie", "Pants", "T-shirt"]
+    assert spark.sql("SELECT * FROM v_raw_material_balance ORDER BY material_name").first().material_name == "Buttons"
+    assert spark.sql("SELECT * FROM v_production_summary ORDER BY production_order_id").count() == 3
+    assert spark.sql("SELECT * FROM v_sales_summary ORDER BY sales_id").count() == 2
+    assert spark.sql("SELECT * FROM v_monthly_payroll ORDER BY period_month").first().employees_count == 5
+    assert [r.month for r in spark.sql("SELECT * FROM v_company_kpi_monthly ORDER BY month").collect()] == [
+        dt.date(2026, 3, 1), dt.date(2026, 4, 1)]
+
+
+def test_snapshot_reads_back(spark, tmp_path):
+    folder = write_snapshot({n: empty_table(spark, n) for n in TABLES}, str(tmp_path / "new"))
+    tables_read = read_snapshot(spark, folder)
+    assert len(tables_read) == 24 and all(df.count() == 0 for df in tables_read.values())
+    assert register_books(tables_read)
+    assert spark.sql("SELECT * FROM v_company_kpi_monthly").count() == 0
