@@ -175,7 +175,7 @@ PARTS: dict[str, str] = {
     "cash_steps": """
         SELECT account_id, seq, CASE WHEN direction = 'in' THEN amount ELSE -amount END AS change, balance AS opening,
                row_number() OVER (PARTITION BY account_id ORDER BY seq) AS n
-        FROM moves JOIN opening USING (account_id)""",
+        FROM moves JOIN opening USING (account_id) WHERE amount > 0""",
     "receipt_steps": """
         SELECT CAST(s_nationkey AS BIGINT) AS account_id, purchase_id AS seq, -total_amount AS change,
                CAST(20000000 AS DECIMAL(14,2)) AS opening,
@@ -287,9 +287,9 @@ _PROFITS = """CAST(revenue - cogs AS DECIMAL(38,2)) AS gross_profit, purchase_ex
 
 _BODIES: dict[str, str] = {
     "cash_ledger": """
-        SELECT seq, account_id, direction, amount, CASE WHEN NOT accepted THEN 50005 END AS reason_code,
+        SELECT seq, account_id, direction, amount, CASE WHEN amount <= 0 THEN 50001 WHEN NOT accepted THEN 50005 END AS reason_code,
                balance AS balance_after
-        FROM moves JOIN cash_steps_done USING (account_id, seq)""",
+        FROM moves LEFT JOIN cash_steps_done USING (account_id, seq)""",
     "cash_balances": """
         SELECT account_id, coalesce(last_balance, opening.balance) AS balance
         FROM opening LEFT JOIN (SELECT account_id, max_by(balance, n) AS last_balance FROM cash_steps_done
