@@ -51,27 +51,42 @@ def create_sales(
     ``cash_accounts`` and ``cash_movements``.
     """
     item = F.col("item")
-    catalogue = products.select(F.col("product_id").alias("_product"), "sale_price")
-    shelf = finished_inventory.select(F.col("product_id").alias("_shelf"), F.col("quantity").alias("_stock"))
-    lines = (
-        page_lines(pages, SALE_ITEM)
-        .join(catalogue, F.col("item.product_id") == F.col("_product"), "left")
-        .join(shelf, F.col("item.product_id") == F.col("_shelf"), "left")
-    )
+    catalogue = products.select("product_id", F.lit(True).alias("_product"), "sale_price")
+    shelf = finished_inventory.select("product_id", F.lit(True).alias("_shelf"), F.col("quantity").alias("stock"))
     bad = item.product_id.isNull() | item.quantity.isNull() | (item.quantity <= 0) | (
         item.unit_price.isNotNull() & (item.unit_price < 0)
     )
-    # One row per document and product: checks, amount, and the need against the stock.
-    by_product = materialise(
-        lines.groupBy("doc_id", F.col("item.product_id").alias("product_id")).agg(
+    # One row per document and product. Lines are summed first, apart by given and catalogue
+    # price, so that products and stock are looked up once per pair.
+    pairs = (
+        page_lines(pages, SALE_ITEM)
+        .groupBy("doc_id", F.col("item.product_id").alias("product_id"))
+        .agg(
             F.max("bad_json").alias("bad_json"),
             F.count("item").alias("items"),
             F.max(item.isNotNull() & bad).alias("bad"),
-            F.max(item.isNotNull() & F.col("_product").isNull()).alias("unknown"),
-            F.max(item.isNotNull() & F.col("_shelf").isNull()).alias("no_stock"),
-            F.first("_stock", ignorenulls=True).alias("stock"),
             F.sum(item.quantity).cast("decimal(38,3)").alias("need"),
-            F.sum(line_total(item.quantity, F.coalesce(item.unit_price, "sale_price"))).alias("amount"),
+            F.sum(line_total(item.quantity, item.unit_price)).alias("_given"),
+            F.sum(F.when(item.unit_price.isNull(), item.quantity)).cast("decimal(24,3)").alias("_listed"),
+        )
+    )
+    none = F.lit(0).cast("decimal(38,5)")
+    by_product = materialise(
+        pairs.join(catalogue, "product_id", "left")
+        .join(shelf, "product_id", "left")
+        .select(
+            "doc_id",
+            "product_id",
+            "bad_json",
+            "items",
+            "bad",
+            ((F.col("items") > 0) & F.col("_product").isNull()).alias("unknown"),
+            ((F.col("items") > 0) & F.col("_shelf").isNull()).alias("no_stock"),
+            "stock",
+            "need",
+            (
+                F.coalesce("_given", none) + F.coalesce((F.col("_listed") * F.col("sale_price")).cast("decimal(38,5)"), none)
+            ).alias("amount"),
         ),
         "sale-needs",
     )
