@@ -95,7 +95,9 @@ def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[
         .join(last, key, "full_outer")
         .select(
             key,
-            F.round(F.coalesce("quantity", F.lit(0)) + F.coalesce("_received", F.lit(0)), 3).cast(QUANTITY).alias("quantity"),
+            F.round(F.coalesce("quantity", F.lit(0)) + F.coalesce("_received", F.lit(0)), 3)
+            .cast(QUANTITY)
+            .alias("quantity"),
             F.coalesce("_avg", "avg_cost").cast(MONEY).alias("avg_cost"),
         )
     )

@@ -138,7 +138,8 @@ def create_sales(
         "sale-outcome",
     )
     sold = outcome.filter(F.col("reason_code").isNull())
-    sales_date = F.coalesce("sales_date", F.lit(as_of).cast("date")) if "sales_date" in documents.columns else F.lit(as_of).cast("date")
+    today = F.lit(as_of).cast("date")
+    sales_date = F.coalesce("sales_date", today) if "sales_date" in documents.columns else today
     orders = sold.select(
         F.col("doc_id").alias("sales_id"),
         "customer_id",

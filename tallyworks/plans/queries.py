@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import TOTAL, line_total, money, month_start, total
+from tallyworks.functions.money import line_total, money, month_start
 from tallyworks.operators import cash, credit, merge, payroll, procurement, production, quality, sales
 from tallyworks.plans import reports
 from tallyworks.sources import documents
@@ -72,17 +72,13 @@ def _schedule(b: StarBooks) -> DataFrame:
     )
 
 
-def _runs(b: StarBooks) -> DataFrame:
-    return b.production_requests()
-
-
 def _needs(b: StarBooks) -> DataFrame:
-    return production.explode_recipe(_runs(b), b.bill_of_materials(), b.raw_inventory())
+    return production.explode_recipe(b.production_requests(), b.bill_of_materials(), b.raw_inventory())
 
 
 def _production(b: StarBooks) -> dict[str, DataFrame]:
     return production.run_production(
-        _runs(b), b.products(), b.bill_of_materials(), b.raw_inventory(), b.finished_inventory(), AS_OF
+        b.production_requests(), b.products(), b.bill_of_materials(), b.raw_inventory(), b.finished_inventory(), AS_OF
     )
 
 
@@ -275,7 +271,7 @@ def finished_inventory_after_production(b: StarBooks) -> DataFrame:
 @query
 def production_summary(b: StarBooks) -> DataFrame:
     """Every run costed at the current averages, as if made."""
-    made = _runs(b).join(production.run_cost(_needs(b)), "production_order_id")
+    made = b.production_requests().join(production.run_cost(_needs(b)), "production_order_id")
     orders = made.select(
         "production_order_id",
         "product_id",

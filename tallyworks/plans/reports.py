@@ -9,7 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import MONEY, QUANTITY, TOTAL, line_total, month_start, per_unit, total, total_or_zero, zero_if_null
+from tallyworks.functions.money import (
+    MONEY,
+    QUANTITY,
+    TOTAL,
+    line_total,
+    month_start,
+    per_unit,
+    total,
+    total_or_zero,
+    zero_if_null,
+)
 
 
 def raw_material_balance(raw_materials: DataFrame, raw_inventory: DataFrame) -> DataFrame:
