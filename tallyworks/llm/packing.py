@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import WordTable, load_tokenizer, slices, token_bytes, utf8
+from tallyworks.llm.texts import PieceEncoder, WordTable, slices, token_bytes, utf8
 from tallyworks.session import materialise
 
 LENGTH = 2048
@@ -47,8 +47,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataF
     ending = token_bytes([end_id])
 
     def encode(batches):
-        tokenizer = load_tokenizer(shared.value)
-        table = WordTable(lambda word: token_bytes(tokenizer.encode(word, add_special_tokens=False).ids))
+        table = WordTable(PieceEncoder(shared.value))
         part, position = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             ids = [b"".join(map(table.__getitem__, text.split())) + ending for text in utf8(batch.column("text"))]

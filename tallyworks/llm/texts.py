@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +13,9 @@ import pyarrow.compute as pc
 #: Bytes of text that a Python worker handles at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 8 << 20
 
-#: Entries of a word table; a full table is emptied and fills again, which changes no result.
-TABLE_ENTRIES = 500_000
+#: Entries of a word table. A full table becomes the older one, which is asked before a word is
+#: encoded again; the older one before it goes. This changes no result.
+TABLE_ENTRIES = 400_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -46,7 +48,39 @@ def load_tokenizer(tokenizer_json: str):
 
 def token_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+# The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SYMBOLS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
+
+
+def byte_symbols(text: str) -> str:
+    """The text's UTF-8 bytes in the byte-level alphabet."""
+    return text if text.isalpha() and text.isascii() else text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+
+
+def one_word(text: str) -> bool:
+    """Whether the text consists of Latin letters, so that no pre-split rule takes it apart and
+    composing its characters changes nothing."""
+    return text.isalpha() and max(text) < _LATIN_END
+
+
+class PieceEncoder:
+    """Ids of a piece of text by the library's tokenizer. Words of Latin letters (behind ``lead``), in
+    lower case if the vocabulary folds case, go to its model at once."""
+
+    def __init__(self, tokenizer_json: str, lead: str = "", folds_case: bool = True):
+        self.tokenizer = load_tokenizer(tokenizer_json)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.lead, self.skip, self.folds_case = lead, len(lead), folds_case
+
+    def __call__(self, text: str) -> bytes:
+        word = text[self.skip :]
+        if one_word(word) and text.startswith(self.lead) and not (self.folds_case and word.lower() != word):
+            return token_bytes([token.id for token in self.tokenize(byte_symbols(text))])
+        return token_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 #: Marks that close a word; behind a Latin letter or a digit they always start a new piece.
@@ -56,7 +90,7 @@ _LATIN_END = "ɐ"
 
 def _split_marks(piece: str) -> tuple[str, str] | None:
     core = piece.rstrip(_MARKS)
-    if core and len(core) < len(piece) and core[-1] < _LATIN_END and core[-1].isalnum() and "<|" not in piece:
+    if core and len(core) < len(piece) and core[-1] < _LATIN_END and core[-1].isalnum():
         return core, piece[len(core) :]
     return None
 
@@ -68,37 +102,48 @@ class WordTable(dict):
     def __init__(self, encode: Callable, entries: int = TABLE_ENTRIES):
         self.encode = encode
         self.entries = entries
+        self.older: dict = {}
 
     def __missing__(self, word: bytes):
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        text = word.decode()
-        parts = _split_marks(text)
-        if parts:
-            value = self[parts[0].encode()] + self[parts[1].encode()]
-        elif text.isascii() and "<|" not in text and text != (lower := text.lower()):
-            value = self[lower.encode()]
-        else:
-            value = self.encode(text)
+        value = self.older.get(word)
+        if value is None:
+            value = self._find(word)
         self[word] = value
         return value
 
+    def _find(self, word: bytes):
+        core = word.lower().rstrip(_MARKS.encode())
+        if core.isalpha():  # ASCII letters
+            if len(core) < len(word):
+                return self[core] + self[word[len(core) :]]
+            return self.encode(core.decode()) if core == word else self[core]
+        text = word.decode()
+        lower = text.lower()
+        if max(lower) >= _LATIN_END or "<|" in text:
+            return self.encode(text)
+        if parts := _split_marks(lower):
+            return self[parts[0].encode()] + self[parts[1].encode()]
+        return self.encode(lower)
+
 
 class _Spaced(dict):
     """Ids of pieces behind one space. None where the piece cannot be told from what follows."""
 
     def __init__(self, encode: Callable[[str], bytes], lead: str, entries: int):
         self.encode, self.lead, self.entries = encode, lead, entries
+        self.older: dict = {}
 
     def __missing__(self, piece: str):
         if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        if piece[-1:].isspace() or not piece:
-            value = None
-        elif parts := _split_marks(piece):
-            value = self[parts[0]] + self.encode(parts[1])
-        else:
-            value = self.encode(self.lead + piece)
+        value = self.older.get(piece)
+        if value is None and piece and not piece[-1].isspace():
+            parts = None if "<|" in piece else _split_marks(piece)
+            value = self[parts[0]] + self.encode(parts[1]) if parts else self.encode(self.lead + piece)
         self[piece] = value
         return value
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyworks.llm.automaton import TokenAutomaton
-from tallyworks.llm.texts import WordTable, load_tokenizer, slices, utf8
+from tallyworks.llm.texts import WordTable, byte_symbols, load_tokenizer, one_word, slices, utf8
 
 CHUNK_BYTES = 16 << 10
 
@@ -44,6 +44,8 @@ class PreSplit:
 
     def __call__(self, text: str) -> list[tuple[str, int]]:
         """Pairs (word, -1) and (special token, its id)."""
+        if one_word(text) and text.lower() == text:
+            return [(byte_symbols(text), -1)]
         out: list[tuple[str, int]] = []
         for part in self.pattern.split(text) if self.pattern and "<" in text else (text,):
             if part in self.special:

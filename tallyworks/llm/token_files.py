@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import SpacedTexts, load_tokenizer, slices, token_bytes
+from tallyworks.llm.texts import PieceEncoder, SpacedTexts, slices, token_bytes
 from tallyworks.session import materialise, shared_folder
 
 #: Ids that a frame holds at least, but for the last one of a file.
@@ -160,8 +160,7 @@ def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str,
     ending = token_bytes([end_id])
 
     def write(batches):
-        tokenizer = load_tokenizer(shared.value)
-        table = SpacedTexts(lambda piece: token_bytes(tokenizer.encode(piece, add_special_tokens=False).ids))
+        table = SpacedTexts(PieceEncoder(shared.value, lead=" ", folds_case=False))
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
         files, where = _open(path)
