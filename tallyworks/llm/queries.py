@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm import bpe, packing, token_counts, token_files
+from tallyworks.llm import bpe, chat, licenses, packing, quality, simhash, substring, token_counts, token_files, topk
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,58 @@ def _tokens(ids: str):
     return (F.octet_length(ids) / 4).cast("long")
 
 
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "n_lost_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents")).select(
+        "doc_id", "n_sentences", "n_known", "sequence", "licenses"
+    )
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    added = spark.createDataFrame(extra, "conv_id long, turn int, role string, text string")
+    stored = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns = stored.unionByName(added).withColumn("parts", chat.text_parts(F.col("text")))
+    output = chat.format_chats(turns).withColumn("formatted", chat.formatted())
+    read = output.select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss().alias("loss"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_table(spark, folder, "documents"), _vocabulary(WORD_VOCABULARY), end_id=1)
     return pieces.select(
@@ -59,6 +111,23 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
+    left = substring.remove_repeats(_table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_packing, op7_token_counts, op8_token_files, op9_bpe)
+    f.__name__: f
+    for f in (
+        op1_topk,
+        op2_quality,
+        op3_licenses,
+        op4_chat,
+        op5_simhash,
+        op6_packing,
+        op7_token_counts,
+        op8_token_files,
+        op9_bpe,
+        op10_substring,
+    )
 }
