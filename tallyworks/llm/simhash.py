@@ -74,19 +74,26 @@ def _distance(reference: int) -> Column:
     return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(reference)).cast("long"))).cast("long")
 
 
-def _filed(distinct: DataFrame) -> DataFrame:
-    """Rows (cell, fp, far): every fingerprint under the weight vectors at most one step away."""
+def distance_table(distinct: DataFrame) -> DataFrame:
+    """Adds to fingerprints ``own`` (block weights plus one, a hexadecimal digit each, from the
+    distances to zero and the masks) and ``far`` (distances to the spread-out references, a byte each)."""
     masks = [((1 << _BITS) - 1) << (_BITS * i) for i in range(_BLOCKS)]
     spread = [(0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64) for i in range(_SPREAD)]
-    table = distinct.select("fp", _distance(0).alias("d"), *(_distance(m).alias(f"d{i}") for i, m in enumerate(masks)))
-    weights = [F.shiftright(F.col("d") - F.col(f"d{i}") + _BITS, 1) for i in range(_BLOCKS)]
-    far = sum((F.shiftleft(_distance(r), 8 * i) for i, r in enumerate(spread)), F.lit(0).cast("long"))
-    # A digit is the weight plus one, so steps neither borrow nor carry.
-    own = sum((F.shiftleft(w + 1, 4 * i) for i, w in enumerate(weights)), F.lit(0).cast("long"))
-    known = table.select("fp", far.alias("far"), own.alias("own"), *(w.alias(f"w{i}") for i, w in enumerate(weights)))
-    steps = [F.when(F.col(f"w{i}") < _BITS, F.col("own") + F.lit(1 << 4 * i)) for i in range(_BLOCKS)]
-    steps += [F.when(F.col(f"w{i}") > 0, F.col("own") - F.lit(1 << 4 * i)) for i in range(_BLOCKS)]
-    return known.select("fp", "far", F.explode(F.array_compact(F.array(F.col("own"), *steps))).alias("cell"))
+    zero = F.lit(0).cast("long")
+    weights = [F.shiftright(_distance(0) - _distance(m) + _BITS, 1) for m in masks]
+    own = sum((F.shiftleft(w + 1, 4 * i) for i, w in enumerate(weights)), zero)
+    far = sum((F.shiftleft(_distance(r), 8 * i) for i, r in enumerate(spread)), zero)
+    return distinct.select("*", own.alias("own"), far.alias("far"))
+
+
+def _filed(table: DataFrame) -> DataFrame:
+    """Rows (cell, fp, far): every fingerprint under the weight vectors at most one step away."""
+    own = F.col("own")
+    digits = [F.shiftright(own, 4 * i).bitwiseAND(15) for i in range(_BLOCKS)]
+    # Digits run from 1 to 5, so steps neither borrow nor carry.
+    steps = [F.when(d <= _BITS, own + F.lit(1 << 4 * i)) for i, d in enumerate(digits)]
+    steps += [F.when(d > 1, own - F.lit(1 << 4 * i)) for i, d in enumerate(digits)]
+    return table.select("fp", "far", F.explode(F.array_compact(F.array(own, *steps))).alias("cell"))
 
 
 def _far_apart(i: int) -> Column:
@@ -94,9 +101,9 @@ def _far_apart(i: int) -> Column:
     return F.abs(a - b)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of ``distinct`` (fp) within ``MOST`` bits."""
-    filed = _filed(distinct)
+def links(table: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different fingerprints of a distance table within ``MOST`` bits."""
+    filed = _filed(table)
     other = filed.select("cell", F.col("fp").alias("other"), F.col("far").alias("other_far"))
     near = F.greatest(*(_far_apart(i) for i in range(_SPREAD))) <= MOST
     same = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MOST
@@ -113,9 +120,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with a null or repeated id are rows of their own; a group without any id has a null component.
     """
     prints = fingerprints(docs)
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")), "simhash-links").select(F.col("id").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
+    table = materialise(distance_table(distinct), "simhash-distances")
+    roots = components(links(table), "simhash-links").select(F.col("id").alias("fp"), "root")
+    rooted = table.join(roots, "fp", "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
