@@ -2,11 +2,13 @@
 
 A window is ``WINDOW`` words in a row. Its minimiser is the smallest hash of ``MINIMISER`` words in
 a row inside it. Consecutive windows with the same minimiser (a super-k-mer) travel as one string of
-words to the partition of the minimiser, where windows are sorted by a hash, equal ones are compared
-word for word, and every occurrence outside the document with the smallest id is reported.
+words to the bucket of the minimiser. Strings that a task sends to one bucket are compressed together,
+as neighbouring strings share most of their words. In the bucket, windows are sorted by a hash, equal
+ones are compared word for word, and every occurrence outside the document with the smallest id is
+reported.
 
 Hot groups: equal super-k-mers of one slice of input are sent once, for the smallest id; the others
-are known to be repeated. If a minimiser still gathers more than ``GROUP_BYTES``, its windows go on
+are known to be repeated. If a part of a bucket (a range of minimisers) still exceeds ``GROUP_BYTES``, its windows go on
 one by one, each to the partition of its own hash, where they are read as a stream in order of
 document ids and only the first document of a window is held.
 """
@@ -18,6 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -27,20 +30,28 @@ from tallyworks.llm.texts import slices, utf8
 WINDOW = 13
 MINIMISER = 3
 
-#: Words of a partition that receives super-k-mers, in bytes; sets the number of partitions.
-PARTITION_BYTES = 32 << 20
-#: Words compared at a time, and the most for one minimiser before its windows are sent on.
+#: Words of a bucket in bytes, about; sets the number of buckets.
+BUCKET_BYTES = 24 << 20
+#: Words of a bucket at which large parts are looked for.
+BUCKET_MOST = 48 << 20
+#: Words compared at a time, and the most for one part of a bucket before its windows are sent on.
 BLOCK_BYTES = 2 << 20
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
+#: Words that a task gathers before it sends them.
+SEND_BYTES = 64 << 20
 #: Windows of one packed string at most.
 MOST_WINDOWS = 256
-#: Bytes of packed strings for a byte of text, about; only used to choose a number of partitions.
+#: Bytes of packed strings for a byte of text, about; only used to choose a number of buckets.
 EXPANSION = 3
 
 _NO_ID = (1 << 63) - 1
 
-# A row is a packed string of words, or, with null words, a range of ``extra`` repeated windows.
-# ``place`` is the text's key (upper half) and the number of its first word (lower half).
+# Compressed strings of words for a bucket.
+_SENT = "route long, sent binary"
+_SENT_ARROW = pa.schema([("route", pa.int64()), ("sent", pa.binary())])
+
+# A single window, or, with null words, a range of ``extra`` repeated windows. ``place`` is the text's
+# key (upper half) and the number of its first word (lower half).
 _ROW = "route long, doc long, place long, extra long, words binary"
 _ROW_ARROW = pa.schema(
     [("route", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("extra", pa.int64()), ("words", pa.binary())]
@@ -89,21 +100,71 @@ def _minimisers(hashes: np.ndarray, window: int, size: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (need - span)], low[need - span :])
 
 
-def _rows(columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW_ARROW)], schema=_ROW_ARROW)
-
-
-def _pack(window: int, size: int):
+class _Sender:
+    """Packed strings of a task, compressed by bucket. Each has a part (0 to 255, from its minimiser), a
+    document, a place and a number of words; no words mean a range of known repeats of that many windows."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.routes, self.docs, self.places, self.counts, self.strings = [], [], [], [], []
+        self.size = 0
+
+    def add(self, route: int, doc: int, place: int, count: int, words: bytes) -> None:
+        self.routes.append(route)
+        self.docs.append(doc)
+        self.places.append(place)
+        self.counts.append(count)
+        self.strings.append(words)
+        self.size += len(words)
+
+    def flush(self) -> pa.RecordBatch:
+        routes = np.array(self.routes, np.uint64)
+        bucket = (routes % np.uint64(self.buckets)).astype(np.int64)
+        part = (routes >> np.uint64(56)).astype(np.uint8)
+        order = np.lexsort((part, bucket))
+        docs, places = np.array(self.docs, np.int64), np.array(self.places, np.int64)
+        counts = np.array(self.counts, np.int32)
+        compressor = zstandard.ZstdCompressor(level=3)
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
+        found, sent = [], []
+        for low, high in zip(edges, edges[1:]):
+            rows = order[low:high]
+            strings = b"\n".join([self.strings[i] for i in rows.tolist()])
+            columns = (part[rows], docs[rows], places[rows] & 0xFFFFFFFF, places[rows] >> 32, counts[rows])
+            kinds = (np.uint8, np.int64, np.int32, np.int32, np.int32)
+            head = b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds))
+            found.append(int(bucket[rows[0]]))
+            sent.append(len(rows).to_bytes(8, "little") + compressor.compress(head + strings))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sent, pa.binary())], schema=_SENT_ARROW)
+
+
+def _received(sent: bytes):
+    """Rows (part, doc, place, count, words) of what a task sent to a bucket."""
+    number = int.from_bytes(sent[:8], "little")
+    data = zstandard.ZstdDecompressor().decompress(sent[8:])
+    at, columns = 0, []
+    for kind in (np.uint8, np.int64, np.int32, np.int32, np.int32):
+        columns.append(np.frombuffer(data, kind, number, at))
+        at += number * np.dtype(kind).itemsize
+    part, docs, starts, keys, counts = columns
+    places = (keys.astype(np.int64) << 32) | starts
+    return zip(part.tolist(), docs.tolist(), places.tolist(), counts.tolist(), data[at:].split(b"\n"))
+
+
+def _pack(window: int, size: int, buckets: int):
     """Documents to packed super-k-mers."""
 
     def run(batches):
-        word_hashes = _WordHashes()
+        word_hashes, sender = _WordHashes(), _Sender(buckets)
         for batch in slices(batches):
             docs = batch.column("doc").to_numpy()
             keys = batch.column("key").to_numpy()
             texts = utf8(batch.column("text"))
             seen: dict[bytes, int] = {}
-            out = ([], [], [], [], [])
             for row in np.argsort(docs, kind="stable").tolist():
                 words = texts[row].split()
                 if len(words) < window:
@@ -116,29 +177,34 @@ def _pack(window: int, size: int):
                 cuts = np.flatnonzero(np.diff(low)) + 1
                 starts = np.concatenate(([0], cuts))
                 counts = np.diff(np.concatenate((starts, [len(low)])))
-                routes = low[starts].view(np.int64).tolist()
-                for start, count, route in zip(starts.tolist(), counts.tolist(), routes):
+                for start, count, route in zip(starts.tolist(), counts.tolist(), low[starts].tolist()):
                     for at in range(start, start + count, MOST_WINDOWS):
                         part = min(MOST_WINDOWS, start + count - at)
                         begin = int(ends[at - 1]) + 1 if at else 0
                         packed = joined[begin : int(ends[at + part + window - 2])]
-                        known = seen.setdefault(packed, doc) < doc
-                        values = (doc, doc, place + at, part, None) if known else (route, doc, place + at, 0, packed)
-                        for column, value in zip(out, values):
-                            column.append(value)
-            if out[0]:
-                yield _rows(out)
+                        if seen.setdefault(packed, doc) < doc:
+                            sender.add(route, doc, place + at, part, b"")
+                        else:
+                            sender.add(route, doc, place + at, part + window - 1, packed)
+                if sender.size >= SEND_BYTES:
+                    yield sender.flush()
+        if sender.routes:
+            yield sender.flush()
 
     return run
 
 
-def _repeated(packed: list[bytes], docs: list[int], places: list[int], window: int, powers: _Powers):
+def _rows(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW_ARROW)], schema=_ROW_ARROW)
+
+
+def _repeated(packed: list[bytes], docs: list[int], places: list[int], words: list[int], window: int, powers: _Powers):
     """Ranges of windows that stand in a document with a smaller id: (doc, place, windows)."""
     text = b" ".join(packed)
     data = np.frombuffer(text, np.uint8)
     spaces = np.flatnonzero(data == 32)
     begins, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(data)]))
-    words = np.fromiter((p.count(b" ") + 1 for p in packed), np.int64, len(packed))
+    words = np.array(words, np.int64)
     row = np.repeat(np.arange(len(packed)), words)
     first = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
     powers.grow(len(data) + 1)
@@ -179,50 +245,80 @@ def _single_windows(packed: bytes, doc: int, place: int, window: int):
         yield np.uint64(xxhash.xxh64_intdigest(single)).astype(np.int64).item(), doc, place + i, 1, single
 
 
+class _Bucket:
+    """What has come for one bucket so far."""
+
+    def __init__(self, window: int, powers: _Powers):
+        self.window, self.powers = window, powers
+        self.spread: set[int] = set()
+        self.rows: list[tuple] = []
+        self.size = 0
+        self.known: list[tuple] = []
+        self.single: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        part, doc, place, count, words = row
+        if not words:
+            self.known.append((doc, doc, place, count, None))
+        elif part in self.spread:
+            self.single += _single_windows(words, doc, place, self.window)
+        else:
+            self.rows.append(row)
+            self.size += len(words)
+
+    def look_for_large_parts(self) -> None:
+        sizes = np.bincount([r[0] for r in self.rows], weights=[len(r[4]) for r in self.rows], minlength=256)
+        large = set(np.flatnonzero(sizes > GROUP_BYTES).tolist())
+        if large:
+            self.spread |= large
+            moved, self.rows = [r for r in self.rows if r[0] in large], [r for r in self.rows if r[0] not in large]
+            self.size = sum(len(r[4]) for r in self.rows)
+            for row in moved:
+                self.add(row)
+
+    def passed_on(self):
+        rows, self.known, self.single = self.known + self.single, [], []
+        for i in range(0, len(rows), 50_000):
+            yield _rows(zip(*rows[i : i + 50_000]))
+
+    def compared(self):
+        self.rows.sort(key=lambda r: r[0])
+        held: list[tuple] = []
+        size = 0
+        for i, row in enumerate(self.rows):
+            if size >= BLOCK_BYTES and row[0] != held[-1][0]:
+                yield self._block(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
+        if held:
+            yield self._block(held)
+
+    def _block(self, held: list[tuple]) -> pa.RecordBatch:
+        _, docs, places, counts, words = map(list, zip(*held))
+        docs, places, counts = _repeated(words, docs, places, counts, self.window, self.powers)
+        return _rows((docs, docs, places, counts, [None] * len(docs)))
+
+
 def _compare(window: int):
-    """Packed strings in order of their minimisers to ranges of repeated windows; known ranges pass."""
+    """What tasks sent, in order of buckets, to ranges of repeated windows and single windows to go on."""
 
     def run(batches):
         powers = _Powers()
-        held: list[tuple[bytes, int, int]] = []  # whole groups, then rows of the current minimiser from ``since``
-        since = held_bytes = group_bytes = 0
-        current, spread = None, False
-
-        def compare(rows):
-            docs, places, counts = _repeated(*map(list, zip(*rows)), window, powers)
-            return _rows((docs, docs, places, counts, [None] * len(docs)))
-
+        current, bucket = None, _Bucket(window, powers)
+        look = BUCKET_MOST
         for batch in batches:
-            passed = batch.filter(batch.column("words").is_null())
-            if passed.num_rows:
-                yield passed
-            packed = batch.filter(batch.column("words").is_valid())
-            columns = (packed.column(c).to_pylist() for c in ("route", "doc", "place", "words"))
-            on = []
-            for route, doc, place, words in zip(*columns):
+            for route, sent in zip(batch.column("route").to_pylist(), batch.column("sent")):
                 if route != current:
-                    current, spread, since, group_bytes = route, False, len(held), 0
-                    if held_bytes >= BLOCK_BYTES:
-                        yield compare(held)
-                        held, since, held_bytes = [], 0, 0
-                if spread:
-                    on += _single_windows(words, doc, place, window)
-                    continue
-                held.append((words, doc, place))
-                held_bytes += len(words)
-                group_bytes += len(words)
-                if group_bytes > GROUP_BYTES:
-                    spread = True
-                    for row in held[since:]:
-                        on += _single_windows(*row, window)
-                    held, held_bytes = held[:since], held_bytes - group_bytes
-                if len(on) > 50_000:
-                    yield _rows(zip(*on))
-                    on = []
-            if on:
-                yield _rows(zip(*on))
-        if held:
-            yield compare(held)
+                    yield from bucket.compared()
+                    current, bucket, look = route, _Bucket(window, powers), BUCKET_MOST
+                for row in _received(sent.as_py()):
+                    bucket.add(row)
+                if bucket.size > look:
+                    bucket.look_for_large_parts()
+                    look = max(BUCKET_MOST, 2 * bucket.size)
+                yield from bucket.passed_on()
+        yield from bucket.compared()
 
     return run
 
@@ -250,11 +346,11 @@ def _stream(batches):
 def repeated_ranges(keyed: DataFrame, text_bytes: int, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
     """Ranges of windows that also start in a document with a smaller id: ``doc``, ``place``, ``extra``
     (number of windows), from rows (doc, key, text)."""
-    number = max(keyed.sparkSession.sparkContext.defaultParallelism, math.ceil(EXPANSION * text_bytes / PARTITION_BYTES))
-    packed = keyed.mapInArrow(_pack(window, size), _ROW)
-    compared = (
-        packed.repartition(number, "route").sortWithinPartitions("route").mapInArrow(_compare(window), _ROW)
-    )
+    buckets = max(1, math.ceil(EXPANSION * text_bytes / BUCKET_BYTES))
+    number = max(keyed.sparkSession.sparkContext.defaultParallelism, buckets)
+    packed = keyed.mapInArrow(_pack(window, size, buckets), _SENT)
+    # What a task sends is at most SEND_BYTES, so a partition is sorted in few large rows.
+    compared = packed.repartition(number, "route").sortWithinPartitions("route").mapInArrow(_compare(window), _ROW)
     return compared.repartition(number, "route").sortWithinPartitions("route", "doc").mapInArrow(_stream, _ROW)
 
 
