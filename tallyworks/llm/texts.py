@@ -135,6 +135,7 @@ class _Spaced(dict):
     def __init__(self, encode: Callable[[str], bytes], lead: str, entries: int):
         self.encode, self.lead, self.entries = encode, lead, entries
         self.older: dict = {}
+        self.bare: dict = {}
 
     def __missing__(self, piece: str):
         if len(self) >= self.entries:
@@ -142,11 +143,26 @@ class _Spaced(dict):
             self.clear()
         value = self.older.get(piece)
         if value is None and piece and not piece[-1].isspace():
-            parts = None if "<|" in piece else _split_marks(piece)
-            value = self[parts[0]] + self.encode(parts[1]) if parts else self.encode(self.lead + piece)
+            value = self._find(piece)
         self[piece] = value
         return value
 
+    def _find(self, piece: str) -> bytes:
+        line = piece.find("\n")
+        if line > 0 and not piece[line - 1].isspace():
+            return self[piece[:line]] + self._bare(piece[line:])
+        parts = None if "<|" in piece else _split_marks(piece)
+        return self[parts[0]] + self._bare(parts[1]) if parts else self.encode(self.lead + piece)
+
+    def _bare(self, piece: str) -> bytes:
+        """Ids of a piece that has no space in front: marks, or a line end and what follows."""
+        value = self.bare.get(piece)
+        if value is None:
+            if len(self.bare) >= self.entries // 4:
+                self.bare.clear()
+            value = self.bare[piece] = self.encode(piece)
+        return value
+
 
 class SpacedTexts:
     """Ids of whole texts for a byte-level vocabulary whose pre-split keeps a space with the word
