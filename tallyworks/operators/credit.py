@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions.money import MONEY, MONTHLY_RATE, cents, half_up_div, money, whole
 from tallyworks.operators.cash import ledger_rows, post_movements
+from tallyworks.operators.requests import first_requests, repeated_requests
 from tallyworks.session import materialise
 
 
@@ -150,15 +151,15 @@ def pay_instalments(
 ) -> dict[str, DataFrame]:
     """Pay instalments (seq, loan_id, installment_no, account_id[, payment_date]) in order of ``seq``.
 
-    A batch names an instalment once; of several requests for one instalment the first
-    counts and the others come back as ``deferred``.
+    Of several requests for one instalment the first is tried. Once it is accepted the others are
+    refused as paid (55004); if it is refused for its own sake they get the same code. Only after a refusal
+    for want of cash or an account do they come back as ``deferred``, to be tried in the next batch. A
+    request without a loan or a number gets 55005.
     """
     today = F.lit(as_of).cast("date")
     date = F.coalesce("payment_date", today) if "payment_date" in requests.columns else today
     keys = ["loan_id", "installment_no"]
-    first = requests.groupBy(*keys).agg(F.min("seq").alias("_first"))
-    marked = requests.withColumn("payment_date", date).join(first, keys)
-    counted = marked.filter(F.col("seq") == F.col("_first")).drop("_first")
+    marked, counted = first_requests(requests.withColumn("payment_date", date), keys)
     plan = schedule.select(*keys, "principal_due", "interest_due", "paid")
     code = F.when(F.col("paid"), 55004).when(F.col("paid").isNull(), 55005)
     checked = materialise(counted.join(plan, keys, "left").withColumn("_code", code), "instalments")
@@ -192,9 +193,11 @@ def pay_instalments(
         .select("seq", *keys, F.col("_code").alias("reason_code"))
         .unionByName(cash["outcome"].select("seq", loan, "installment_no", "reason_code"))
     )
+    repeated, deferred = repeated_requests(marked, outcome, keys, 55004)
+    outcome = outcome.unionByName(repeated)
     return {
         "outcome": outcome,
-        "deferred": marked.filter(F.col("seq") > F.col("_first")).drop("_first"),
+        "deferred": deferred,
         "loans": settle_loans(loans, payments),
         "loan_schedule": mark_paid(schedule, payments),
         "loan_payments": payments,

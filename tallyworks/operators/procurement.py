@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions.money import line_total, money, total
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import merge_receipts
+from tallyworks.operators.requests import first_requests, repeated_requests
 from tallyworks.session import materialise
 from tallyworks.sources.documents import PURCHASE_ITEM, item_lines, page_lines
 
@@ -95,12 +96,12 @@ def receive_purchase_orders(
 ) -> dict[str, DataFrame]:
     """Receive purchases (seq, purchase_id, account_id) in order: cash is decided first, then stock.
 
-    A batch names a purchase once; of several requests for one purchase the first counts and
-    the others come back as ``deferred``.
+    Of several requests for one purchase the first is tried. Once it is accepted the others are
+    refused as received (51007); if it is refused for its own sake they get the same code. Only after a
+    refusal for want of cash or an account do they come back as ``deferred``, to be tried in the next
+    batch. A request without a purchase gets 51006.
     """
-    first = requests.groupBy("purchase_id").agg(F.min("seq").alias("_first"))
-    marked = requests.join(first, "purchase_id")
-    counted = marked.filter(F.col("seq") == F.col("_first")).drop("_first")
+    marked, counted = first_requests(requests, ["purchase_id"])
     orders = purchase_orders.select("purchase_id", "status", "total_amount")
     code = F.when(F.col("status").isNull(), 51006).when(F.col("status") != "ordered", 51007)
     checked = materialise(
@@ -120,6 +121,8 @@ def receive_purchase_orders(
     outcome = checked.select("seq", "purchase_id", F.col("_code").alias("reason_code")).filter(
         F.col("reason_code").isNotNull()
     ).unionByName(cash["outcome"].select("seq", F.col("reference_id").alias("purchase_id"), "reason_code"))
+    repeated, deferred = repeated_requests(marked, outcome, ["purchase_id"], 51007)
+    outcome = outcome.unionByName(repeated)
     paid = cash["accepted"].select("seq", F.col("reference_id").alias("purchase_id"))
     # Lines are summed before the join, so a long purchase is one row per material.
     receipts = materialise(receipt_by_material(items).join(paid, "purchase_id"), "material-receipts")
@@ -134,7 +137,7 @@ def receive_purchase_orders(
     )
     return {
         "outcome": outcome,
-        "deferred": marked.filter(F.col("seq") > F.col("_first")).drop("_first"),
+        "deferred": deferred,
         "purchase_orders": updated,
         "raw_inventory": stock["inventory"],
         "cash_accounts": cash["accounts"],

@@ -201,7 +201,7 @@ PARTS: dict[str, str] = {
         FROM run_codes JOIN run_costs USING (run) WHERE reason_code IS NULL""",
     "clicks": """
         SELECT user_id AS employee_id, CAST(date_trunc('month', ts) AS DATE) AS period_month,
-               CAST(least(count(*), 31) AS INTEGER) AS worked_days, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS bonus
+               CAST(count(DISTINCT CAST(ts AS DATE)) AS INTEGER) AS worked_days, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS bonus
         FROM events WHERE event_type = 'click' GROUP BY 1, 2""",
 }
 PARTS["sale_waves"] = PARTS["run_waves"].replace("run_waves", "sale_waves").replace("run_claims", "sale_claims")
@@ -466,7 +466,7 @@ _BODIES: dict[str, str] = {
         WHERE supplier_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)
         UNION ALL SELECT 'sales_orders.customer_id', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT 'sales_order_items.sales_id', count(*) FROM lines WHERE doc_id NOT IN (SELECT o_orderkey FROM orders)
-        UNION ALL SELECT 'bill_of_materials.raw_material_id', count(*) FROM recipe WHERE item NOT IN (SELECT item FROM stock)
+        UNION ALL SELECT 'bill_of_materials.raw_material_id', count(*) FROM recipe WHERE item NOT IN (SELECT p_partkey FROM part)
         UNION ALL SELECT 'employees.position_id', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)
         UNION ALL SELECT 'positions.department_id', count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region)""",
     "dq_duplicate_keys": """

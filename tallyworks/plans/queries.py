@@ -348,7 +348,7 @@ def timesheet_upsert(b: StarBooks) -> DataFrame:
         .filter("event_type = 'click'")
         .groupBy(F.col("user_id").alias("employee_id"), month_start(F.col("ts").cast("date")).alias("period_month"))
         .agg(
-            F.least(F.count(F.lit(1)), F.lit(31)).cast("int").alias("worked_days"),
+            F.count_distinct(F.col("ts").cast("date")).cast("int").alias("worked_days"),
             money(F.sum(money(F.col("value")))).alias("bonus"),
         )
     )
@@ -472,7 +472,7 @@ def dq_orphan_references(b: StarBooks) -> DataFrame:
         ("purchase_orders.supplier_id", b.purchase_orders(), "supplier_id", b.suppliers()),
         ("sales_orders.customer_id", b.sales_orders(), "customer_id", b.customers()),
         ("sales_order_items.sales_id", b.sales_order_items(), "sales_id", b.sales_orders()),
-        ("bill_of_materials.raw_material_id", b.bill_of_materials(), "raw_material_id", b.raw_inventory()),
+        ("bill_of_materials.raw_material_id", b.bill_of_materials(), "raw_material_id", b.raw_materials()),
         ("employees.position_id", b.employees(), "position_id", b.positions()),
         ("positions.department_id", b.positions(), "department_id", b.departments()),
     ]

@@ -88,12 +88,14 @@ def test_purchase_receipts(spark, books):
     items = rows(spark, "purchase_order_items", [
         (1, 1, D("14999990"), D(1)), (3, 2, D("10.01"), D(1)), (4, 2, D(4), D("2.5"))],
         "purchase_id raw_material_id quantity unit_price")
-    requests = [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 1, 1), (7, 4, 1)]
+    requests = [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (5, 5, 1), (6, 1, 1), (7, 4, 1),
+                (8, None, 1), (9, 3, 1), (10, 2, 1), (11, None, 1), (12, 5, 1)]
     got = procurement.receive_purchase_orders(
         spark.createDataFrame(requests, "seq long, purchase_id long, account_id long"),
         orders, items, books["raw_inventory"], books["cash_accounts"], AS_OF)
-    assert codes(got["outcome"], "purchase_id") == {1: None, 2: 51007, 3: 50005, 4: None, 5: 51006}
-    assert sorted(r.seq for r in got["deferred"].collect()) == [6, 7]
+    assert codes(got["outcome"], "seq") == {
+        1: None, 2: 51007, 3: 50005, 4: None, 5: 51006, 6: 51007, 7: 51007, 8: 51006, 10: 51007, 11: 51006, 12: 51006}
+    assert sorted(r.seq for r in got["deferred"].collect()) == [9]
     assert got["cash_accounts"].first().balance == D("0.00")
     stock = {r.raw_material_id: (r.quantity, r.avg_cost) for r in got["raw_inventory"].collect()}
     assert stock[1] == (D("14999990"), D("1")) and stock[2] == (D("4"), D("2.50")) and stock[3] == (D(0), D(0))
@@ -194,10 +196,11 @@ def test_credit(spark, books):
     assert [plan[7, i] for i in (1, 2, 3, 4)] == [D("0.01"), D("0.01"), D("0.00"), D("0.00")]
     assert loan["cash_accounts"].first().balance == D("15000100.02")
     first = credit.pay_instalments(
-        spark.createDataFrame([(1, 5, 3, 1), (2, 5, 9, 1), (3, 7, 3, 1), (4, 5, 3, 1)], "seq long, loan_id long, installment_no int, account_id long"),
+        spark.createDataFrame([(1, 5, 3, 1), (2, 5, 9, 1), (3, 7, 3, 1), (4, 5, 3, 1), (5, None, 3, 1), (6, 5, None, 1), (7, None, 3, 1)], "seq long, loan_id long, installment_no int, account_id long"),
         loan["loans"], loan["loan_schedule"], loan["cash_accounts"], AS_OF)
-    assert {r.seq: r.reason_code for r in first["outcome"].collect()} == {1: None, 2: 55005, 3: 50001}
-    assert [r.seq for r in first["deferred"].collect()] == [4]
+    assert {r.seq: r.reason_code for r in first["outcome"].collect()} == {
+        1: None, 2: 55005, 3: 50001, 4: 55004, 5: 55005, 6: 55005, 7: 55005}
+    assert first["deferred"].count() == 0
     rest = credit.pay_instalments(
         spark.createDataFrame([(1, 5, 1, 1), (2, 5, 2, 1), (3, 5, 3, 1)], "seq long, loan_id long, installment_no int, account_id long"),
         first["loans"], first["loan_schedule"], first["cash_accounts"], AS_OF)
