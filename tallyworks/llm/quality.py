@@ -168,6 +168,7 @@ def judge(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     row = docs.select(F.struct("*").alias("row"))
-    judged = row.select("row", _rules("row.text").alias("rules"))
+    # Not deterministic, as far as Spark is told: a filter on the result must not judge a text twice.
+    judged = row.select("row", _rules.asNondeterministic()("row.text").alias("rules"))
     names = [c for c in docs.columns if c not in RESULT.names]
     return judged.select(*(F.col("row").getField(c).alias(c) for c in names), "rules.*")

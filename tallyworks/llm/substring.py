@@ -77,7 +77,7 @@ class _Powers:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -409,6 +409,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.collect_set(F.shiftleft(start, 32).bitwiseOR(F.col("extra"))).alias("ranges")
     )
     joined = keyed.join(of_text, ["doc", "key"], "left")
-    cut = joined.select("row", _cutter(window)("row.text", "ranges").alias("cut"))
+    # Not deterministic, as far as Spark is told: a filter on the result must not cut a text twice.
+    cut = joined.select("row", _cutter(window).asNondeterministic()("row.text", "ranges").alias("cut"))
     names = [c for c in docs.columns if c not in _KEPT.names]
     return cut.select(*(F.col("row").getField(c).alias(c) for c in names), "cut.*")
