@@ -25,6 +25,16 @@ import json
 END_SHIFT = 0x10000
 
 
+def arc_labels(tokenizer_json: str) -> list[str]:
+    """The text of every token, special ones included."""
+    parsed = json.loads(tokenizer_json)
+    named = [*parsed["model"]["vocab"].items(), *((t["content"], t["id"]) for t in parsed.get("added_tokens", ()))]
+    labels = [""] * (max(token for _, token in named) + 1)
+    for text, token in named:
+        labels[token] = text
+    return labels
+
+
 class TokenAutomaton:
     """Merge gadgets, trie and labels of a BPE vocabulary in the tokenizers JSON form."""
 
@@ -33,9 +43,6 @@ class TokenAutomaton:
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         size = max(vocab.values()) + 1
-        self.labels = [""] * size
-        for text, token in vocab.items():
-            self.labels[token] = text
         self.birth = [-1] * size
         self.left = [-1] * size
         self.right = [-1] * size
@@ -81,7 +88,7 @@ class TokenAutomaton:
         key = x << 32 | y
         known = self._memo.get(key)
         if known is None:
-            if len(self._memo) > 1_000_000:  # entries are recomputed when needed again
+            if len(self._memo) > 200_000:  # entries are recomputed when needed again
                 self._memo.clear()
             known = self._memo[key] = self._arc(x, y, 1 << 60)
         return known
@@ -117,7 +124,7 @@ class WordEncoder:
     token may have begun. A transition emits the ids that all entries agree on.
     """
 
-    def __init__(self, automaton: TokenAutomaton, max_transitions: int = 400_000):
+    def __init__(self, automaton: TokenAutomaton, max_transitions: int = 120_000):
         self.automaton = automaton
         self.max_transitions = max_transitions
         self._reset()

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.automaton import TokenAutomaton, WordEncoder
+from tallyworks.llm.automaton import TokenAutomaton, WordEncoder, arc_labels
 from tallyworks.llm.texts import WordTable, slices, token_bytes, utf8
 from tallyworks.llm.token_counts import PreSplit
 
@@ -37,7 +37,7 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 found += [known] if known >= 0 else encoder.encode(word)
             return token_bytes(found)
 
-        table = WordTable(ids)
+        table = WordTable(ids, entries=250_000)
         for batch in slices(batches):
             texts = utf8(batch.column("text"))
             coded = [b"".join(map(table.__getitem__, text.split())) for text in texts]
@@ -52,11 +52,7 @@ def decode(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
 
     def run(batches):
-        labels = list(TokenAutomaton(shared.value).labels)
-        for text, token in PreSplit(shared.value).special.items():
-            labels += [""] * (token + 1 - len(labels))
-            labels[token] = text
-        emitted = pa.array(labels, pa.string())
+        emitted = pa.array(arc_labels(shared.value), pa.string())
         for batch in slices(batches, "ids"):
             coded = batch.column("ids").fill_null(b"").to_pylist()
             ids = np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)

@@ -63,7 +63,7 @@ class CountingTransducer:
     where a token may have begun. A transition counts the tokens that all entries have in common.
     """
 
-    def __init__(self, automaton: TokenAutomaton, max_transitions: int = 400_000):
+    def __init__(self, automaton: TokenAutomaton, max_transitions: int = 120_000):
         self.automaton = automaton
         self.max_transitions = max_transitions
         self._reset()
