@@ -47,7 +47,8 @@ class TokenAutomaton:
         self.left = [-1] * size
         self.right = [-1] * size
         self.removed: dict[tuple[int, int], int] = {}
-        made = set()
+        made: set[int] = set()
+        self._parts: set[int] = set()
         for rank, pair in enumerate(model["merges"]):
             first, second = pair.split(" ") if isinstance(pair, str) else pair
             plain = first[: -len(self.suffix)] if self.suffix and first.endswith(self.suffix) else first
@@ -57,8 +58,9 @@ class TokenAutomaton:
         self._build_trie(vocab, made)
 
     def _add_gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if self.birth[u] >= rank or self.birth[v] >= rank or self.birth[w] >= 0:
+        if self.birth[u] >= rank or self.birth[v] >= rank or self.birth[w] >= 0 or w in self._parts:
             raise ValueError("merges must build on earlier merges, each for a token of its own")
+        self._parts |= {u, v}
         if self._arc(u, v, rank):
             self.birth[w], self.left[w], self.right[w] = rank, u, v
             self.removed[u, v] = rank
