@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import MONEY, cents
-from tallyworks.operators.fold import Fold, ordered_fold
+from tallyworks.operators.fold import Fold, Payments, ordered_fold
 from tallyworks.operators.scan import before, chunked
 from tallyworks.session import materialise
 
@@ -18,7 +18,7 @@ def _pay(_base: int, balance: int, amount: int) -> tuple[int, int]:
     return balance, 0
 
 
-def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> list[tuple]:
+def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Bounds of the balance at the start of each chunk, without knowing which payments pass.
 
     After a payment of ``a`` a balance between L and U lies between max(L - a, 0) and
@@ -26,31 +26,26 @@ def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> list[tuple]:
     highest reset so far, and the bounds are never further apart than the largest payment.
     """
     run = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     paying = F.col("_signed") < 0
     chunks = (
         rows.withColumn("_run", F.sum("_signed").over(run))
         .groupBy(key, "_chunk")
         .agg(
-            F.min("_open").alias("opening"),
-            F.sum("_signed").alias("total"),
-            F.max(F.when(paying, -F.col("_run"))).alias("low"),
-            F.max(F.when(paying, -F.col("_signed") - 1 - F.col("_run"))).alias("high"),
+            F.min("_open").alias("_opening"),
+            F.sum("_signed").alias("_total"),
+            F.max(F.when(paying, -F.col("_run"))).alias("_least"),
+            F.max(F.when(paying, -F.col("_signed") - 1 - F.col("_run"))).alias("_most"),
         )
-        .orderBy(key, "_chunk")
-        .collect()
+        .withColumn("_moved", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
     )
-    out, at = [], None
-    for row in chunks:
-        if row[key] != at:
-            at, total, low, high = row[key], 0, row.opening, row.opening
-        out.append((at, row["_chunk"], 0, row.opening, total + low, total + high))
-        if row.low is not None:
-            low, high = max(low, row.low - total), max(high, row.high - total)
-        total += row.total
-    return out
-
-
-BALANCE = Fold(step=_pay, bounds=_balance_bounds, inputs=("_signed",), delta="_none")
+    resets = {name: F.max(F.col(name) - F.col("_moved")).over(earlier) for name in ("_least", "_most")}
+    low, high = (F.col("_moved") + F.greatest("_opening", reset) for reset in resets.values())
+    base = F.lit(0).cast("bigint").alias("_start_base")
+    return chunks.select(key, "_chunk", base, "_opening", low.alias("_low"), high.alias("_high"))
+
+
+BALANCE = Fold(step=_pay, bounds=_balance_bounds, trace=Payments, inputs=("_signed",), delta="_none")
 
 
 def signed(direction: Column, amount: Column) -> Column:

@@ -2,30 +2,25 @@
 
 Rows are folded as a stream of sorted rows, so a task holds one Arrow batch at a time. Keys
 beyond the split limit are cut into chunks as for running totals (``tallyworks.operators.scan``).
-All chunks of such a key are folded at the same time from every start between two bounds; starts
-whose states meet go on as one, so this soon costs little more than a single start. The chunks
-are then linked, start to end. A chunk whose start was not tried is folded again; the first such
-chunk of a key always gets its exact start, so every pass settles at least one more chunk of
-every key and the result is exact.
+Every chunk of such a key is traced once, all at the same time, from all starts between two
+proven bounds: the trace gives the chunk's map from start to end as pieces. The maps are then
+linked in order of chunks, which gives every chunk its exact start, and the rows are folded.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyworks.operators.scan import Parts, chunked
-
-
-# Most starts of a chunk that are tried, and most pieces of start-to-end maps that all chunks
-# together send to the driver; the other starts are left to later passes.
-MAX_STARTS = 200_000
-ALL_PIECES = 200_000
+from tallyworks.session import materialise
 
 
 @dataclass(frozen=True)
@@ -34,12 +29,15 @@ class Fold:
 
     ``step(base, state, *inputs)`` returns (new state, result). ``base`` is the opening base
     plus the ``delta`` of the earlier rows, a plain running sum that needs no guessing.
-    ``bounds(rows, key, order)`` returns (key, chunk, base, opening state, low, high) in order
-    of key and chunk: the base at the start of the chunk and the starts worth trying.
+    ``bounds(rows, key, order)`` returns a table of key, ``_chunk``, ``_start_base`` (the base at
+    the start of the chunk), ``_opening`` (state before the first chunk), ``_low`` and ``_high``
+    (between them lies the state at the start). ``trace(low, high)`` returns an object that
+    takes the same steps from all these starts: ``step(base, *inputs)``, then ``layers()``.
     """
 
     step: Callable
     bounds: Callable
+    trace: Callable
     inputs: tuple[str, ...]
     delta: str
 
@@ -57,6 +55,116 @@ class Piece:
         return self.end + self.slope * (start - self.first)
 
 
+def through(layers: list[list[Piece]], state: int) -> int:
+    """The end of ``state`` after all layers; the pieces of a layer ascend and do not overlap."""
+    for pieces in layers:
+        i = bisect_right(pieces, state, key=lambda p: p.first) - 1
+        if i < 0 or state > pieces[i].last:
+            raise ValueError("a state lies outside its bounds: amounts must be positive and openings not negative")
+        state = pieces[i].at(state)
+    return state
+
+
+class Payments:
+    """All balances low..high at once, when a row adds an amount or, if it can be paid, takes it.
+
+    Balances are runs of neighbours (low, high, low at the start of the layer), ascending and
+    apart, all to be read with one shared offset. A payment that all or none can make costs one
+    step. Otherwise the runs are split at the amount; when balances of different starts meet, the
+    layer ends and they go on as one. Layers before a single common balance are forgotten.
+    """
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+        self.offset = 0
+        self.runs = [(low, high, low)]
+        self.done: list[list[Piece]] = []
+
+    def step(self, _base: int, amount: int) -> None:
+        least = -amount - self.offset
+        if amount >= 0 or self.runs[0][0] >= least:
+            self.offset += amount
+        elif self.runs[-1][1] >= least:
+            self._split(least, amount)
+
+    def _split(self, least: int, amount: int) -> None:
+        after = []
+        for low, high, first in self.runs:
+            if low < least:
+                after.append((low, min(high, least - 1), first))
+            if high >= least:
+                begin = max(low, least)
+                after.append((begin + amount, high + amount, first + begin - low))
+        after.sort()
+        joined = [after[0]]
+        meet = False
+        for low, high, first in after[1:]:
+            a, b, start = joined[-1]
+            meet |= low <= b
+            if low == b + 1 and first == start + low - a:
+                joined[-1] = (a, high, start)
+            else:
+                joined.append((low, high, first))
+        self.runs = joined
+        if meet:
+            self._end_layer()
+
+    def _end_layer(self) -> None:
+        self.done.append(self._pieces())
+        merged: list[list[int]] = []
+        for low, high, _ in self.runs:
+            if merged and low <= merged[-1][1] + 1:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        self.runs = [(a + self.offset, b + self.offset, a + self.offset) for a, b in merged]
+        self.offset = 0
+        if len(merged) == 1 and merged[0][0] == merged[0][1]:
+            self.done = [[Piece(self.low, self.high, self.runs[0][0], 0)]]
+
+    def _pieces(self) -> list[Piece]:
+        pieces = [Piece(first, first + high - low, low + self.offset, 1) for low, high, first in self.runs]
+        return sorted(pieces, key=lambda p: p.first)
+
+    def layers(self) -> list[list[Piece]]:
+        return [*self.done, self._pieces()]
+
+
+class Averages:
+    """All averages low..high at once; neighbours whose averages become equal go on as one."""
+
+    def __init__(self, low: int, high: int, step: Callable):
+        self.high = high
+        self.one = step
+        self.first = self.now = np.arange(low, high + 1, dtype=np.int64)
+
+    def step(self, stock: int, qty: int, cost: int) -> None:
+        now = self.now
+        largest = max(abs(int(now[0])), abs(int(now[-1])))
+        if len(now) > 1 and 2 * (abs(stock) * largest + abs(cost)) + abs(stock + qty) < 1 << 62 and stock + qty:
+            pool = stock + qty
+            now = (2 * (stock * now + cost) + pool) // (2 * pool)
+        else:
+            # One state, or products beyond 64 bits.
+            now = np.array([self.one(stock, s, qty, cost)[0] for s in now.tolist()], np.int64)
+        if len(now) > 1:
+            keep = np.concatenate([[True], now[1:] != now[:-1]])
+            self.first, now = self.first[keep], now[keep]
+        self.now = now
+
+    def layers(self) -> list[list[Piece]]:
+        pieces: list[Piece] = []
+        ends = [*(self.first[1:] - 1).tolist(), self.high]
+        for first, last, end in zip(self.first.tolist(), ends, self.now.tolist()):
+            before = pieces[-1] if pieces else None
+            single = before is not None and (before.slope or before.first == before.last)
+            if single and first == last and before.at(before.last) + 1 == end:
+                pieces[-1] = Piece(before.first, last, before.end, 1)
+            else:
+                pieces.append(Piece(first, last, end, 0))
+        return [pieces]
+
+
 def ordered_fold(
     rows: DataFrame, key: str, order: list[str], fold: Fold, counted: DataFrame | None = None
 ) -> DataFrame:
@@ -69,15 +177,11 @@ def ordered_fold(
     ready = parts.rows
     names = ready.columns
     if parts.split:
-        starts = _chunk_starts(parts, key, order, fold)
-        # One row per chunk and at most one more per partition: a key that is cut shares its
-        # first and last chunk with neighbours.
-        exact = [(k, c, base, start, start) for (k, c), (base, start) in starts.items()]
-        known = F.broadcast(_start_rows(ready, key, exact))
+        known = _chunk_starts(parts, key, order, fold)
         ready = (
             ready.join(known, [key, "_chunk"], "left")
             .withColumn("_base", F.coalesce("_start_base", "_base"))
-            .withColumn("_open", F.coalesce("_low", "_open"))
+            .withColumn("_open", F.coalesce("_start", "_open"))
             .select(*names)
         )
     groups = [key, "_chunk"] if parts.split else [key]
@@ -87,54 +191,29 @@ def ordered_fold(
     return out.drop("_chunk", "_base", "_open")
 
 
-def _start_rows(df: DataFrame, key: str, values: list[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        values, T.StructType.fromDDL(f"{key} bigint, _chunk int, _start_base bigint, _low bigint, _high bigint")
-    )
-
-
-def _chunk_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> dict[tuple, tuple[int, int]]:
-    """Exact (base, state) at the start of every chunk of the cut keys.
+def _chunk_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> DataFrame:
+    """Exact ``_start_base`` and ``_start`` (state) of every chunk of the cut keys.
 
-    What reaches the driver is one row per (cut key, chunk): chunks plus cut keys, however
-    many rows there are.
+    Bounds and maps are tables with one row per (key, chunk); the maps of a key are linked by one
+    task, which reads them as a stream. Nothing goes through the driver.
     """
     shared = parts.cut()
-    chains: dict = {}
-    base, pending = {}, {}
-    for k, chunk, at, opening, low, high in fold.bounds(shared, key, order):
-        chains.setdefault(k, (opening, []))[1].append(chunk)
-        base[k, chunk] = at
-        middle = (low + high) // 2
-        pending[k, chunk] = (low, high) if high - low < MAX_STARTS else (middle, middle)
-    maps: dict[tuple, list[Piece]] = {at: [] for at in base}
-    while True:
-        tries = _start_rows(shared, key, [(k, c, base[k, c], *span) for (k, c), span in pending.items()])
-        tried = (
-            shared.join(F.broadcast(tries), [key, "_chunk"])
-            .repartition(key, "_chunk")
-            .sortWithinPartitions(key, "_chunk", *order)
-            .mapInArrow(
-                _try_starts(key, fold, ALL_PIECES // len(pending) + 1),
-                f"{key} bigint, _chunk int, pieces array<struct<first:bigint,last:bigint,end:bigint,slope:int>>",
-            )
-        )
-        for row in tried.collect():
-            maps[row[key], row["_chunk"]] += [Piece(*p) for p in row.pieces]
-        starts, pending = {}, {}
-        for k, (state, chunks) in chains.items():
-            for chunk in chunks:
-                at = (k, chunk)
-                starts[at] = (base[at], state)
-                hit = next((p for p in maps[at] if p.first <= state <= p.last), None)
-                if hit is None:
-                    pending[at] = (state, state)
-                    hit = min(maps[at], key=lambda p: min(abs(p.first - state), abs(p.last - state)))
-                    state = hit.at(min(max(state, hit.first), hit.last))
-                else:
-                    state = hit.at(state)
-        if not pending:
-            return starts
+    bounds = materialise(fold.bounds(shared, key, order), "fold-bounds")
+    layers = "layers array<array<struct<first:bigint,last:bigint,end:bigint,slope:int>>>"
+    maps = (
+        shared.select(key, "_chunk", *order, *dict.fromkeys([fold.delta, *fold.inputs]))
+        .join(bounds, [key, "_chunk"])
+        .repartition(key, "_chunk")
+        .sortWithinPartitions(key, "_chunk", *order)
+        .mapInArrow(_trace_chunks(key, fold), f"{key} bigint, _chunk int, _start_base bigint, _opening bigint, {layers}")
+    )
+    linked = (
+        materialise(maps, "fold-maps")
+        .repartition(key)
+        .sortWithinPartitions(key, "_chunk")
+        .mapInArrow(_link(key), f"{key} bigint, _chunk int, _start_base bigint, _start bigint")
+    )
+    return materialise(linked, "fold-starts")
 
 
 def _columns(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
@@ -164,50 +243,51 @@ def _stream(key: str, fold: Fold) -> Callable:
     return run
 
 
-def _try_starts(key: str, fold: Fold, most: int) -> Callable:
+def _trace_chunks(key: str, fold: Fold) -> Callable:
     """Task function: map of each chunk from the starts ``_low``..``_high`` to end states."""
-    names = [key, "_chunk", "_start_base", "_low", "_high", fold.delta, *fold.inputs]
+    names = [key, "_chunk", "_start_base", "_opening", "_low", "_high", fold.delta, *fold.inputs]
     piece = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("end", pa.int64()), ("slope", pa.int32())])
-    out = pa.schema([(key, pa.int64()), ("_chunk", pa.int32()), ("pieces", pa.list_(piece))])
+    out = pa.schema(
+        [(key, pa.int64()), ("_chunk", pa.int32()), ("_start_base", pa.int64()), ("_opening", pa.int64())]
+        + [("layers", pa.list_(pa.list_(piece)))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # states: distinct current states; where: index of the state of each start
-        at, base, first, where, states = None, 0, 0, [], []
+        at, base, trace = None, 0, None
 
         def done() -> pa.RecordBatch:
-            pieces = _pieces(first, [states[i] for i in where])[:most]
-            row = {key: at[0], "_chunk": at[1], "pieces": [vars(p) for p in pieces]}
-            return pa.RecordBatch.from_pylist([row], schema=out)
+            layers = [[vars(p) for p in pieces] for pieces in trace.layers()]
+            return pa.RecordBatch.from_pylist([dict(zip(out.names, [*at, layers]))], schema=out)
 
         for batch in batches:
-            for k, chunk, base0, low, high, delta, *args in _columns(batch, names):
-                if (k, chunk) != at:
+            for k, chunk, base0, opening, low, high, delta, *args in _columns(batch, names):
+                if at is None or (k, chunk) != at[:2]:
                     if at is not None:
                         yield done()
-                    at, base, first = (k, chunk), base0, low
-                    states, where = list(range(low, high + 1)), list(range(high - low + 1))
-                states = [fold.step(base, s, *args)[0] for s in states]
+                    at, base, trace = (k, chunk, base0, opening), base0, fold.trace(low, high)
+                trace.step(base, *args)
                 base += delta
-                if len(states) > 1 and len(set(states)) < len(states):
-                    slot: dict = {}
-                    merged = [slot.setdefault(s, len(slot)) for s in states]
-                    where = [merged[i] for i in where]
-                    states = list(slot)
         if at is not None:
             yield done()
 
     return run
 
 
-def _pieces(first: int, ends: list[int]) -> list[Piece]:
-    """Runs of starts ``first``, ``first + 1``, ... with equal or with ascending ends."""
-    pieces: list[Piece] = []
-    i = 0
-    while i < len(ends):
-        slope = 1 if i + 1 < len(ends) and ends[i + 1] == ends[i] + 1 else 0
-        j = i + 1
-        while j < len(ends) and ends[j] == ends[j - 1] + slope:
-            j += 1
-        pieces.append(Piece(first + i, first + j - 1, ends[i], slope))
-        i = j
-    return pieces
+def _link(key: str) -> Callable:
+    """Task function: exact starts of the chunks of every key, from their maps in order."""
+    names = [key, "_chunk", "_start_base", "_opening", "layers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, 0
+        for batch in batches:
+            starts = []
+            for k, _, _, opening, layers in _columns(batch, names):
+                if k != at:
+                    at, state = k, opening
+                starts.append(state)
+                state = through([[Piece(**p) for p in pieces] for pieces in layers], state)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(starts, pa.int64())], names=[*names[:3], "_start"]
+            )
+
+    return run

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import MONEY, QUANTITY, cents, moving_avg_cost, zero_if_null
-from tallyworks.operators.fold import Fold, ordered_fold
+from tallyworks.operators.fold import Averages, Fold, ordered_fold
 from tallyworks.session import materialise
 
 
@@ -38,31 +38,55 @@ def _average(stock: int, avg: int, qty: int, cost: int) -> tuple[int, int]:
     return after, after
 
 
-def _average_bounds(rows: DataFrame, key: str, order: list[str]) -> list[tuple]:
-    """A few cents around the average without rounding at the start of each chunk."""
+def _average_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Bounds of the average at the start of each chunk.
+
+    Rounding moves the average by half a cent a receipt at most, and what earlier receipts added
+    to the error only shrinks as stock grows. Besides, if every receipt has a quantity, the
+    average lies between the smallest and the largest of the opening average and the unit costs.
+    """
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    wide = "decimal(38,0)"
+    unit = F.when(F.col("_qty") > 0, F.col("_cost") / F.col("_qty"))
     chunks = (
         rows.groupBy(key, "_chunk")
         .agg(
-            F.min("_base").alias("stock"),
-            F.min("_open").alias("avg"),
-            F.sum("_qty").alias("qty"),
-            F.sum("_cost").alias("cost"),
+            F.min("_base").alias("_stock"),
+            F.min("_open").alias("_opening"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.sum("_qty").alias("_in"),
+            F.sum(F.col("_cost").cast(wide)).cast(wide).alias("_spent"),
+            F.min("_qty").alias("_least"),
+            F.floor(F.min(unit)).alias("_cheap"),
+            F.ceil(F.max(unit)).alias("_dear"),
         )
-        .orderBy(key, "_chunk")
-        .collect()
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_start_base", F.col("_stock") + F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    )
+    opening = F.col("_opening")
+    value = F.col("_stock").cast("double") * opening + F.coalesce(F.sum("_spent").over(earlier).cast("double"), F.lit(0.0))
+    exact = F.when(F.col("_start_base") != 0, value / F.col("_start_base")).otherwise(0.0)
+    # Two cents for the rounding of doubles.
+    error = F.col("_before") / 2 + 2
+    regular = (F.min("_least").over(earlier) > 0) & (F.col("_stock") >= 0)
+    lowest = F.when(regular, F.least(opening, F.min("_cheap").over(earlier) - 1))
+    highest = F.when(regular, F.greatest(opening, F.max("_dear").over(earlier) + 1))
+    first = F.col("_before") == 0
+    return chunks.select(
+        key,
+        "_chunk",
+        "_start_base",
+        "_opening",
+        F.when(first, opening).otherwise(F.greatest(F.floor(exact - error), lowest)).cast("bigint").alias("_low"),
+        F.when(first, opening).otherwise(F.least(F.ceil(exact + error), highest)).cast("bigint").alias("_high"),
     )
-    out, at = [], None
-    for row in chunks:
-        if row[key] != at:
-            at, pool, value = row[key], row.stock, row.stock * row.avg
-        near = value // pool if pool else row.avg
-        out.append((at, row["_chunk"], pool, row.avg, max(0, near - NEAR), near + NEAR))
-        pool, value = pool + row.qty, value + row.cost
-    return out
-
-
-NEAR = 16
-AVERAGE = Fold(step=_average, bounds=_average_bounds, inputs=("_qty", "_cost"), delta="_qty")
+
+
+def _averages(low: int, high: int) -> Averages:
+    return Averages(low, high, _average)
+
+
+AVERAGE = Fold(step=_average, bounds=_average_bounds, trace=_averages, inputs=("_qty", "_cost"), delta="_qty")
 
 
 def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[str, DataFrame]:

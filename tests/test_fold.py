@@ -1,40 +1,62 @@
 """Chunk maps and bounds of the ordered fold."""
 
 import random
+from decimal import ROUND_HALF_UP
 from decimal import Decimal as D
 
-import pyarrow as pa
 import pytest
 
 from tallyworks.operators import cash, fold, merge
 from tallyworks.operators.scan import SPLIT_SETTING
 
 
-def batches(columns, size):
-    table = pa.table(columns)
-    return iter(table.to_batches(max_chunksize=size))
-
-
+@pytest.mark.parametrize("top, high", [(60, 90), (7, 40), (400, 399), (1, 30)])
 @pytest.mark.parametrize("seed", range(5))
-def test_chunk_maps_match_single_folds(seed):
+def test_payment_maps_match_single_folds(seed, top, high):
     rng = random.Random(seed)
-    moves = [rng.choice([1, -1, -1]) * rng.randint(1, 60) for _ in range(80)]
-    low, high = 0, 90
-    n = len(moves)
-    columns = {
-        "k": pa.array([7] * n, pa.int64()), "_chunk": pa.array([0] * (n // 2) + [1] * (n - n // 2), pa.int32()),
-        "_start_base": pa.array([0] * n, pa.int64()), "_low": pa.array([low] * n, pa.int64()),
-        "_high": pa.array([high] * n, pa.int64()), "_none": pa.array([0] * n, pa.int64()), "_signed": pa.array(moves, pa.int64())}
-    maps = {}
-    for batch in fold._try_starts("k", cash.BALANCE, 10_000)(batches(columns, 7)):
-        for row in batch.to_pylist():
-            maps[row["_chunk"]] = [fold.Piece(**p) for p in row["pieces"]]
-    for chunk, part in ((0, moves[: n // 2]), (1, moves[n // 2 :])):
-        for start in range(low, high + 1):
+    moves = [rng.choice([1, -1, -1]) * rng.randint(1, top) for _ in range(80)]
+    for size in (3, 20, 80):
+        trace = fold.Payments(0, high)
+        for amount in moves[:size]:
+            trace.step(0, amount)
+        for start in range(high + 1):
             state = start
-            for amount in part:
+            for amount in moves[:size]:
                 state = cash._pay(0, state, amount)[0]
-            assert [p.at(start) for p in maps[chunk] if p.first <= start <= p.last] == [state]
+            assert fold.through(trace.layers(), start) == state
+
+
+@pytest.mark.parametrize("deposits", [0.0, 0.3, 0.45])
+def test_wide_payment_maps_stay_small(deposits):
+    """Payments up to 1,000,000.00: the map is far smaller than the number of starts."""
+    rng = random.Random(3)
+    trace = fold.Payments(0, 99_999_999)
+    most = 0
+    moves = [rng.choice([1] if rng.random() < deposits else [-1]) * rng.randint(1, 100_000_000) for _ in range(4000)]
+    for amount in moves:
+        trace.step(0, amount)
+        most = max(most, sum(map(len, trace.layers())))
+    assert most < 2000
+    for start in [0, 99_999_999, *(rng.randrange(100_000_000) for _ in range(20))]:
+        state = start
+        for amount in moves:
+            state = cash._pay(0, state, amount)[0]
+        assert fold.through(trace.layers(), start) == state
+
+
+def test_average_maps_match_single_folds():
+    rng = random.Random(4)
+    for stock, top in ((0, 3000), (1_000_000, 3000), (10**13, 10**11)):
+        trace, base = merge._averages(900, 1300), stock
+        rows = [(rng.randint(1, top), rng.randint(1, top * 1200)) for _ in range(60)]
+        for qty, cost in rows:
+            trace.step(base, qty, cost)
+            base += qty
+        for start in range(900, 1301):
+            state, base = start, stock
+            for qty, cost in rows:
+                state, base = merge._average(base, state, qty, cost)[0], base + qty
+            assert fold.through(trace.layers(), start) == state
 
 
 def test_average_step_rounds_half_up():
@@ -45,22 +67,15 @@ def test_average_step_rounds_half_up():
     assert merge._average(1000, 100, 1000, 101000)[0] == 101
 
 
-def test_one_pass_settles_a_short_account(spark, monkeypatch):
-    """All starts between the bounds are tried, so the first pass covers the true ones."""
-    rng = random.Random(11)
-    moves = [(i, 1, rng.choice(["in", "out", "out"]), D(rng.randint(1, 900)) / 100) for i in range(300)]
-    calls = []
-    plain = fold._start_rows
-    monkeypatch.setattr(fold, "_start_rows", lambda *a: calls.append(a) or plain(*a))
-    spark.conf.set(SPLIT_SETTING, "40")
+def posted_in_order(spark, opening, moves, rows):
+    traced = spark.createDataFrame(moves, "seq long, account_id long, direction string, amount decimal(14,2)")
+    spark.conf.set(SPLIT_SETTING, str(rows))
     try:
-        posted = cash.post_movements(
-            spark.createDataFrame(moves, "seq long, account_id long, direction string, amount decimal(14,2)"),
-            spark.createDataFrame([(1, D(3))], "account_id long, balance decimal(14,2)"))
+        posted = cash.post_movements(traced, spark.createDataFrame([(1, opening)], "account_id long, balance decimal(14,2)"))
         got = {r.seq: r.balance_after for r in posted["outcome"].collect()}
     finally:
         spark.conf.unset(SPLIT_SETTING)
-    balance, want = D(3), {}
+    balance, want = opening, {}
     for seq, _, direction, amount in moves:
         if direction == "in":
             balance += amount
@@ -68,4 +83,31 @@ def test_one_pass_settles_a_short_account(spark, monkeypatch):
             balance -= amount
         want[seq] = balance
     assert got == want
-    assert len(calls) == 2 and len(calls[0][2]) == 8
+
+
+@pytest.mark.parametrize("kinds", [["in", "out", "out"], ["out"], ["in", "in", "out"]])
+def test_large_payments_on_one_account(spark, kinds):
+    """An early refusal, then payments up to 1,000,000.00 in many chunks."""
+    rng = random.Random(11)
+    moves = [(0, 1, "out", D(900_000))]
+    moves += [(i, 1, rng.choice(kinds), D(rng.randint(1, 100_000_000)) / 100) for i in range(1, 300)]
+    posted_in_order(spark, D(700_000), moves, 40)
+
+
+def test_small_receipts_into_a_large_stock(spark):
+    receipts = [(i, 1, D(2000), D(24000)) for i in range(300)]
+    stock = [(1, D(1_000_000), D(10))]
+    spark.conf.set(SPLIT_SETTING, "25")
+    try:
+        merged = merge.merge_receipts(
+            spark.createDataFrame(stock, "item long, quantity decimal(14,3), avg_cost decimal(14,2)"),
+            spark.createDataFrame(receipts, "seq long, item long, qty decimal(14,3), total_cost decimal(38,5)"), "item")
+        got = {r.seq: r.avg_cost_after for r in merged["receipts"].collect()}
+    finally:
+        spark.conf.unset(SPLIT_SETTING)
+    (_, quantity, average), want = stock[0], {}
+    for seq, _, qty, cost in receipts:
+        average = ((quantity * average + cost) / (quantity + qty)).quantize(D("0.01"), ROUND_HALF_UP)
+        quantity += qty
+        want[seq] = average
+    assert got == want
