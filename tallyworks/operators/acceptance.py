@@ -2,15 +2,15 @@
 
 A document is accepted when every item it needs is in stock after the documents accepted
 before it; a refused document takes nothing. Serving one document at a time is replaced by
-rounds over all undecided documents at once:
+rounds. Each round
 
-- accept a document if each of its needs fits even when every undecided earlier document
-  were accepted too;
-- refuse it if some need does not fit after the accepted earlier documents alone.
+- serves the earliest block of undecided documents one by one, as a stream in one task;
+- accepts a later document if each of its needs fits even when every undecided earlier
+  document were accepted too;
+- refuses it if some need does not fit after the accepted earlier documents alone.
 
-The earliest undecided document is always decided, so the rounds end, and each decision is
-the one the serial order would take. Rounds carry only undecided documents, and each leaves
-about half of them. Once few enough rows are left for one task, they are served one by one.
+Each decision is the one the serial order would take. Rounds carry only undecided documents, so
+there are at most rows / block of them, and far fewer if stocks are mostly ample or used up.
 """
 
 from __future__ import annotations
@@ -24,26 +24,31 @@ from pyspark.sql import functions as F
 from tallyworks.operators.scan import Parts, before, chunked
 from tallyworks.session import materialise
 
-TAIL_ROWS = 10_000
+BLOCK_ROWS = 1_000_000
 
 
-def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
+def accept_in_order(needs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(seq, accepted) for every document in ``needs``.
 
     ``needs`` has one row per (seq, key): ``need`` and ``stock`` (decimal(14,3)), and
     ``takes``, false for a document that is refused later for other reasons and so leaves
-    the stock as it is. At most ``tail_rows`` undecided rows are left to one task.
+    the stock as it is. A round serves ``block_rows`` rows one by one, and the rest of the
+    document that the last of them belongs to.
     """
     undecided = F.col("state") == "undecided"
     nothing = F.lit(0).cast("decimal(14,3)")
     taken = F.when(F.col("takes"), F.col("need")).otherwise(nothing)
-    claims = materialise(needs.select("seq", "key", "need", "stock", "takes"), "claims")
+    claims = materialise(needs.filter("seq is not null").select("seq", "key", "need", "stock", "takes"), "claims")
+    if not claims.filter("key is null or need is null or stock is null").isEmpty():
+        raise ValueError("needs without key, need or stock cannot be decided")
     parts = chunked(claims, "key", ["seq"], "needs")
     live = parts.rows.withColumnRenamed("stock", "left").withColumn("state", F.lit("undecided"))
-    decided: list[DataFrame] = []
-    waiting = None
-    while waiting is None or waiting > tail_rows:
-        before_round = waiting
+    decided = claims.select("seq", F.lit(True).alias("accepted")).limit(0)
+    while True:
+        earliest = live.filter(undecided).select("seq").orderBy("seq").limit(block_rows)
+        last = earliest.agg(F.max("seq")).first()[0]
+        if last is None:
+            break
         scanned = before(
             Parts(live, parts.split),
             "key",
@@ -53,78 +58,61 @@ def accept_in_order(needs: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
                 "_waiting": F.when(undecided, taken).otherwise(nothing),
             },
         )
-        open_rows = _open_rows(scanned)
-        verdicts = open_rows.groupBy("seq").agg(
-            F.min(F.col("_waiting") + F.col("need") <= F.col("left")).alias("fits"),
-            F.max(F.col("need") > F.col("left")).alias("short"),
-        )
-        state = F.when(F.col("short"), "refused").when(F.col("fits"), "accepted").otherwise("undecided")
-        judged = materialise(
-            open_rows.join(verdicts, "seq").select(
-                "seq", "key", "need", "left", "takes", "_chunk", state.alias("state")
-            ),
-            "round",
-        )
-        decided.append(judged.filter(~undecided).select("seq", (F.col("state") == "accepted").alias("accepted")))
-        live = judged.filter("state <> 'refused'")
-        waiting = judged.filter(undecided).count()
-        if waiting and waiting == before_round:
-            raise ValueError("needs without key, need or stock cannot be decided")
-    if waiting:
-        last = before(
-            Parts(live, parts.split),
-            "key",
-            ["seq"],
-            {"_accepted": F.when(F.col("state") == "accepted", taken).otherwise(nothing)},
-        )
-        rows = _open_rows(last).select(
+        open_rows = materialise(_open_rows(scanned), "round-rows")
+        block = open_rows.filter(F.col("seq") <= last).select(
             "seq",
             "key",
             (F.col("need") * 1000).cast("bigint").alias("need"),
             (F.col("left") * 1000).cast("bigint").alias("left"),
             "takes",
         )
-        one = rows.repartition(1).sortWithinPartitions("seq")
-        decided.append(one.mapInArrow(_serve, "seq bigint, accepted boolean"))
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.unionByName(more)
-    # A document is decided in one round; its rows agree.
-    return out.groupBy("seq").agg(F.first("accepted").alias("accepted"))
+        served = block.repartition(1).sortWithinPartitions("seq").mapInArrow(_serve, "seq bigint, accepted boolean")
+        bounds = open_rows.filter(F.col("seq") > last).groupBy("seq").agg(
+            F.min(F.col("_waiting") + F.col("need") <= F.col("left")).alias("fits"),
+            F.max(F.col("need") > F.col("left")).alias("short"),
+        )
+        late = F.when(F.col("short"), "refused").when(F.col("fits"), "accepted").otherwise("undecided")
+        verdicts = served.select("seq", F.when(F.col("accepted"), "accepted").otherwise("refused").alias("state"))
+        verdicts = materialise(verdicts.unionByName(bounds.select("seq", late.alias("state"))), "round")
+        decided = decided.unionByName(verdicts.filter(~undecided).select("seq", (F.col("state") == "accepted").alias("accepted")))
+        live = open_rows.join(verdicts.filter("state <> 'refused'"), "seq").select(
+            "seq", "key", "need", "left", "takes", "_chunk", verdicts["state"]
+        )
+    return decided
 
 
 def _open_rows(scanned: DataFrame) -> DataFrame:
     """Undecided rows, with the stock that the documents accepted before them have left."""
     return scanned.filter("state = 'undecided'").withColumn(
         "left", (F.col("left") - F.col("_accepted")).cast("decimal(14,3)")
-    )
+    ).drop("_accepted", "state")
 
 
 def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Serve the documents of one sorted partition one by one."""
     gone: dict[int, int] = {}
-    seqs: list[int] = []
-    answers: list[bool] = []
     at, items = None, []
 
-    def decide() -> None:
+    def decide() -> bool:
         fits = all(need + gone.get(key, 0) <= left for key, need, left, _ in items)
         if fits:
             for key, need, _, takes in items:
                 if takes:
                     gone[key] = gone.get(key, 0) + need
-        seqs.append(at)
-        answers.append(fits)
+        return fits
+
+    def answers(seqs: list[int], accepted: list[bool]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(accepted, pa.bool_())], names=["seq", "accepted"])
 
     for batch in batches:
+        seqs, accepted = [], []
         for seq, *item in zip(*[column.to_pylist() for column in batch.columns]):
             if seq != at:
                 if items:
-                    decide()
+                    seqs.append(at)
+                    accepted.append(decide())
                 at, items = seq, []
             items.append(item)
+        yield answers(seqs, accepted)
     if items:
-        decide()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(seqs, pa.int64()), pa.array(answers, pa.bool_())], names=["seq", "accepted"]
-    )
+        yield answers([at], [decide()])

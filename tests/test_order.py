@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.operators import cash, merge
+from tallyworks.operators import acceptance, cash, merge
 from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.operators.scan import before, chunked
 from tallyworks.sources.tables import assign_keys
@@ -56,9 +56,9 @@ def test_average_cost_in_order(spark, split):
     assert {r.item: r.quantity for r in one.collect()} == {k: v[0] for k, v in state.items()}
 
 
-@pytest.mark.parametrize("tail", [0, 10_000, 40])
-def test_acceptance_in_order(spark, split, tail):
-    rng = random.Random(tail)
+@pytest.mark.parametrize("block", [1, 40, 10_000])
+def test_acceptance_in_order(spark, split, block):
+    rng = random.Random(block + 1)
     stock = {k: D(rng.randint(0, 60)) for k in range(8)}
     documents = []
     for seq in range(120):
@@ -74,10 +74,25 @@ def test_acceptance_in_order(spark, split, tail):
     df = spark.createDataFrame(
         [(seq, k, n, stock[k], takes) for seq, needs, takes in documents for k, n in needs.items()],
         "seq long, key long, need decimal(14,3), stock decimal(14,3), takes boolean")
-    got = {r.seq: r.accepted for r in accept_in_order(df, tail).collect()}
+    got = {r.seq: r.accepted for r in accept_in_order(df, block).collect()}
     assert got == want and len(set(want.values())) == 2
 
 
+def test_alternating_orders_take_few_rounds(spark, monkeypatch):
+    """Small orders alternate with orders just too big: a round decides at least its block."""
+    rounds = []
+    plain = acceptance.materialise
+    monkeypatch.setattr(acceptance, "materialise", lambda df, label: rounds.append(label) or plain(df, label))
+    needs = [(i, 1, D(2) if i % 2 == 0 else D(99 - i), D(100), True) for i in range(24)]
+    df = spark.createDataFrame(needs, "seq long, key long, need decimal(14,3), stock decimal(14,3), takes boolean")
+    left, want = D(100), {}
+    for seq, _, need, _, _ in needs:
+        want[seq] = need <= left
+        left -= need if want[seq] else 0
+    assert {r.seq: r.accepted for r in accept_in_order(df, 8).collect()} == want
+    assert rounds.count("round") <= 4
+
+
 def test_running_totals_and_keys(spark, split):
     rng = random.Random(5)
     data = [(i, rng.choice([1, 1, 1, 2]), rng.randint(-5, 5)) for i in range(60)]
