@@ -11,11 +11,19 @@ RATE = "decimal(7,4)"
 MONTHLY_RATE = "decimal(18,10)"
 TOTAL = "decimal(38,2)"
 
+#: Reason code of a document whose quantity or amount is beyond its column.
+OVERFLOW = 8115
+
 
 def money(c: Column) -> Column:
     return c.cast(MONEY)
 
 
+def money_or_null(c: Column) -> Column:
+    """``c`` as money, null if it is too large."""
+    return c.try_cast(MONEY)
+
+
 def quantity(c: Column) -> Column:
     return c.cast(QUANTITY)
 

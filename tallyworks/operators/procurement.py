@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import line_total, money, total
+from tallyworks.functions.money import OVERFLOW, line_total, money_or_null, total
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import merge_receipts
 from tallyworks.operators.requests import first_requests, repeated_requests
@@ -45,6 +45,7 @@ def create_purchase_orders(
         .when(F.coalesce("_items", F.lit(0)) == 0, 51003)
         .when(F.col("_bad"), 51004)
         .when(F.col("_unknown"), 51005)
+        .when(money_or_null(F.col("_total")).isNull(), OVERFLOW)
     )
     # Orders and lines both depend on the outcome, so it is computed once.
     outcome = materialise(
@@ -54,7 +55,7 @@ def create_purchase_orders(
         .select(
             *documents.columns,
             "reason_code",
-            F.when(F.col("reason_code").isNull(), money(F.col("_total"))).alias("total_amount"),
+            F.when(F.col("reason_code").isNull(), money_or_null(F.col("_total"))).alias("total_amount"),
         ),
         "purchase-outcome",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import MONEY, QUANTITY, line_total, money, per_unit, total, zero_if_null
+from tallyworks.functions.money import MONEY, OVERFLOW, QUANTITY, line_total, money_or_null, per_unit, total, zero_if_null
 from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.operators.merge import issue_stock, merge_receipts
 from tallyworks.session import materialise
@@ -13,7 +13,7 @@ from tallyworks.session import materialise
 
 def explode_recipe(requests: DataFrame, bill_of_materials: DataFrame, raw_inventory: DataFrame) -> DataFrame:
     """Material needs of runs (production_order_id, product_id, quantity): required_qty,
-    unit_cost (the current average, 0 without a stock row) and stock_qty."""
+    unit_cost (the current average, 0 without a stock row) and stock_qty. A need beyond its column is null."""
     stock = raw_inventory.select(
         "raw_material_id", F.col("quantity").alias("stock_qty"), F.col("avg_cost").alias("_avg")
     )
@@ -25,7 +25,7 @@ def explode_recipe(requests: DataFrame, bill_of_materials: DataFrame, raw_invent
             "production_order_id",
             "product_id",
             "raw_material_id",
-            F.round(F.col("qty_per_unit") * F.col("quantity"), 3).cast(QUANTITY).alias("required_qty"),
+            F.round(F.col("qty_per_unit") * F.col("quantity"), 3).try_cast(QUANTITY).alias("required_qty"),
             zero_if_null(F.col("_avg"), MONEY).alias("unit_cost"),
             "stock_qty",
         )
@@ -42,7 +42,7 @@ def shortages(needs: DataFrame) -> DataFrame:
 def run_cost(needs: DataFrame) -> DataFrame:
     """Total cost per run."""
     return needs.groupBy("production_order_id").agg(
-        money(total(F.sum(line_total(F.col("required_qty"), F.col("unit_cost"))))).alias("total_cost")
+        money_or_null(total(F.sum(line_total(F.col("required_qty"), F.col("unit_cost"))))).alias("total_cost")
     )
 
 
@@ -65,20 +65,22 @@ def run_production(
     )
     per_run = needs.groupBy("production_order_id").agg(
         F.max(F.col("stock_qty").isNull()).alias("_no_stock"),
-        F.max(F.col("required_qty") <= 0).alias("_nothing"),
-        money(total(F.sum(line_total(F.col("required_qty"), F.col("unit_cost"))))).alias("total_cost"),
+        F.max(F.coalesce(F.col("required_qty") <= 0, F.lit(False))).alias("_nothing"),
+        F.max(F.col("required_qty").isNull()).alias("_wide"),
+        money_or_null(total(F.sum(line_total(F.col("required_qty"), F.col("unit_cost"))))).alias("total_cost"),
     )
     code = (
         F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), 52001)
         .when(F.col("_product").isNull(), 52002)
         .when(F.col("_no_stock").isNull(), 52003)
         .when(F.col("_no_stock"), 52004)
+        .when(F.col("_wide") | F.col("total_cost").isNull(), OVERFLOW)
     )
     checked = materialise(
         requests.join(known, "product_id", "left")
         .join(per_run, "production_order_id", "left")
         .withColumn("_code", code)
-        .drop("_product", "_no_stock"),
+        .drop("_product", "_no_stock", "_wide"),
         "runs",
     )
     candidates = checked.filter(F.col("_code").isNull()).select("production_order_id", "_nothing")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.money import MONEY, QUANTITY, line_total, money, total
+from tallyworks.functions.money import MONEY, OVERFLOW, QUANTITY, line_total, money_or_null, total
 from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import issue_stock
@@ -96,7 +96,8 @@ def create_sales(
         F.max("bad").alias("bad"),
         F.max("unknown").alias("unknown"),
         F.max("no_stock").alias("no_stock"),
-        money(total(F.sum("amount"))).alias("total_amount"),
+        F.max(F.col("need").isNotNull() & F.col("need").try_cast(QUANTITY).isNull()).alias("wide"),
+        money_or_null(total(F.sum("amount"))).alias("total_amount"),
     )
     buyer = customers.select("customer_id", F.lit(True).alias("_customer"))
     account = accounts.select("account_id", F.lit(True).alias("_account"))
@@ -107,6 +108,7 @@ def create_sales(
         .when(F.col("bad"), 53004)
         .when(F.col("unknown"), 53005)
         .when(F.col("no_stock"), 53006)
+        .when(F.col("wide") | F.col("total_amount").isNull(), OVERFLOW)
     )
     late_code = F.when(F.col("total_amount") <= 0, 50001).when(F.col("_account").isNull(), 50003)
     checked = materialise(
@@ -123,7 +125,7 @@ def create_sales(
         named.join(candidates, "doc_id").select(
             F.col("doc_id").alias("seq"),
             F.col("product_id").alias("key"),
-            F.col("need").cast(QUANTITY).alias("need"),
+            F.col("need").try_cast(QUANTITY).alias("need"),
             "stock",
             "takes",
         )

@@ -63,8 +63,9 @@ def test_purchase_documents(spark, books):
         (11, "not json"),
         (12, "[" + GOOD.replace("2", "0.0005").replace("10.5", "1.99") + "]"),
         (13, ""),
+        (14, '[{"raw_material_id": 1, "quantity": 99999999999, "unit_price": 99999999999}]'),
     ]
-    documents = [(i, 99 if i == 99 else 1) for i in [*range(1, 14), 99]]
+    documents = [(i, 99 if i == 99 else 1) for i in [*range(1, 15), 99]]
     made = procurement.create_purchase_orders(
         spark.createDataFrame(documents, "doc_id long, supplier_id long"),
         spark.createDataFrame(pages, "doc_id long, items_json string"),
@@ -74,7 +75,7 @@ def test_purchase_documents(spark, books):
     )
     assert codes(made["outcome"], "doc_id") == {
         1: None, 2: 51002, 3: 51003, 4: 51003, 5: 51004, 6: 51004, 7: 51004, 8: 51005, 9: None, 10: None, 11: 51002,
-        12: None, 13: 51002, 99: 51001}
+        12: None, 13: 51002, 14: 8115, 99: 51001}
     orders = {r.purchase_id: r for r in made["purchase_orders"].collect()}
     assert {k: r.total_amount for k, r in orders.items()} == {1: D("21.00"), 9: D("21.00"), 10: D("63.00"), 12: D("0.00")}
     assert orders[1].order_date == TODAY and orders[1].status == "ordered"
@@ -121,6 +122,16 @@ def test_production(spark, books):
     assert made["production_orders"].first().order_date == TODAY
 
 
+def test_oversized_run(spark, books):
+    stock = rows(spark, "raw_inventory", [(1, D("10.000"), D("5.00"))], "raw_material_id quantity avg_cost")
+    recipe = rows(spark, "bill_of_materials", [(1, 1, D("100"))])
+    made = production.run_production(
+        spark.createDataFrame([(1, 1, D("99999999999")), (2, 1, D("0.05"))], "production_order_id long, product_id long, quantity decimal(14,3)")
+        .selectExpr("*", "cast(null as date) order_date"),
+        books["products"], recipe, stock, books["finished_inventory"], AS_OF)
+    assert codes(made["outcome"], "production_order_id") == {1: 8115, 2: None}
+
+
 def test_sales(spark, books):
     shelf = rows(spark, "finished_inventory", [(1, D("10"), D("3.00")), (2, D("5"), D("4.00"))], "product_id quantity avg_cost")
     one = '{"product_id": %s, "quantity": %s}'
@@ -138,8 +149,10 @@ def test_sales(spark, books):
         (11, one % (1, 2)),
         (12, f"[{one % (2, 1)}]"),
         (13, f"[{one % (2, 5)}]"),
+        (14, f"[{one % (1, 99999999999)}, {one % (1, 99999999999)}]"),
+        (15, '[{"product_id": 1, "quantity": 1000, "unit_price": 99999999999}]'),
     ]
-    documents = [(i, 99 if i == 99 else 1, 77 if i == 12 else 1) for i in [*range(1, 14), 99]]
+    documents = [(i, 99 if i == 99 else 1, 77 if i == 12 else 1) for i in [*range(1, 16), 99]]
     sold = sales.create_sales(
         spark.createDataFrame(documents, "doc_id long, customer_id long, account_id long"),
         spark.createDataFrame(pages, "doc_id long, items_json string"),
@@ -147,7 +160,7 @@ def test_sales(spark, books):
     # 9: a free sale is refused by the cash posting and so leaves its stock to 11; 12: unknown account.
     assert codes(sold["outcome"], "doc_id") == {
         1: None, 2: 53002, 3: 53003, 4: 53004, 5: 53004, 6: 53005, 7: 53006, 8: 53007, 9: 50001, 10: 53007, 11: None,
-        12: 50003, 13: None, 99: 53001}
+        12: 50003, 13: None, 14: 8115, 15: 8115, 99: 53001}
     left = {r.product_id: r.quantity for r in sold["finished_inventory"].collect()}
     assert left == {1: D("0.000"), 2: D("0.000")}
     assert {r.sales_id: r.total_amount for r in sold["sales_orders"].collect()} == {
