@@ -16,6 +16,7 @@ document ids and only the first document of a window is held.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -102,40 +103,50 @@ def _minimisers(hashes: np.ndarray, window: int, size: int) -> np.ndarray:
 
 class _Sender:
     """Packed strings of a task, compressed by bucket. Each has a part (0 to 255, from its minimiser), a
-    document, a place and a number of words; no words mean a range of known repeats of that many windows."""
+    document, a place and a number of words; no words mean a range of known repeats of that many windows.
+
+    Strings overlap, so until they are sent only their bounds are kept, beside the texts."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.clear()
 
     def clear(self) -> None:
-        self.routes, self.docs, self.places, self.counts, self.strings = [], [], [], [], []
-        self.size = 0
-
-    def add(self, route: int, doc: int, place: int, count: int, words: bytes) -> None:
-        self.routes.append(route)
+        self.docs, self.keys, self.texts = [], [], []
+        self.columns = [array(kind) for kind in "Qiiiqq"]
+        self.size = self.held = 0
+
+    def add(self, doc: int, key: int, text: bytes, routes, starts, counts, begins, ends) -> None:
+        """Strings of one text: routes, first words, counts and bounds; equal bounds if there are no words."""
+        size = int((ends - begins).sum())
+        rows = (routes, np.full(len(routes), len(self.docs)), starts, counts, begins, ends)
+        for column, values, kind in zip(self.columns, rows, (np.uint64, *[np.int32] * 3, np.int64, np.int64)):
+            column.frombytes(values.astype(kind).tobytes())
         self.docs.append(doc)
-        self.places.append(place)
-        self.counts.append(count)
-        self.strings.append(words)
-        self.size += len(words)
+        self.keys.append(key)
+        self.texts.append(text if size else b"")
+        self.size += size
+        self.held += len(self.texts[-1]) + 36 * len(routes)
+
+    def full(self) -> bool:
+        return max(self.size, self.held) >= SEND_BYTES
 
     def flush(self) -> pa.RecordBatch:
-        routes = np.array(self.routes, np.uint64)
+        routes, number, starts, counts, begins, ends = (np.array(c) for c in self.columns)
         bucket = (routes % np.uint64(self.buckets)).astype(np.int64)
         part = (routes >> np.uint64(56)).astype(np.uint8)
         order = np.lexsort((part, bucket))
-        docs, places = np.array(self.docs, np.int64), np.array(self.places, np.int64)
-        counts = np.array(self.counts, np.int32)
+        docs, keys = np.array(self.docs, np.int64), np.array(self.keys, np.int32)
         compressor = zstandard.ZstdCompressor(level=3)
         edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
         found, sent = [], []
         for low, high in zip(edges, edges[1:]):
             rows = order[low:high]
-            strings = b"\n".join([self.strings[i] for i in rows.tolist()])
-            columns = (part[rows], docs[rows], places[rows] & 0xFFFFFFFF, places[rows] >> 32, counts[rows])
-            kinds = (np.uint8, np.int64, np.int32, np.int32, np.int32)
-            head = b"".join(c.astype(k).tobytes() for c, k in zip(columns, kinds))
+            texts = number[rows]
+            bounds = zip(texts.tolist(), begins[rows].tolist(), ends[rows].tolist())
+            strings = b"\n".join([self.texts[t][begin:end] for t, begin, end in bounds])
+            columns = (part[rows], docs[texts], starts[rows], keys[texts], counts[rows])
+            head = b"".join(c.tobytes() for c in columns)
             found.append(int(bucket[rows[0]]))
             sent.append(len(rows).to_bytes(8, "little") + compressor.compress(head + strings))
         self.clear()
@@ -155,6 +166,18 @@ def _received(sent: bytes):
     return zip(part.tolist(), docs.tolist(), places.tolist(), counts.tolist(), data[at:].split(b"\n"))
 
 
+def _runs(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run of equal minimisers, cut at ``MOST_WINDOWS``."""
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(low)) + 1))
+    counts = np.diff(np.append(starts, len(low)))
+    if counts.max() > MOST_WINDOWS:
+        pieces = -(-counts // MOST_WINDOWS)
+        inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        end, starts = np.repeat(starts + counts, pieces), np.repeat(starts, pieces) + MOST_WINDOWS * inside
+        counts = np.minimum(MOST_WINDOWS, end - starts)
+    return starts, counts
+
+
 def _pack(window: int, size: int, buckets: int):
     """Documents to packed super-k-mers."""
 
@@ -169,26 +192,22 @@ def _pack(window: int, size: int, buckets: int):
                 words = texts[row].split()
                 if len(words) < window:
                     continue
-                doc, place = int(docs[row]), int(keys[row]) << 32
+                doc = int(docs[row])
                 hashes = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
                 low = _minimisers(hashes, window, size)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 joined = b" ".join(words)
-                cuts = np.flatnonzero(np.diff(low)) + 1
-                starts = np.concatenate(([0], cuts))
-                counts = np.diff(np.concatenate((starts, [len(low)])))
-                for start, count, route in zip(starts.tolist(), counts.tolist(), low[starts].tolist()):
-                    for at in range(start, start + count, MOST_WINDOWS):
-                        part = min(MOST_WINDOWS, start + count - at)
-                        begin = int(ends[at - 1]) + 1 if at else 0
-                        packed = joined[begin : int(ends[at + part + window - 2])]
-                        if seen.setdefault(packed, doc) < doc:
-                            sender.add(route, doc, place + at, part, b"")
-                        else:
-                            sender.add(route, doc, place + at, part + window - 1, packed)
-                if sender.size >= SEND_BYTES:
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begins = np.concatenate(([0], ends[:-1] + 1))
+                starts, counts = _runs(low)
+                strings = begins[starts], ends[starts + counts + window - 2]
+                packed = [joined[a:b] for a, b in zip(*(c.tolist() for c in strings))]
+                known = np.array([seen.setdefault(p, doc) < doc for p in packed])
+                lengths = np.where(known, counts, counts + window - 1)
+                bounds = (np.where(known, 0, c) for c in strings)
+                sender.add(doc, int(keys[row]), joined, low[starts], starts, lengths, *bounds)
+                if sender.full():
                     yield sender.flush()
-        if sender.routes:
+        if sender.docs:
             yield sender.flush()
 
     return run
