@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import small
 
-from tallyworks.llm import components, simhash, substring
+from tallyworks.llm import components, jaccard, simhash, substring
 
 
 def test_fingerprints_and_groups(spark):
@@ -100,3 +100,12 @@ def test_minimisers_are_the_smallest_hashes():
     mers = substring._minimisers(hashes, 3, 3)
     want = [min(mers[i : i + 11].tolist()) for i in range(len(mers) - 10)]
     assert substring._minimisers(hashes, 13, 3).tolist() == want
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    text, other = "one two three four five six seven", "quite other words than these in the other one"
+    rows = [(None, text), (4, text.upper()), (None, other), (7, None), (3, " "), (9, other), (9, "a b"), (9, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.near_copies(docs).collect())
+    assert got == [(0, 4), (0, 9), (3, 3), (4, 4), (7, 3), (9, 9), (9, 9), (9, 9)]
+    assert jaccard.near_copies(docs.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """The pipeline on small documents, stage by stage against brute force."""
 
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -41,3 +42,35 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {d: len(x) // 4 for d, x in ids.items()} == {
         d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()
     }
+
+
+def edited(words: list[str], places: list[int]) -> str:
+    return " ".join("other" + w if i in places else w for i, w in enumerate(words))
+
+
+def five_words(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_edited_copies_go(spark):
+    """Planted copies of similarity 0.8 to 0.97 go; looser ones stay. One large group shares its cells."""
+    rng = random.Random(8)
+    groups = []
+    for k in range(40):
+        words = [f"t{k}w{rng.randrange(10**6)}" for _ in range(300)]
+        original = five_words(" ".join(words))
+        copies = [" ".join(words)]
+        for places in ([150], [60, 180], [0, 100, 200, 299], [20, 80, 140, 200, 260], [15 + 30 * i for i in range(6)]):
+            copies.append(edited(words, places))
+            common = len(original & five_words(copies[-1]))
+            assert 0.8 <= common / len(original | five_words(copies[-1])) <= 0.97
+        loose = edited(words, [10 + 20 * i for i in range(14)])
+        assert len(original & five_words(loose)) / len(original | five_words(loose)) < 0.7
+        groups += [copies, [loose]]
+    groups.append([edited([f"large{i}" for i in range(400)], [i]) for i in range(1, 390)])
+    docs = small.documents(spark, [text for group in groups for text in group], repeat=False)
+    ids = {r.text: r.doc_id for r in docs.collect()}
+    assert len(set(ids.values())) == sum(map(len, groups))
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {min(ids[text] for text in group) for group in groups}
