@@ -23,7 +23,8 @@ def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     After a payment of ``a`` a balance between L and U lies between max(L - a, 0) and
     max(U - a, a - 1 cent). So each bound is the running sum of all movements plus the
-    highest reset so far, and the bounds are never further apart than the largest payment.
+    highest reset so far, and the bounds are never further apart than the largest payment. A balance
+    that opens below zero may stay there, as payments are refused, but never falls below its opening.
     """
     run = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,6 +42,7 @@ def _balance_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     )
     resets = {name: F.max(F.col(name) - F.col("_moved")).over(earlier) for name in ("_least", "_most")}
     low, high = (F.col("_moved") + F.greatest("_opening", reset) for reset in resets.values())
+    low = F.when(F.col("_opening") < 0, F.least("_opening", low)).otherwise(low)
     base = F.lit(0).cast("bigint").alias("_start_base")
     return chunks.select(key, "_chunk", base, "_opening", low.alias("_low"), high.alias("_high"))
 

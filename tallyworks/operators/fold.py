@@ -60,7 +60,7 @@ def through(layers: list[list[Piece]], state: int) -> int:
     for pieces in layers:
         i = bisect_right(pieces, state, key=lambda p: p.first) - 1
         if i < 0 or state > pieces[i].last:
-            raise ValueError("a state lies outside its bounds: amounts must be positive and openings not negative")
+            raise ValueError("a state lies outside its bounds")
         state = pieces[i].at(state)
     return state
 

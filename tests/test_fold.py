@@ -94,6 +94,14 @@ def test_large_payments_on_one_account(spark, kinds):
     posted_in_order(spark, D(700_000), moves, 40)
 
 
+@pytest.mark.parametrize("opening", [D(-100), D(-5_000_000)])
+def test_a_cut_account_that_opens_below_zero(spark, opening):
+    moves = [(0, 1, "out", D(50)), (1, 1, "in", D(10))]
+    rng = random.Random(12)
+    moves += [(i, 1, rng.choice(["in", "in", "out"]), D(rng.randint(1, 10_000_000)) / 100) for i in range(2, 200)]
+    posted_in_order(spark, opening, moves, 2 if opening == -100 else 40)
+
+
 def test_small_receipts_into_a_large_stock(spark):
     receipts = [(i, 1, D(2000), D(24000)) for i in range(300)]
     stock = [(1, D(1_000_000), D(10))]
