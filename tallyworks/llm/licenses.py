@@ -53,6 +53,14 @@ RULES = [
     ("all-rights-reserved", ["rights"]),
 ]
 
+# Sentences and rules of whole notices, known beside the fixed values where notices are read.
+NOTICE_SENTENCES = {
+    "apache-notice": SENTENCES["apache-long"] + " " + SENTENCES["apache-limit"],
+    "mit-notice": SENTENCES["mit-long"]
+    + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+}
+NOTICE_RULES = [("Apache-2.0", ["apache-notice"]), ("MIT", ["mit-notice"])]
+
 #: Ends of sentences: marks and white space behind them, or line ends.
 SENTENCE_END = r"[.!?]+[ \t\r\f]*\n|[.!?]+[ \t\r\f]+|\n+"
 OTHER = r"[^\p{L}\p{N}]+"
@@ -62,7 +70,15 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def unwrapped(text: Column) -> Column:
+    """The text with the lines of a paragraph on one line: only blank lines and starts of list items
+    still break it. The mark of ``v. 2`` ends no sentence and goes."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    text = F.regexp_replace(text, r"(?<!\n)\n(?![ \t\f]*(\n|[-*•][ \t]|\(?[0-9a-z]{1,2}[.)][ \t]))(?<!\n[ \t\f]{1,99}\n)", " ")
+    return F.regexp_replace(text, r"(?i)\b(v)\.[ \t\f]*(?=[0-9])", "$1 ")
+
+
+def scan(docs: DataFrame, notices: bool = False) -> DataFrame:
     """All columns of ``docs`` (text and any others) with ``n_sentences`` (with a letter or digit),
     ``n_known`` (licence sentences), ``sequence`` (their identifiers in order, separated by spaces, ``-`` for
     anything between) and ``licenses`` (names in order of the rules, separated by commas, each once). These
@@ -70,13 +86,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no sentences. Rows are judged one by one, also repeated ones. An empty table
     gives an empty result.
+
+    With ``notices``, texts are ``unwrapped`` first and the sentences of whole notices are known too.
     """
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    longest = max(map(len, SENTENCES.values()))
+    sentences_of = SENTENCES | NOTICE_SENTENCES if notices else SENTENCES
+    rules_of = [*NOTICE_RULES, *RULES] if notices else RULES
+    known = F.create_map(*(F.lit(x) for name, sentence in sentences_of.items() for x in (sentence, name)))
+    longest = max(map(len, sentences_of.values()))
     row = docs.select(F.struct("*").alias("row"))
-    sentences = F.filter(
-        F.transform(F.split(F.coalesce("row.text", F.lit("")), SENTENCE_END), normalise), lambda s: s != ""
-    )
+    text = F.coalesce("row.text", F.lit(""))
+    parts = F.split(unwrapped(text) if notices else text, SENTENCE_END)
+    sentences = F.filter(F.transform(parts, normalise), lambda s: s != "")
     name = F.transform(
         F.col("sentences"),
         lambda s: F.when(F.length(s) <= longest, F.coalesce(known[s], F.lit("-"))).otherwise("-"),
@@ -96,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rest = F.concat(F.lit(" "), F.replace("sequence", F.lit(" "), F.lit("  ")), F.lit(" "))
     steps = counted.withColumn("rest", rest).withColumn("found", F.array().cast("array<string>"))
     state = F.struct("rest", "found")
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("".join(f" {s} " for s in ids)).alias("ids")) for n, ids in RULES))
+    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("".join(f" {s} " for s in ids)).alias("ids")) for n, ids in rules_of))
 
     def apply(held: Column, rule: Column) -> Column:
         hit = F.contains(held["rest"], rule["ids"])

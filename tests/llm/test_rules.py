@@ -113,3 +113,41 @@ def test_licence_rules(spark):
     got = {r.doc_id: (r.n_sentences, r.n_known, r.licenses) for r in licenses.scan(docs).collect()}
     assert got == {0: (3, 2, "Apache-2.0"), 1: (3, 3, "MIT,all-rights-reserved"), 2: (1, 1, ""), 3: (0, 0, ""), 4: (0, 0, "")}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    texts = {
+        "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+""",
+        "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "MIT": """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice""",
+        "BSD": """Redistribution and use in source and binary forms, with or without\r
+modification, are permitted provided that the following conditions are met:\r
+1. Redistributions of source code must retain the above copyright notice""",
+        "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+  
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "name string, text string")
+    assert {r.name: r.licenses for r in licenses.scan(docs, notices=True).collect()} == {n: n for n in texts}
