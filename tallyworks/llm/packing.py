@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import PieceEncoder, WordTable, slices, token_bytes, utf8
+from tallyworks.llm.texts import PieceEncoder, WordTable, kept, slices, token_bytes, utf8
 from tallyworks.session import materialise
 
 LENGTH = 2048
@@ -41,13 +41,17 @@ _PIECES_ARROW = pa.schema(
 )
 
 
+def _word_table(tokenizer_json: str) -> WordTable:
+    return WordTable(PieceEncoder(tokenizer_json))
+
+
 def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     """Ids of every document, each followed by ``end_id``, with offsets inside the partition."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
     ending = token_bytes([end_id])
 
     def encode(batches):
-        table = WordTable(PieceEncoder(shared.value))
+        table = kept(_word_table, shared.value)
         part, position = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             ids = [b"".join(map(table.__getitem__, text.split())) + ending for text in utf8(batch.column("text"))]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import (
+    alignment,
     bpe,
     chat,
     licenses,
@@ -24,6 +25,7 @@ from tallyworks.llm import (
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Tokens beyond which a text counts as over the limit.
 TOKEN_LIMIT = 2048
@@ -113,9 +115,7 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = _vocabulary(WORD_VOCABULARY)
-    coded = bpe.decode(bpe.encode(_table(spark, folder, "documents"), vocabulary), vocabulary)
-    return coded.select(
+    return bpe.round_trip(_table(spark, folder, "documents"), _vocabulary(WORD_VOCABULARY)).select(
         "doc_id",
         _tokens("ids").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -132,6 +132,13 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    with open(PIECE_MODEL, "rb") as file:
+        model = file.read()
+    documents = _table(spark, folder, "documents")
+    return alignment.linked(documents, _vocabulary(BYTE_VOCABULARY), model, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -146,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bpe,
         op10_substring,
         op11_prefix_trie,
+        op13_alignment,
     )
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
+import sys
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,9 +16,48 @@ import pyarrow.compute as pc
 #: Bytes of text that a Python worker handles at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 8 << 20
 
-#: Entries of a word table. A full table becomes the older one, which is asked before a word is
-#: encoded again; the older one before it goes. This changes no result.
-TABLE_ENTRIES = 400_000
+#: Bytes of keys and values of a word table. A full table becomes the older one, which is asked before
+#: a word is encoded again; the older one before it goes. This changes no result.
+TABLE_BYTES = 48 << 20
+
+#: Longer words are encoded every time and never stored.
+STORED_WORD = 200
+
+#: Encoders and tables that a Python worker keeps for its next tasks.
+KEPT = 4
+_KEPT: OrderedDict = OrderedDict()
+
+
+def kept(make: Callable, *args: str):
+    """``make(*args)``, made once in a worker process and kept for its later tasks. Arguments are vocabularies;
+    the least recently used of more than ``KEPT`` objects goes."""
+    key = make, *(hashlib.sha256(a.encode()).digest() for a in args)
+    if key not in _KEPT:
+        while len(_KEPT) >= KEPT:
+            _KEPT.popitem(last=False)
+        _KEPT[key] = make(*args)
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
+
+
+class Bounded(dict):
+    """A dictionary of words with bounded memory."""
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, 0
+        self.older: dict = {}
+
+    def store(self, word, value):
+        if len(word) > STORED_WORD:
+            return value
+        size = sys.getsizeof(word) + sys.getsizeof(value) + 100
+        if self.used + size > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.used = 0
+        self.used += size
+        self[word] = value
+        return value
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,12 +95,12 @@ def token_bytes(ids: list[int]) -> bytes:
 
 # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_SYMBOLS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
+BYTE_SYMBOLS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
 
 
 def byte_symbols(text: str) -> str:
     """The text's UTF-8 bytes in the byte-level alphabet."""
-    return text if text.isalpha() and text.isascii() else text.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+    return text if text.isalpha() and text.isascii() else text.encode().decode("latin-1").translate(BYTE_SYMBOLS)
 
 
 def one_word(text: str) -> bool:
@@ -95,24 +137,17 @@ def _split_marks(piece: str) -> tuple[str, str] | None:
     return None
 
 
-class WordTable(dict):
+class WordTable(Bounded):
     """What ``encode`` gives for words between ASCII white space, for a vocabulary that drops white
     space and case. Values of a word and the marks behind it add up."""
 
-    def __init__(self, encode: Callable, entries: int = TABLE_ENTRIES):
+    def __init__(self, encode: Callable, limit: int = TABLE_BYTES):
+        super().__init__(limit)
         self.encode = encode
-        self.entries = entries
-        self.older: dict = {}
 
     def __missing__(self, word: bytes):
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(word)
-        if value is None:
-            value = self._find(word)
-        self[word] = value
-        return value
+        return self.store(word, self._find(word) if value is None else value)
 
     def _find(self, word: bytes):
         core = word.lower().rstrip(_MARKS.encode())
@@ -129,25 +164,23 @@ class WordTable(dict):
         return self.encode(lower)
 
 
-class _Spaced(dict):
+class _Spaced(Bounded):
     """Ids of pieces behind one space. None where the piece cannot be told from what follows."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, entries: int):
-        self.encode, self.lead, self.entries = encode, lead, entries
-        self.older: dict = {}
-        self.bare: dict = {}
+    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int, marks: bool):
+        super().__init__(limit)
+        self.encode, self.lead, self.marks = encode, lead, marks
+        self.bare = Bounded(limit // 4)
 
     def __missing__(self, piece: str):
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
+        if not piece or piece[-1].isspace():
+            return None
         value = self.older.get(piece)
-        if value is None and piece and not piece[-1].isspace():
-            value = self._find(piece)
-        self[piece] = value
-        return value
+        return self.store(piece, self._find(piece) if value is None else value)
 
     def _find(self, piece: str) -> bytes:
+        if not self.marks:
+            return self.encode(self.lead + piece)
         line = piece.find("\n")
         if line > 0 and not piece[line - 1].isspace():
             return self[piece[:line]] + self._bare(piece[line:])
@@ -157,11 +190,7 @@ class _Spaced(dict):
     def _bare(self, piece: str) -> bytes:
         """Ids of a piece that has no space in front: marks, or a line end and what follows."""
         value = self.bare.get(piece)
-        if value is None:
-            if len(self.bare) >= self.entries // 4:
-                self.bare.clear()
-            value = self.bare[piece] = self.encode(piece)
-        return value
+        return self.bare.store(piece, self.encode(piece)) if value is None else value
 
 
 class SpacedTexts:
@@ -170,13 +199,14 @@ class SpacedTexts:
 
     A text may be cut in front of a space that follows anything but white space: no match of the
     split pattern goes across. Pieces between such spaces are encoded once and looked up from then
-    on; pieces that end in white space are joined with the next one first.
+    on; pieces that end in white space are joined with the next one first. With ``marks`` false, pieces
+    are not taken apart any further.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], entries: int = TABLE_ENTRIES):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = TABLE_BYTES, marks: bool = True):
         self.encode = encode
-        self.inner = _Spaced(encode, " ", entries)
-        self.first = _Spaced(encode, "", entries // 16 + 1)
+        self.inner = _Spaced(encode, " ", limit, marks)
+        self.first = _Spaced(encode, "", limit // 16 + 1, marks)
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -187,6 +217,18 @@ class SpacedTexts:
         except TypeError:  # some piece is empty or ends in white space
             return self._ids_joined(first, rest)
 
+    def spaced_ids(self, text: str) -> bytes:
+        """Ids of the text behind a space."""
+        found = self.plain_ids(text)
+        return self.ids(" " + text) if found is None else found
+
+    def plain_ids(self, text: str) -> bytes | None:
+        """Ids of the text behind a space if every piece can be looked up by itself, else None."""
+        try:
+            return b"".join(map(self.inner.__getitem__, text.split(" ")))
+        except TypeError:  # some piece is empty or ends in white space
+            return None
+
     def _ids_joined(self, first: str, rest: list[str]) -> bytes:
         out, held = [], first
         for piece in rest:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import PieceEncoder, SpacedTexts, slices, token_bytes
+from tallyworks.llm.texts import PieceEncoder, SpacedTexts, kept, slices, token_bytes
 from tallyworks.session import materialise, shared_folder
 
 #: Ids that a frame holds at least, but for the last one of a file.
@@ -148,6 +148,10 @@ class FrameReader:
             yield None if doc_id == _NULL_ID else doc_id, int(self.starts[number]), data
 
 
+def _spaced_texts(tokenizer_json: str) -> SpacedTexts:
+    return SpacedTexts(PieceEncoder(tokenizer_json, lead=" ", folds_case=False))
+
+
 def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write their ids to ``folder`` in ascending order of doc_id.
 
@@ -160,7 +164,7 @@ def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str,
     ending = token_bytes([end_id])
 
     def write(batches):
-        table = SpacedTexts(PieceEncoder(shared.value, lead=" ", folds_case=False))
+        table = kept(_spaced_texts, shared.value)
         context = TaskContext.get()
         path = f"{folder}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.ids.zst"
         files, where = _open(path)
