@@ -13,6 +13,7 @@ from tallyworks.llm import (
     bpe,
     chat,
     licenses,
+    lm_scoring,
     packing,
     prefix_trie,
     quality,
@@ -27,6 +28,9 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
+#: Ids that the word vocabulary has for the begin and the end of a text.
+TEXT_BEGIN, TEXT_END = 49406, 49407
+
 #: Tokens beyond which a text counts as over the limit.
 TOKEN_LIMIT = 2048
 
@@ -132,6 +136,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
 
 
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, folder, "documents"), _vocabulary(WORD_VOCABULARY), TEXT_BEGIN, TEXT_END)
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     with open(PIECE_MODEL, "rb") as file:
         model = file.read()
@@ -153,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bpe,
         op10_substring,
         op11_prefix_trie,
+        op12_lm_scoring,
         op13_alignment,
     )
 }
