@@ -97,7 +97,7 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, folder, "documents"))
+    return simhash.near_duplicates(_table(spark, folder, "documents")).drop("text_key")
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:

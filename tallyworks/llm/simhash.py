@@ -35,8 +35,8 @@ _BLOCKS = 16
 _BITS = 4
 _SPREAD = 8
 
-_SCHEMA = "doc_id long, fp long"
-_SCHEMA_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_SCHEMA = "doc_id long, text_key long, fp long"
+_SCHEMA_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
 
 def _signed(value: int) -> int:
@@ -59,15 +59,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > number, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` of every row of ``docs`` (doc_id, text), written to the shared folder."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``text_key`` (hash of the text) and ``fp`` of every row of ``docs`` (doc_id, text), written to
+    the shared folder."""
 
     def run(batches):
         for batch in slices(batches):
-            values = [fingerprint(text) for text in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())], schema=_SCHEMA_ARROW)
+            values = [fingerprint(text, shingle) for text in utf8(batch.column("text"))]
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(values, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA_ARROW)
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA), "simhash")
+    return materialise(docs.select(F.col("doc_id").cast("long"), text_key(), "text").mapInArrow(run, _SCHEMA), "simhash")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
 
 
 def _distance(reference: int) -> Column:
@@ -101,30 +107,46 @@ def _far_apart(i: int) -> Column:
     return F.abs(a - b)
 
 
-def links(table: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of a distance table within ``MOST`` bits."""
+def links(table: DataFrame, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of different fingerprints of a distance table within ``most`` bits (up to ``MOST``)."""
+    if not 0 <= most <= MOST:
+        raise ValueError(f"fingerprints are filed for distances up to {MOST}")
     filed = _filed(table)
     other = filed.select("cell", F.col("fp").alias("other"), F.col("far").alias("other_far"))
-    near = F.greatest(*(_far_apart(i) for i in range(_SPREAD))) <= MOST
-    same = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MOST
+    near = F.greatest(*(_far_apart(i) for i in range(_SPREAD))) <= most
+    same = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most
     pairs = filed.join(other, "cell").filter((F.col("fp") < F.col("other")) & near & same)
     return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row of ``docs`` (doc_id,
-    text; other columns are ignored).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """``doc_id``, ``text_key`` (hash of the text), ``fingerprint`` (16 hex digits) and ``component_id`` of every row of
+    ``docs`` (doc_id, text; other columns are ignored).
 
-    ``component_id`` is the smallest doc_id reachable over links of at most ``MOST`` differing bits, the
+    ``component_id`` is the smallest doc_id reachable over links of at most ``most`` differing bits, the
     own one included. A null, empty or blank text has fingerprint zero and is linked like any other. Rows
     with a null or repeated id are rows of their own; a group without any id has a null component.
     """
-    prints = fingerprints(docs)
+    prints = fingerprints(docs, shingle)
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     table = materialise(distance_table(distinct), "simhash-distances")
-    roots = components(links(table), "simhash-links").select(F.col("id").alias("fp"), "root")
+    roots = components(links(table, most), "simhash-links").select(F.col("id").alias("fp"), "root")
     rooted = table.join(roots, "fp", "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", hexed, "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", hexed, "component_id")
+
+
+def without_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest doc_id of each group of ``near_duplicates``.
+
+    A row goes by its id and its text, so of rows that share an id only those go whose text has an
+    earlier copy. Rows without an id stay.
+    """
+    groups = near_duplicates(docs, shingle, most)
+    copies = groups.filter("doc_id > component_id").select("doc_id", "text_key").distinct()
+    kept = docs.withColumn("_own_key", text_key())
+    renamed = copies.select(F.col("doc_id").alias("_copy_id"), F.col("text_key").alias("_copy_key"))
+    same = (kept["doc_id"] == renamed["_copy_id"]) & (kept["_own_key"] == renamed["_copy_key"])
+    return kept.join(renamed, same, "left_anti").drop("_own_key")
