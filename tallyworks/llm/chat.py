@@ -117,7 +117,7 @@ def read_turns(text: Column) -> Column:
     """Turns (role, text) of a formatted conversation; placeholders stay in the text."""
 
     def turn(block: Column) -> Column:
-        role = F.regexp_extract(block, r"^((?:[^\\\n]|\\[\s\S])*)\n", 1)
+        role = F.regexp_extract(block, r"^([^\\\n]*+(?:\\[\s\S][^\\\n]*+)*+)\n", 1)
         body = F.substring(block, F.length(role) + 2, F.length(block) - F.length(role) - 2 - len(END))
         return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
 

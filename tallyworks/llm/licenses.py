@@ -63,6 +63,8 @@ NOTICE_RULES = [("Apache-2.0", ["apache-notice"]), ("MIT", ["mit-notice"])]
 
 #: Ends of sentences: marks and white space behind them, or line ends.
 SENTENCE_END = r"[.!?]+[ \t\r\f]*\n|[.!?]+[ \t\r\f]+|\n+"
+#: The same for an engine that goes back in a match: only the first mark of a run may start one.
+SENTENCE_END_ONCE = r"(?<![.!?])[.!?]++[ \t\r\f]*+\n|(?<![.!?])[.!?]++[ \t\r\f]++|\n++"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -95,7 +97,7 @@ def scan(docs: DataFrame, notices: bool = False) -> DataFrame:
     longest = max(map(len, sentences_of.values()))
     row = docs.select(F.struct("*").alias("row"))
     text = F.coalesce("row.text", F.lit(""))
-    parts = F.split(unwrapped(text) if notices else text, SENTENCE_END)
+    parts = F.split(unwrapped(text) if notices else text, SENTENCE_END_ONCE)
     sentences = F.filter(F.transform(parts, normalise), lambda s: s != "")
     name = F.transform(
         F.col("sentences"),

@@ -52,7 +52,15 @@ _READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    return fs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark's file system gives it, as the file libraries name them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, rest = full.split(":", 1)
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else "//" + rest)
 
 
 class FrameWriter:
@@ -162,6 +170,7 @@ def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str,
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
     ending = token_bytes([end_id])
+    folder = qualified(docs.sparkSession, folder)
 
     def write(batches):
         table = kept(_spaced_texts, shared.value)
@@ -186,9 +195,11 @@ def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str,
 def read_files(files: DataFrame) -> DataFrame:
     """All documents of the listed files: ``doc_id``, ``start`` (ids of all documents before it),
     ``n_tokens``, ``ids``. Frame checksums are verified."""
+    files = files.filter("file_docs > 0")
+    number = max(1, files.count())
     # One row for each file, so a single task can sum them in order.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("path", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("base"))
+    placed = files.select("part", "path", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("base"))
 
     def read(batches):
         for batch in batches:
@@ -206,7 +217,7 @@ def read_files(files: DataFrame) -> DataFrame:
                         ]
                         yield pa.RecordBatch.from_arrays(columns, schema=_READ_ARROW)
 
-    return placed.repartition("path").mapInArrow(read, _READ)
+    return placed.repartitionByRange(number, "part").select("path", "base").mapInArrow(read, _READ)
 
 
 def read_documents(path: str, doc_ids: list[int]) -> dict[int, bytes]:

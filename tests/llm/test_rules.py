@@ -151,3 +151,17 @@ GNU General Public License for more details.""",
     }
     docs = spark.createDataFrame(list(texts.items()), "name string, text string")
     assert {r.name: r.licenses for r in licenses.scan(docs, notices=True).collect()} == {n: n for n in texts}
+
+
+def test_very_long_roles(spark):
+    role = "r\n\\" * 40_000
+    turns = spark.createDataFrame([(1, 0, role, [("text", "hi", None, None)])], f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    [row] = chat.format_chats(turns).select(chat.read_turns(chat.formatted()).alias("read")).collect()
+    assert [tuple(t) for t in row.read] == [(role, "hi")]
+
+
+def test_very_long_runs_of_marks(spark):
+    texts = ["." * 1_000_000, "a" + "?!" * 300_000 + " Released under the MIT License. b", "no end " * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.n_known) for r in licenses.scan(docs).collect()}
+    assert got == {0: (0, 0), 1: (3, 1), 2: (1, 0)}

@@ -109,10 +109,10 @@ def test_files_find_documents_and_damage(spark, tmp_path):
     [file] = token_files.write_files(docs, small.vocabulary(small.BYTES), 0, str(tmp_path / "out"), frame_ids=300).collect()
     found = token_files.read_documents(file.path, [3, 31])
     assert sorted(found) == [3, 31]
-    data = bytearray(open(file.path, "rb").read())
+    data = bytearray(open(file.path.removeprefix("file://"), "rb").read())
     assert struct.unpack("<I", data[-4:])[0] == 0x8F92EAB1
     data[30] ^= 255
-    open(file.path, "wb").write(data)
+    open(file.path.removeprefix("file://"), "wb").write(data)
     with pytest.raises(Exception):
         token_files.read_documents(file.path, list(range(40)))
 
@@ -124,3 +124,12 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(empty, words).count() == 0
     assert bpe.decode(bpe.encode(empty, words), words).count() == 0
     assert token_files.read_files(token_files.write_files(empty, raw, 0, token_files.new_folder(spark))).count() == 0
+
+
+def test_files_are_read_by_a_task_each(spark, tmp_path):
+    docs = small.documents(spark, [f"text {i}" for i in range(60)], repeat=False).repartition(6)
+    files = token_files.write_files(docs, small.vocabulary(small.BYTES), 0, str(tmp_path / "plain path"))
+    written = [r for r in files.collect() if r.file_docs]
+    assert len(written) > 1 and all(r.path.startswith("file:///") for r in written)
+    read = token_files.read_files(files)
+    assert read.rdd.getNumPartitions() == len(written) and read.count() == 60
