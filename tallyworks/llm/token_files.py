@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def qualified(spark: SparkSession, folder: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     scheme, rest = full.split(":", 1)
-    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else "//" + rest)
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest if rest.startswith("//") else "//" + rest, safe="/:@")
 
 
 class FrameWriter:
