@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import BYTE_SYMBOLS, PieceEncoder, SpacedTexts, kept, slices, token_bytes
+from tallyworks.llm.texts import BYTE_SYMBOLS, TABLE_BYTES, Bounded, PieceEncoder, SpacedTexts, kept, slices, token_bytes
 from tallyworks.session import materialise
 
 #: Rows of the broadcast table of pairs: 13 bytes each.
@@ -52,18 +52,17 @@ def one_to_one(a: list[int], b: list[int], i: int, j: int) -> int:
     return run
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def align(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of either side up to the end of every group, for two ascending end arrays with the same last end."""
-    of_a: list[int] = []
-    of_b: list[int] = []
+    runs: list[int] = []  # tokens of A and of B up to the end of a run's first group, groups of the run
     i, j, count = 0, 0, len(a)
     while i < count:
-        run = one_to_one(a, b, i, j)
-        of_a.extend(range(i + 1, i + run + 1))
-        of_b.extend(range(j + 1, j + run + 1))
-        i, j = i + run, j + run
-        if i == count:
-            break
+        if a[i] == b[j]:
+            run = one_to_one(a, b, i, j)
+            runs += (i + 1, j + 1, run)
+            i, j = i + run, j + run
+            if i == count:
+                break
         x, y = a[i], b[j]
         while x != y:
             if x < y:
@@ -73,18 +72,21 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                 j += 1
                 y = b[j]
         i, j = i + 1, j + 1
-        of_a.append(i)
-        of_b.append(j)
-    return of_a, of_b
+        runs += (i, j, 1)
+    of_a, of_b, sizes = np.array(runs, np.int64).reshape(-1, 3).T
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(of_a, sizes) + inside, np.repeat(of_b, sizes) + inside
 
 
 class ByteSide:
     """Tokens of a byte-level vocabulary behind a space; strings of special tokens are plain text."""
 
     def __init__(self, tokenizer_json: str):
-        encoder = PieceEncoder(tokenizer_json, lead=" ", folds_case=False)
-        encoder.tokenizer.encode_special_tokens = True
-        self.table = SpacedTexts(encoder)
+        self.encoder = PieceEncoder(tokenizer_json, lead=" ", folds_case=False)
+        self.encoder.tokenizer.encode_special_tokens = True
+        self.table = SpacedTexts(self.encoder)
+        self.table.inner.encode = self._ids_of
+        self.exact = True
         vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
         back = {chr(symbol): byte for byte, symbol in BYTE_SYMBOLS.items()}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -92,8 +94,16 @@ class ByteSide:
             if all(c in back for c in text):
                 self.bytes[token] = bytes(back[c] for c in text)
 
-    def ids(self, text: str) -> bytes:
-        return self.table.spaced_ids(text)
+    def ids(self, text: str) -> tuple[bytes, bool]:
+        """Ids, and whether they are known to give the text back."""
+        found = self.table.plain_ids(text)
+        return (self.table.ids(" " + text), False) if found is None else (found, self.exact)
+
+    def _ids_of(self, piece: str) -> bytes:
+        ids = self.encoder(piece)
+        if b"".join(self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()) != piece.encode():
+            self.exact = False  # from now on every text is compared
+        return ids
 
 
 class PieceSide:
@@ -110,14 +120,27 @@ class PieceSide:
         ]
         # Where no piece has a space behind something else, text between spaces is encoded by itself.
         self.cuts = all("▁" not in p.lstrip("▁") for p in pieces)
-        self.table = SpacedTexts(lambda piece: token_bytes(self.processor.encode(piece[1:], num_threads=1)), marks=False)
-
-    def ids(self, text: str) -> bytes:
-        if self.cuts and "▁" not in text:
-            found = self.table.plain_ids(text)
-            if found is not None:
-                return found
-        return token_bytes(self.processor.encode(text, num_threads=1))
+        self.table = Bounded(TABLE_BYTES)
+
+    def _fill(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces behind a space; none for those that do not come back from their ids."""
+        out = {}
+        for piece, ids in zip(missing, self.processor.encode(missing, num_threads=1)):
+            if b"".join(map(self.bytes.__getitem__, ids)) == b" " + piece.encode():
+                out[piece] = self.table.store(piece, token_bytes(ids))
+        return out
+
+    def ids(self, text: str) -> tuple[bytes, bool]:
+        """Ids, and whether they are known to give the text back."""
+        pieces = text.split(" ")
+        if self.cuts and "" not in pieces and "▁" not in text:
+            found = list(map(self.table.get, pieces))
+            if None in found:
+                extra = self._fill(list({p for p, ids in zip(pieces, found) if ids is None}))
+                found = [extra.get(p) if ids is None else ids for p, ids in zip(pieces, found)]
+            if None not in found:
+                return b"".join(found), True
+        return token_bytes(self.processor.encode(text, num_threads=1)), False
 
 
 class Aligner:
@@ -129,7 +152,7 @@ class Aligner:
         self.kind = np.dtype("<u4") if len(self.a.bytes) * self.size_b <= 1 << 32 else np.dtype("<u8")
         self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
         self.names = [
-            [np.array([f"{i}{mark}" for i in range(len(side.bytes))], object) for mark in marks]
+            [np.array([f"{i}{mark}" for i in range(len(side.bytes))], "S") for mark in marks]
             for side, marks in ((self.a, ",|"), (self.b, ",;"))
         ]
 
@@ -140,12 +163,13 @@ class Aligner:
         whole = b" " + text.encode()
         found = []
         for side, lengths in zip((self.a, self.b), self.lengths):
-            ids = np.frombuffer(side.ids(text), "<u4")
-            if b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole:
+            ids, known = side.ids(text)
+            ids = np.frombuffer(ids, "<u4")
+            if not known and b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole:
                 return None
             found.append((ids, np.cumsum(lengths[ids])))
         (a, ends_a), (b, ends_b) = found
-        of_a, of_b = (np.array(x, np.int64) for x in align(ends_a.tolist(), ends_b.tolist()))
+        of_a, of_b = align(ends_a.tolist(), ends_b.tolist())
         pairs = self._links(a, ends_a, b, ends_b)
         return len(a), len(b), len(of_a), len(pairs), self._written(a, b, of_a, of_b), np.sort(pairs).tobytes()
 
@@ -160,7 +184,7 @@ class Aligner:
 
     def _written(self, a, b, of_a, of_b) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-        out = np.empty(len(a) + len(b), object)
+        out = np.empty(len(a) + len(b), max(names.dtype for pair in self.names for names in pair))
         start_b = np.concatenate(([0], of_b[:-1]))
         size_a, size_b = np.diff(of_a, prepend=0), np.diff(of_b, prepend=0)
         place_a = np.arange(len(a)) + np.repeat(start_b, size_a)
@@ -169,7 +193,7 @@ class Aligner:
         out[place_a[of_a - 1]] = self.names[0][1][a[of_a - 1]]
         out[place_b] = self.names[1][0][b]
         out[place_b[of_b - 1]] = self.names[1][1][b[of_b - 1]]
-        return "".join(out.tolist())[:-1]
+        return out.tobytes().replace(b"\0", b"")[:-1].decode()
 
 
 def align_documents(docs: DataFrame, byte_json: str, piece_model: bytes, digest: bool = False) -> DataFrame:

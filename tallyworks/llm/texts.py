@@ -167,9 +167,9 @@ class WordTable(Bounded):
 class _Spaced(Bounded):
     """Ids of pieces behind one space. None where the piece cannot be told from what follows."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int, marks: bool):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, limit: int):
         super().__init__(limit)
-        self.encode, self.lead, self.marks = encode, lead, marks
+        self.encode, self.lead = encode, lead
         self.bare = Bounded(limit // 4)
 
     def __missing__(self, piece: str):
@@ -179,8 +179,6 @@ class _Spaced(Bounded):
         return self.store(piece, self._find(piece) if value is None else value)
 
     def _find(self, piece: str) -> bytes:
-        if not self.marks:
-            return self.encode(self.lead + piece)
         line = piece.find("\n")
         if line > 0 and not piece[line - 1].isspace():
             return self[piece[:line]] + self._bare(piece[line:])
@@ -199,14 +197,13 @@ class SpacedTexts:
 
     A text may be cut in front of a space that follows anything but white space: no match of the
     split pattern goes across. Pieces between such spaces are encoded once and looked up from then
-    on; pieces that end in white space are joined with the next one first. With ``marks`` false, pieces
-    are not taken apart any further.
+    on; pieces that end in white space are joined with the next one first.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = TABLE_BYTES, marks: bool = True):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = TABLE_BYTES):
         self.encode = encode
-        self.inner = _Spaced(encode, " ", limit, marks)
-        self.first = _Spaced(encode, "", limit // 16 + 1, marks)
+        self.inner = _Spaced(encode, " ", limit)
+        self.first = _Spaced(encode, "", limit // 16 + 1)
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -217,11 +214,6 @@ class SpacedTexts:
         except TypeError:  # some piece is empty or ends in white space
             return self._ids_joined(first, rest)
 
-    def spaced_ids(self, text: str) -> bytes:
-        """Ids of the text behind a space."""
-        found = self.plain_ids(text)
-        return self.ids(" " + text) if found is None else found
-
     def plain_ids(self, text: str) -> bytes | None:
         """Ids of the text behind a space if every piece can be looked up by itself, else None."""
         try:

@@ -125,7 +125,7 @@ def test_runs_are_skipped_exactly():
             b = sorted({*a, *b[:2]} - set(rng.sample(a[:-1], min(1, len(a) - 1))))
         of_a, of_b = alignment.align(a, b)
         cuts = sorted({*a} & {*b})
-        assert [a[i - 1] for i in of_a] == cuts == [b[j - 1] for j in of_b]
+        assert [a[i - 1] for i in of_a.tolist()] == cuts == [b[j - 1] for j in of_b.tolist()]
 
 
 def test_registered_query(spark):

@@ -127,8 +127,10 @@ def test_empty_tables(spark):
 
 
 def test_files_are_read_by_a_task_each(spark, tmp_path):
-    docs = small.documents(spark, [f"text {i}" for i in range(60)], repeat=False).repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    docs = small.documents(spark, [f"text {i}" for i in range(60)], repeat=False)
     files = token_files.write_files(docs, small.vocabulary(small.BYTES), 0, str(tmp_path / "plain path"))
+    spark.conf.unset("spark.sql.adaptive.enabled")
     written = [r for r in files.collect() if r.file_docs]
     assert len(written) > 1 and all(r.path.startswith("file:///") for r in written)
     read = token_files.read_files(files)
