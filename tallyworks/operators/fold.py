@@ -2,9 +2,13 @@
 
 Rows are folded as a stream of sorted rows, so a task holds one Arrow batch at a time. Keys
 beyond the split limit are cut into chunks as for running totals (``tallyworks.operators.scan``).
-Every chunk of such a key is traced once, all at the same time, from all starts between two
-proven bounds: the trace gives the chunk's map from start to end as pieces. The maps are then
-linked in order of chunks, which gives every chunk its exact start, and the rows are folded.
+Every chunk of such a key is traced, all at the same time, from starts between two proven bounds, and
+the chunks' maps are linked in order, which gives every chunk its exact start; then the rows are folded.
+
+* Where runs of starts move together (payments), the map of all starts is traced once, as pieces.
+* Where a larger start never gives a smaller end, nor raises it by more than the start (averages), a
+  grid of starts is traced. Linked, it leaves every chunk a bracket for its start, about as wide as a cell of
+  the grid, and the next pass traces a grid inside the bracket: two or three passes at any width.
 """
 
 from __future__ import annotations
@@ -32,14 +36,17 @@ class Fold:
     ``bounds(rows, key, order)`` returns a table of key, ``_chunk``, ``_start_base`` (the base at
     the start of the chunk), ``_opening`` (state before the first chunk), ``_low`` and ``_high``
     (between them lies the state at the start). ``trace(low, high)`` returns an object that
-    takes the same steps from all these starts: ``step(base, *inputs)``, then ``layers()``.
+    takes the same steps from all these starts: ``step(base, *inputs)``, then ``layers()``. Folds without it
+    have ``many(base, states, *inputs)``, the step from an array of states, and their bounds a column ``_every``,
+    true for chunks whose map is not monotone: they are traced from every start.
     """
 
     step: Callable
     bounds: Callable
-    trace: Callable
     inputs: tuple[str, ...]
     delta: str
+    trace: Callable | None = None
+    many: Callable | None = None
 
 
 @dataclass(frozen=True)
@@ -130,39 +137,50 @@ class Payments:
         return [*self.done, self._pieces()]
 
 
-class Averages:
-    """All averages low..high at once; neighbours whose averages become equal go on as one."""
+#: Starts that one pass traces between the bounds of a chunk.
+GRID = 256
+
 
-    def __init__(self, low: int, high: int, step: Callable):
-        self.high = high
-        self.one = step
-        self.first = self.now = np.arange(low, high + 1, dtype=np.int64)
+class Grid:
+    """States after the same steps from a grid of starts; equal neighbours go on as one."""
 
-    def step(self, stock: int, qty: int, cost: int) -> None:
-        now = self.now
-        largest = max(abs(int(now[0])), abs(int(now[-1])))
-        if len(now) > 1 and 2 * (abs(stock) * largest + abs(cost)) + abs(stock + qty) < 1 << 62 and stock + qty:
-            pool = stock + qty
-            now = (2 * (stock * now + cost) + pool) // (2 * pool)
+    def __init__(self, low: int, high: int, every: bool, many: Callable):
+        self.many = many
+        if every or high - low < GRID:
+            self.starts = np.arange(low, high + 1, dtype=np.int64)
         else:
-            # One state, or products beyond 64 bits.
-            now = np.array([self.one(stock, s, qty, cost)[0] for s in now.tolist()], np.int64)
+            self.starts = np.array([low + (high - low) * i // (GRID - 1) for i in range(GRID)], np.int64)
+        self.now = self.starts
+        self.place = np.arange(len(self.now))
+
+    def step(self, base: int, *inputs: int) -> None:
+        now = self.many(base, self.now, *inputs)
         if len(now) > 1:
-            keep = np.concatenate([[True], now[1:] != now[:-1]])
-            self.first, now = self.first[keep], now[keep]
+            keep = now[1:] != now[:-1]
+            if not keep.all():
+                self.place = np.concatenate(([0], np.cumsum(keep)))[self.place]
+                now = now[np.concatenate(([True], keep))]
         self.now = now
 
-    def layers(self) -> list[list[Piece]]:
-        pieces: list[Piece] = []
-        ends = [*(self.first[1:] - 1).tolist(), self.high]
-        for first, last, end in zip(self.first.tolist(), ends, self.now.tolist()):
-            before = pieces[-1] if pieces else None
-            single = before is not None and (before.slope or before.first == before.last)
-            if single and first == last and before.at(before.last) + 1 == end:
-                pieces[-1] = Piece(before.first, last, before.end, 1)
-            else:
-                pieces.append(Piece(first, last, end, 0))
-        return [pieces]
+    def ends(self) -> np.ndarray:
+        return self.now[self.place]
+
+
+def image(starts: np.ndarray, ends: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """Bounds of the ends of all starts low..high, from the ends of a grid of starts that spans them."""
+    if len(starts) == starts[-1] - starts[0] + 1:
+        part = ends[low - starts[0] : high - starts[0] + 1]
+        return int(part.min()), int(part.max())
+    # From one start to the next the end stays or rises by one.
+    i = int(np.searchsorted(starts, low, side="right")) - 1
+    least = int(ends[i])
+    if starts[i] < low:
+        least = max(least, int(ends[i + 1] - (starts[i + 1] - low)))
+    j = int(np.searchsorted(starts, high))
+    most = int(ends[j])
+    if starts[j] > high:
+        most = min(most, int(ends[j - 1] + (high - starts[j - 1])))
+    return least, most
 
 
 def ordered_fold(
@@ -177,7 +195,7 @@ def ordered_fold(
     ready = parts.rows
     names = ready.columns
     if parts.split:
-        known = _chunk_starts(parts, key, order, fold)
+        known = (_refined_starts if fold.many else _chunk_starts)(parts, key, order, fold)
         ready = (
             ready.join(known, [key, "_chunk"], "left")
             .withColumn("_base", F.coalesce("_start_base", "_base"))
@@ -216,8 +234,85 @@ def _chunk_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> DataF
     return materialise(linked, "fold-starts")
 
 
+def _refined_starts(parts: Parts, key: str, order: list[str], fold: Fold) -> DataFrame:
+    """As ``_chunk_starts``, by brackets that every pass narrows until they hold one start each."""
+    shared = parts.cut().select(key, "_chunk", *order, *dict.fromkeys([fold.delta, *fold.inputs]))
+    brackets = materialise(fold.bounds(parts.cut(), key, order), "fold-bounds")
+    while (brackets.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 0) > 0:
+        maps = (
+            shared.join(brackets, [key, "_chunk"])
+            .repartition(key, "_chunk")
+            .sortWithinPartitions(key, "_chunk", *order)
+            .mapInArrow(_trace_grids(key, fold), f"{_BRACKETS.format(key)}, starts array<bigint>, ends array<bigint>")
+        )
+        linked = materialise(maps, "fold-maps").repartition(key).sortWithinPartitions(key, "_chunk")
+        brackets = materialise(linked.mapInArrow(_narrow(key), _BRACKETS.format(key)), "fold-brackets")
+    return brackets.select(key, "_chunk", "_start_base", F.col("_low").alias("_start"))
+
+
+_BRACKETS = "{} bigint, _chunk int, _start_base bigint, _opening bigint, _low bigint, _high bigint, _every boolean"
+
+
+def _bracket_names(key: str) -> list[str]:
+    return [key, "_chunk", "_start_base", "_opening", "_low", "_high", "_every"]
+
+
+def _trace_grids(key: str, fold: Fold) -> Callable:
+    """Task function: ends of a grid of starts of each chunk."""
+    names = _bracket_names(key)
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), *[pa.list_(pa.int64())] * 2]
+    out = pa.schema(list(zip([*names, "starts", "ends"], kinds)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base, grid = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            values = [*at, grid.starts.tolist(), grid.ends().tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], schema=out)
+
+        for batch in batches:
+            for *chunk, delta, args in zip(*_columns_of(batch, [*names, fold.delta]), _columns(batch, list(fold.inputs))):
+                if at is None or chunk[:2] != at[:2]:
+                    if at is not None:
+                        yield done()
+                    at, base, grid = chunk, chunk[2], Grid(*chunk[4:7], fold.many)
+                grid.step(base, *args)
+                base += delta
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def _narrow(key: str) -> Callable:
+    """Task function: brackets of the starts of every key's chunks, from their grids in order."""
+    names = _bracket_names(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, low, high = None, 0, 0
+        for batch in batches:
+            lows, highs = [], []
+            for k, opening, least, most, starts, ends in _columns(batch, [key, "_opening", "_low", "_high", "starts", "ends"]):
+                if k != at:
+                    at, low, high = k, opening, opening
+                low, high = max(low, least), min(high, most)
+                if low > high:
+                    raise ValueError("a state lies outside its bounds")
+                lows.append(low)
+                highs.append(high)
+                low, high = image(np.array(starts, np.int64), np.array(ends, np.int64), low, high)
+            columns = [*batch.columns[:4], pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), batch.columns[6]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _columns_of(batch: pa.RecordBatch, names: list[str]) -> list[list]:
+    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
 def _columns(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
-    return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
+    return zip(*_columns_of(batch, names))
 
 
 def _stream(key: str, fold: Fold) -> Callable:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import MONEY, QUANTITY, cents, moving_avg_cost, zero_if_null
-from tallyworks.operators.fold import Averages, Fold, ordered_fold
+from tallyworks.operators.cash import BALANCE
+from tallyworks.operators.fold import Fold, ordered_fold
 from tallyworks.session import materialise
 
 
@@ -38,6 +40,16 @@ def _average(stock: int, avg: int, qty: int, cost: int) -> tuple[int, int]:
     return after, after
 
 
+def _averages(stock: int, averages: np.ndarray, qty: int, cost: int) -> np.ndarray:
+    """``_average`` for many averages before one receipt."""
+    pool = stock + qty
+    largest = max(abs(int(averages[0])), abs(int(averages[-1])))
+    if len(averages) > 1 and pool and 2 * (abs(stock) * largest + abs(cost)) + abs(pool) < 1 << 62:
+        return (2 * (stock * averages + cost) + pool) // (2 * pool)
+    # One average, or products beyond 64 bits.
+    return np.array([_average(stock, a, qty, cost)[0] for a in averages.tolist()], np.int64)
+
+
 def _average_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Bounds of the average at the start of each chunk.
 
@@ -79,14 +91,122 @@ def _average_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
         "_opening",
         F.when(first, opening).otherwise(F.greatest(F.floor(exact - error), lowest)).cast("bigint").alias("_low"),
         F.when(first, opening).otherwise(F.least(F.ceil(exact + error), highest)).cast("bigint").alias("_high"),
+        # Out of a stock below zero, a higher average may lead to a lower one.
+        (F.min("_stock").over(Window.partitionBy(key)) < 0).alias("_every"),
+    )
+
+
+AVERAGE = Fold(step=_average, bounds=_average_bounds, many=_averages, inputs=("_qty", "_cost"), delta="_qty")
+
+
+def _card_step(stock: int, avg: int, qty: int, cost: int) -> tuple[int, int]:
+    """A receipt moves the average, an issue (qty below zero) leaves it."""
+    return _average(stock, avg, qty, cost) if qty > 0 else (avg, avg)
+
+
+def _card_steps(stock: int, averages: np.ndarray, qty: int, cost: int) -> np.ndarray:
+    return _averages(stock, averages, qty, cost) if qty > 0 else averages
+
+
+def _card_bounds(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Bounds of the average at the start of each chunk: it lies between the opening average and the unit
+    costs of the receipts so far, as the stock is never below zero."""
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    unit = F.when(F.col("_qty") > 0, F.col("_cost") / F.col("_qty"))
+    chunks = rows.groupBy(key, "_chunk").agg(
+        F.min("_base").alias("_stock"),
+        F.min("_open").alias("_opening"),
+        F.sum("_qty").alias("_moved"),
+        F.floor(F.min(unit)).alias("_cheap"),
+        F.ceil(F.max(unit)).alias("_dear"),
+    )
+    return chunks.select(
+        key,
+        "_chunk",
+        (F.col("_stock") + F.coalesce(F.sum("_moved").over(earlier), F.lit(0))).alias("_start_base"),
+        "_opening",
+        F.least("_opening", F.min("_cheap").over(earlier) - 1).cast("bigint").alias("_low"),
+        F.greatest("_opening", F.max("_dear").over(earlier) + 1).cast("bigint").alias("_high"),
+        F.lit(False).alias("_every"),
     )
 
 
-def _averages(low: int, high: int) -> Averages:
-    return Averages(low, high, _average)
+CARD = Fold(step=_card_step, bounds=_card_bounds, many=_card_steps, inputs=("_qty", "_cost"), delta="_qty")
+
+
+def stock_card(inventory: DataFrame, events: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Receipts and issues of stock one after the other.
+
+    ``events`` holds ``seq`` (unique), the key, ``kind`` (receipt or issue), ``qty`` and, for receipts,
+    ``total_cost``. A receipt moves the average cost, an issue takes the average of its moment. An issue beyond
+    the stock is refused (52005), so whether later ones pass depends on it; quantities do not depend on
+    averages, so they are folded first and the averages along them. An event of another kind, without a
+    key, with a quantity that is null or not positive, or a receipt with a null or negative cost is refused (547). An
+    item without a stock row starts from zero; stock rows must not be below zero.
+
+    Returns ``card`` (the events with ``reason_code``, ``quantity_after``, ``avg_cost_after`` and, for
+    issues, ``issue_cost``, the unrounded quantity times the average; null for refused events) and the new ``inventory``.
+    """
+    opened = inventory.select(
+        key, (F.col("quantity") * 1000).cast("bigint").alias("_stock"), (F.col("avg_cost") * 100).cast("bigint").alias("_avg")
+    )
+    zero = F.lit(0).cast("bigint")
+    receipt = F.col("kind") == "receipt"
+    usable = (
+        F.col(key).isNotNull()
+        & (F.col("qty") > 0)
+        & (receipt & (F.col("total_cost") >= 0) | (F.col("kind") == "issue"))
+    )
+    checked = events.withColumn("_usable", F.coalesce(usable, F.lit(False)))
+    amount = (F.col("qty") * 1000).cast("bigint")
+    rows = checked.filter("_usable").join(opened, key, "left").select(
+        *events.columns,
+        F.when(receipt, amount).otherwise(-amount).alias("_signed"),
+        F.lit(0).cast("bigint").alias("_none"),
+        zero.alias("_base"),
+        F.coalesce("_stock", zero).alias("_open"),
+        F.coalesce("_stock", zero).alias("_stock"),
+        F.coalesce("_avg", zero).alias("_avg"),
+    )
+    moved = materialise(ordered_fold(rows, key, ["seq"], BALANCE, counted=events), "stock-moves")
+    passed = moved.filter("_result = 1").select(
+        *events.columns,
+        F.col("_signed").alias("_qty"),
+        F.when(receipt, F.col("total_cost") * 100000).otherwise(0).cast("bigint").alias("_cost"),
+        F.col("_state").alias("_after"),
+        F.col("_stock").alias("_base"),
+        F.col("_avg").alias("_open"),
+    )
+    folded = ordered_fold(passed, key, ["seq"], CARD, counted=events)
+    after = (F.col("_after").cast("decimal(15,0)") * F.lit("0.001").cast("decimal(3,3)")).cast(QUANTITY)
+    average = cents(F.col("_state"))
+    done = folded.select(
+        *events.columns,
+        F.lit(None).cast("int").alias("reason_code"),
+        after.alias("quantity_after"),
+        average.alias("avg_cost_after"),
+        F.when(~receipt, F.col("qty").cast(QUANTITY) * average).cast("decimal(29,5)").alias("issue_cost"),
+    )
 
+    def refused(df: DataFrame, code: int) -> DataFrame:
+        kinds = {"quantity_after": QUANTITY, "avg_cost_after": MONEY, "issue_cost": "decimal(29,5)"}
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+        return df.select(*events.columns, F.lit(code).alias("reason_code"), *empty)
 
-AVERAGE = Fold(step=_average, bounds=_average_bounds, trace=_averages, inputs=("_qty", "_cost"), delta="_qty")
+    lost = refused(moved.filter("_result = 0"), 52005).unionByName(refused(checked.filter("not _usable"), 547))
+    card = materialise(done.unionByName(lost), "stock-card")
+    last = card.filter("reason_code is null").groupBy(key).agg(
+        F.max_by("quantity_after", "seq").alias("_quantity"), F.max_by("avg_cost_after", "seq").alias("_average")
+    )
+    stock = inventory.select(key, "quantity", "avg_cost").join(last, key, "full_outer")
+    return {
+        "card": card,
+        "inventory": stock.select(
+            key,
+            F.coalesce("_quantity", "quantity").cast(QUANTITY).alias("quantity"),
+            F.coalesce("_average", "avg_cost").cast(MONEY).alias("avg_cost"),
+        ),
+    }
 
 
 def merge_receipts(inventory: DataFrame, receipts: DataFrame, key: str) -> dict[str, DataFrame]:

@@ -14,7 +14,7 @@ from tallyworks.sources.adapters import PAID_UNTIL
 PARTS: dict[str, str] = {
     "lines": """
         SELECT l_orderkey AS doc_id, l_partkey AS item, l_suppkey,
-               CAST(l_shipdate AS DATE) AS ship_date, l_discount,
+               CAST(l_shipdate AS DATE) AS ship_date, l_discount, l_returnflag,
                CAST(l_quantity AS DECIMAL(14,3)) AS quantity,
                CAST((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
                     // (2 * CAST(l_quantity AS BIGINT)) * 0.01 AS DECIMAL(14,2)) AS unit_price,
@@ -260,6 +260,25 @@ def _sql(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in ordered) + body
 
 
+PARTS["card_events"] = """
+    SELECT item, 2 * doc_id + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS seq, l_returnflag = 'R' AS issue,
+           CAST(sum(quantity) AS DECIMAL(14,3)) AS qty, CAST(sum(amount) AS DECIMAL(38,5)) AS cost
+    FROM amounts GROUP BY 1, 2, 3"""
+PARTS["card_order"] = """
+    SELECT *, CAST(qty * 1000 AS HUGEINT) AS q1, CAST(CASE WHEN issue THEN 0 ELSE cost * 100000 END AS HUGEINT) AS c1,
+           row_number() OVER (PARTITION BY item ORDER BY seq) AS n
+    FROM card_events"""
+PARTS["card_steps"] = f"""
+    SELECT i.item, CAST(0 AS BIGINT) AS n, CAST(coalesce(stock.quantity, 0) * 1000 AS HUGEINT) AS q0,
+           CAST(coalesce(avg_cost, 0) * 100 AS HUGEINT) AS a0, true AS passed
+    FROM (SELECT DISTINCT item FROM card_events) i LEFT JOIN stock ON stock.item = i.item
+    UNION ALL
+    SELECT s.item, o.n, CASE WHEN NOT issue THEN q0 + q1 WHEN q1 <= q0 THEN q0 - q1 ELSE q0 END,
+           CASE WHEN issue THEN a0 ELSE {_after("(q0 + q1)", "q0 * a0 + c1")} END, NOT issue OR q1 <= q0
+    FROM card_steps s JOIN card_order o ON o.item = s.item AND o.n = s.n + 1"""
+_CARD_QUANTITY = "CAST(CAST(q0 AS DECIMAL(38,0)) * 0.001 AS DECIMAL(14,3))"
+_CARD_AVERAGE = "CAST(CAST(a0 AS DECIMAL(38,0)) * 0.01 AS DECIMAL(14,2))"
+
 _TOTAL = "CAST(round(coalesce({}, 0), 2) AS DECIMAL(38,2))"
 _NONE = "CAST(NULL AS DECIMAL(38,5))"
 _FLOWS = f"""
@@ -327,6 +346,21 @@ _BODIES: dict[str, str] = {
         FROM purchases LEFT JOIN receipt_steps_done ON seq = purchase_id""",
     "raw_inventory_after_receipt": """
         SELECT item AS raw_material_id, quantity, avg_cost FROM receipts_stock""",
+    "stock_card": f"""
+        SELECT seq, o.item AS raw_material_id, CASE WHEN issue THEN 'issue' ELSE 'receipt' END AS kind, qty,
+               CASE WHEN NOT issue THEN cost END AS total_cost, CASE WHEN NOT passed THEN 52005 END AS reason_code,
+               CASE WHEN passed THEN {_CARD_QUANTITY} END AS quantity_after,
+               CASE WHEN passed THEN {_CARD_AVERAGE} END AS avg_cost_after,
+               CASE WHEN passed AND issue THEN CAST(CAST(qty AS DECIMAL(18,3)) * CAST({_CARD_AVERAGE} AS DECIMAL(18,2)) AS DECIMAL(29,5)) END
+                   AS issue_cost
+        FROM card_order o JOIN card_steps s ON s.item = o.item AND s.n = o.n""",
+    "raw_inventory_after_card": f"""
+        SELECT coalesce(l.item, stock.item) AS raw_material_id,
+               CASE WHEN l.moved THEN {_CARD_QUANTITY} ELSE stock.quantity END AS quantity,
+               CASE WHEN l.moved THEN {_CARD_AVERAGE} ELSE stock.avg_cost END AS avg_cost
+        FROM (SELECT item, max_by(q0, n) AS q0, max_by(a0, n) AS a0, true AS moved FROM card_steps
+              GROUP BY item HAVING count(*) FILTER (passed AND n > 0) > 0) l
+        FULL JOIN stock ON stock.item = l.item""",
     "inventory_merge_avg_cost": f"""
         SELECT item AS raw_material_id, CAST(CAST(q0 + q1 AS DECIMAL(38,0)) * 0.001 AS DECIMAL(14,3)) AS quantity,
                CAST(CAST({_after("(q0 + q1)", "q0 * a0 + c1")} AS DECIMAL(38,0)) * 0.01 AS DECIMAL(14,2)) AS avg_cost

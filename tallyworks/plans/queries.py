@@ -206,6 +206,20 @@ def raw_inventory_after_receipt(b: StarBooks) -> DataFrame:
     return _receipt(b)["raw_inventory"]
 
 
+def _card(b: StarBooks) -> dict[str, DataFrame]:
+    return merge.stock_card(b.raw_inventory(), b.stock_events(), "raw_material_id")
+
+
+@query
+def stock_card(b: StarBooks) -> DataFrame:
+    return _card(b)["card"]
+
+
+@query
+def raw_inventory_after_card(b: StarBooks) -> DataFrame:
+    return _card(b)["inventory"]
+
+
 @query
 def inventory_merge_avg_cost(b: StarBooks) -> DataFrame:
     receipt = b.purchase_order_items().groupBy("raw_material_id").agg(

@@ -85,6 +85,24 @@ class StarBooks:
             F.col("l_shipdate").cast("date").alias("ship_date"),
         )
 
+    def stock_events(self) -> DataFrame:
+        """Receipts and issues of materials in order of the purchases: what a purchase sends back is issued
+        behind its receipts."""
+        back = F.col("l_returnflag") == "R"
+        amount = quantity(F.col("l_quantity")) * unit_price()
+        return (
+            self.star("lineitem")
+            .groupBy(
+                (2 * F.col("l_orderkey") + back.cast("bigint")).alias("seq"),
+                F.col("l_partkey").alias("raw_material_id"),
+                F.when(back, "issue").otherwise("receipt").alias("kind"),
+            )
+            .agg(
+                quantity(F.sum(quantity(F.col("l_quantity")))).alias("qty"),
+                F.when(F.col("kind") == "receipt", F.sum(amount).cast("decimal(38,5)")).alias("total_cost"),
+            )
+        )
+
     def purchase_orders(self) -> DataFrame:
         """Headers with the line totals: lines are summed per purchase, then joined one to one."""
         lines = (

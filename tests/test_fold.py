@@ -1,6 +1,7 @@
 """Chunk maps and bounds of the ordered fold."""
 
 import random
+import time
 from decimal import ROUND_HALF_UP
 from decimal import Decimal as D
 
@@ -44,19 +45,34 @@ def test_wide_payment_maps_stay_small(deposits):
         assert fold.through(trace.layers(), start) == state
 
 
-def test_average_maps_match_single_folds():
+def after(rows, stock, state):
+    for qty, cost in rows:
+        state, stock = merge._card_step(stock, state, qty, cost)[0], stock + qty
+    return state
+
+
+@pytest.mark.parametrize("high", [1300, 1_000_000])
+def test_average_grids_hold_single_folds(high):
     rng = random.Random(4)
     for stock, top in ((0, 3000), (1_000_000, 3000), (10**13, 10**11)):
-        trace, base = merge._averages(900, 1300), stock
-        rows = [(rng.randint(1, top), rng.randint(1, top * 1200)) for _ in range(60)]
+        rows, base = [], stock
+        for _ in range(60):
+            qty = -rng.randint(1, base) if base and rng.random() < 0.3 else rng.randint(1, top)
+            rows.append((qty, rng.randint(1, top * 1200) if qty > 0 else 0))
+            base += qty
+        grid, base = fold.Grid(900, high, False, merge._card_steps), stock
         for qty, cost in rows:
-            trace.step(base, qty, cost)
+            grid.step(base, qty, cost)
             base += qty
-        for start in range(900, 1301):
-            state, base = start, stock
-            for qty, cost in rows:
-                state, base = merge._average(base, state, qty, cost)[0], base + qty
-            assert fold.through(trace.layers(), start) == state
+        starts, ends = grid.starts, grid.ends()
+        assert len(starts) <= max(fold.GRID, 401) and (starts[0], starts[-1]) == (900, high)
+        for _ in range(100):
+            low = rng.randint(900, high)
+            width = rng.choice([0, 1, 50])
+            least, most = fold.image(starts, ends, low, min(low + width, high))
+            assert least <= after(rows, stock, low) <= after(rows, stock, min(low + width, high)) <= most
+            cell = (high - 900) // (fold.GRID - 1) + 1
+            assert most - least <= width + (0 if high - 900 < fold.GRID else cell)
 
 
 def test_average_step_rounds_half_up():
@@ -119,3 +135,68 @@ def test_small_receipts_into_a_large_stock(spark):
         quantity += qty
         want[seq] = average
     assert got == want
+
+
+def replay(stock, events):
+    """The card by serial replay: (code, quantity, average, cost of an issue) by seq."""
+    state, out = dict(stock), {}
+    for seq, item, kind, qty, cost in sorted(events):
+        quantity, average = state.get(item, (D(0), D(0)))
+        if item is None or kind not in ("receipt", "issue") or qty is None or qty <= 0 or kind == "receipt" and (cost is None or cost < 0):
+            out[seq] = (547, None, None, None)
+        elif kind == "issue" and qty > quantity:
+            out[seq] = (52005, None, None, None)
+        elif kind == "issue":
+            state[item] = (quantity - qty, average)
+            out[seq] = (None, quantity - qty, average, qty * average)
+        else:
+            average = ((quantity * average + cost) / (quantity + qty)).quantize(D("0.01"), ROUND_HALF_UP)
+            state[item] = (quantity + qty, average)
+            out[seq] = (None, quantity + qty, average, None)
+    return out, state
+
+
+@pytest.mark.parametrize("rows", [None, 7, 60])
+@pytest.mark.parametrize("dear", [200, 10_000_000])
+def test_stock_card_equals_replay(spark, rows, dear):
+    """Receipts and issues mixed, keys cut into chunks, unit costs up to 100,000.00, issues beyond the stock."""
+    rng = random.Random(dear)
+    stock = {1: (D("1000.000"), D("50.00")), 2: (D(0), D(0)), 4: (D("2.500"), D("7.77"))}
+    events = []
+    for seq in range(500):
+        kind = rng.choice(["receipt", "issue", "issue"])
+        qty = D(rng.randint(1, 90_000)) / 1000
+        cost = qty * D(rng.randint(1, dear)) / 100 if kind == "receipt" else None
+        events.append((seq, rng.choice([1, 1, 1, 2, 3]), kind, qty, cost))
+    events += [(900, None, "issue", D(1), None), (901, 1, "gift", D(1), D(1)), (902, 1, "receipt", D(1), None)]
+    events += [(903, 2, "receipt", None, D(1)), (904, 2, "issue", D(0), None), (905, None, None, None, None)]
+    want, state = replay(stock, events)
+    if rows:
+        spark.conf.set(SPLIT_SETTING, str(rows))
+    try:
+        made = merge.stock_card(
+            spark.createDataFrame([(k, *v) for k, v in stock.items()], "item long, quantity decimal(14,3), avg_cost decimal(14,2)"),
+            spark.createDataFrame(events, "seq long, item long, kind string, qty decimal(14,3), total_cost decimal(38,5)"),
+            "item",
+        )
+        got = {r.seq: (r.reason_code, r.quantity_after, r.avg_cost_after, r.issue_cost) for r in made["card"].collect()}
+        left = {r.item: (r.quantity, r.avg_cost) for r in made["inventory"].collect()}
+    finally:
+        spark.conf.unset(SPLIT_SETTING)
+    assert got == want and left == state and {c for c, *_ in want.values()} == {None, 547, 52005}
+    empty = spark.createDataFrame([], "seq long, item long, kind string, qty decimal(14,3), total_cost decimal(38,5)")
+    assert merge.stock_card(spark.createDataFrame([], "item long, quantity decimal(14,3), avg_cost decimal(14,2)"), empty, "item")["card"].count() == 0
+
+
+@pytest.mark.parametrize("high", [10, 1_000_000])
+def test_wide_average_bounds_cost_little(high):
+    """A pass over a million possible averages costs at most a few times the single fold a row."""
+    rows = [(2000, 24_000_000 // 1000)] * 3000
+    times = []
+    for low, top in ((0, 0), (0, high)):
+        grid, base, start = fold.Grid(low, top, False, merge._averages), 10**9, time.perf_counter()
+        for qty, cost in rows:
+            grid.step(base, qty, cost)
+            base += qty
+        times.append(time.perf_counter() - start)
+    assert times[1] < 20 * times[0] + 1
