@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -258,10 +260,45 @@ def issue_stock(inventory: DataFrame, issues: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Reason code of a source row whose key another source row has too: a merge may touch a row only once.
+REPEATED_KEY = 8672
+
+
+def upsert_or_refuse(
+    target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``upsert`` of a source whose keys may repeat, and the refused source rows (``reason_code``).
+
+    All rows of a repeated key are refused, or, with ``order`` (columns of the source), all but the
+    last in that order (of equals any one); ordering columns that the target lacks are not written. Rows with a
+    null in their key never match a target row or each other, as in SQL, so they are all added.
+    """
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *([F.max(_last(source, order)).alias("_keep")] if order else []))
+    # Only repeated keys come into the join, one row each.
+    repeated = counted.filter(whole & (F.col("_n") > 1))
+    written = source.columns if not order else [c for c in source.columns if c in target.columns]
+    marked = source.join(repeated, keys, "left")
+    single = marked.filter(F.col("_n").isNull()).select(*written)
+    lost = marked.filter(F.col("_n").isNotNull()).select(*source.columns)
+    if order:
+        picked = repeated.select(*(F.col(f"_keep.{c}").alias(c) for c in source.columns))
+        single = single.unionByName(picked.select(*written))
+        # One copy of the picked row stays out of the refused ones.
+        lost = lost.exceptAll(picked)
+    return upsert(target, single, keys), lost.withColumn("reason_code", F.lit(REPEATED_KEY))
+
+
+def _last(source: DataFrame, order: list[str]) -> Column:
+    """A struct that is largest for the last row; it carries the row."""
+    return F.struct(*order, *(c for c in source.columns if c not in order))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows replace target rows with the same keys and are added otherwise.
 
-    Columns the source lacks keep the target's value.
+    Columns the source lacks keep the target's value. The keys of the source must be unique
+    (``upsert_or_refuse`` sees to that); a null in a key matches nothing.
     """
     s = source.withColumn("_new", F.lit(True))
     for c in source.columns:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions.money import OVERFLOW, line_total, money_or_null, total
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import merge_receipts
+from tallyworks.operators.outputs import Outputs
 from tallyworks.operators.requests import first_requests, repeated_requests
 from tallyworks.session import materialise
 from tallyworks.sources.documents import PURCHASE_ITEM, item_lines, page_lines
@@ -94,7 +95,7 @@ def receive_purchase_orders(
     raw_inventory: DataFrame,
     accounts: DataFrame,
     as_of: str,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """Receive purchases (seq, purchase_id, account_id) in order: cash is decided first, then stock.
 
     Of several requests for one purchase the first is tried. Once it is accepted the others are
@@ -125,9 +126,12 @@ def receive_purchase_orders(
     repeated, deferred = repeated_requests(marked, outcome, ["purchase_id"], 51007)
     outcome = outcome.unionByName(repeated)
     paid = cash["accepted"].select("seq", F.col("reference_id").alias("purchase_id"))
-    # Lines are summed before the join, so a long purchase is one row per material.
-    receipts = materialise(receipt_by_material(items).join(paid, "purchase_id"), "material-receipts")
-    stock = merge_receipts(raw_inventory, receipts, "raw_material_id")
+
+    def stock() -> DataFrame:
+        # Lines are summed before the join, so a long purchase is one row per material.
+        receipts = materialise(receipt_by_material(items).join(paid, "purchase_id"), "material-receipts")
+        return merge_receipts(raw_inventory, receipts, "raw_material_id")["inventory"]
+
     received = paid.select("purchase_id", F.lit(True).alias("_received"))
     today = F.lit(as_of).cast("date")
     updated = (
@@ -136,11 +140,13 @@ def receive_purchase_orders(
         .withColumn("received_date", F.when(F.col("_received"), today).otherwise(F.col("received_date")))
         .select(*purchase_orders.columns)
     )
-    return {
-        "outcome": outcome,
-        "deferred": deferred,
-        "purchase_orders": updated,
-        "raw_inventory": stock["inventory"],
-        "cash_accounts": cash["accounts"],
-        "cash_movements": ledger_rows(cash["accepted"]),
-    }
+    return Outputs(
+        {
+            "outcome": lambda: outcome,
+            "deferred": lambda: deferred,
+            "purchase_orders": lambda: updated,
+            "raw_inventory": stock,
+            "cash_accounts": lambda: cash["accounts"],
+            "cash_movements": lambda: ledger_rows(cash["accepted"]),
+        }
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions.money import MONEY, OVERFLOW, QUANTITY, line_total, money_or_null, per_unit, total, zero_if_null
 from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.operators.merge import issue_stock, merge_receipts
+from tallyworks.operators.outputs import Outputs
 from tallyworks.session import materialise
 
 
@@ -53,11 +54,11 @@ def run_production(
     raw_inventory: DataFrame,
     finished_inventory: DataFrame,
     as_of: str,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """Run production (production_order_id, product_id, quantity, order_date) in order of its key.
 
     Returns ``outcome``, ``production_orders``, ``production_consumption``, both inventories
-    and ``products`` with the unit cost of their last run.
+    and ``products`` with the unit cost of their last run; what follows the outcome is built when asked for.
     """
     known = products.select("product_id", F.lit(True).alias("_product"))
     needs = materialise(
@@ -121,15 +122,8 @@ def run_production(
     consumption = used.select(
         "production_order_id", "raw_material_id", F.col("required_qty").alias("quantity"), "unit_cost"
     )
-    finished = merge_receipts(
-        finished_inventory,
-        done.select(
-            F.col("production_order_id").alias("seq"),
-            "product_id",
-            F.col("quantity").alias("qty"),
-            F.col("total_cost"),
-        ),
-        "product_id",
+    made = done.select(
+        F.col("production_order_id").alias("seq"), "product_id", F.col("quantity").alias("qty"), F.col("total_cost")
     )
     last = done.groupBy("product_id").agg(
         F.max_by(per_unit(F.col("total_cost"), F.col("quantity")), "production_order_id").alias("_cost")
@@ -139,13 +133,14 @@ def run_production(
         .withColumn("standard_cost", F.coalesce("_cost", "standard_cost"))
         .select(*products.columns)
     )
-    return {
-        "outcome": outcome.select(*requests.columns, "reason_code"),
-        "production_orders": orders,
-        "production_consumption": consumption,
-        "raw_inventory": issue_stock(
-            raw_inventory, consumption.select("raw_material_id", F.col("quantity").alias("qty")), "raw_material_id"
-        ),
-        "finished_inventory": finished["inventory"],
-        "products": priced,
-    }
+    issued = consumption.select("raw_material_id", F.col("quantity").alias("qty"))
+    return Outputs(
+        {
+            "outcome": lambda: outcome.select(*requests.columns, "reason_code"),
+            "production_orders": lambda: orders,
+            "production_consumption": lambda: consumption,
+            "raw_inventory": lambda: issue_stock(raw_inventory, issued, "raw_material_id"),
+            "finished_inventory": lambda: merge_receipts(finished_inventory, made, "product_id")["inventory"],
+            "products": lambda: priced,
+        }
+    )

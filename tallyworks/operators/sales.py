@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyworks.functions.money import MONEY, OVERFLOW, QUANTITY, line_total, mo
 from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.operators.cash import ledger_rows, post_movements
 from tallyworks.operators.merge import issue_stock
+from tallyworks.operators.outputs import Outputs
 from tallyworks.session import materialise
 from tallyworks.sources.documents import SALE_ITEM, item_lines, page_lines
 
@@ -44,11 +47,11 @@ def create_sales(
     finished_inventory: DataFrame,
     accounts: DataFrame,
     as_of: str,
-) -> dict[str, DataFrame]:
+) -> Outputs:
     """Sell documents (doc_id, customer_id, account_id[, sales_date]) in order of ``doc_id``.
 
     Returns ``outcome``, ``sales_orders``, ``sales_order_items``, ``finished_inventory``,
-    ``cash_accounts`` and ``cash_movements``.
+    ``cash_accounts`` and ``cash_movements``; what follows the outcome is built when asked for.
     """
     item = F.col("item")
     catalogue = products.select("product_id", F.lit(True).alias("_product"), "sale_price")
@@ -154,24 +157,30 @@ def create_sales(
     issued = named.join(sold.select("doc_id"), "doc_id", "left_semi").select(
         "product_id", F.col("need").alias("qty")
     )
-    cash = post_movements(
-        sold.select(
-            F.col("doc_id").alias("seq"),
-            "account_id",
-            F.lit("in").alias("direction"),
-            F.col("total_amount").alias("amount"),
-            F.lit("sale").alias("category"),
-            F.lit("sales_orders").alias("reference_table"),
-            F.col("doc_id").alias("reference_id"),
-            F.lit("sale of products").alias("description"),
-        ),
-        accounts,
+
+    @cache
+    def cash() -> dict[str, DataFrame]:
+        return post_movements(
+            sold.select(
+                F.col("doc_id").alias("seq"),
+                "account_id",
+                F.lit("in").alias("direction"),
+                F.col("total_amount").alias("amount"),
+                F.lit("sale").alias("category"),
+                F.lit("sales_orders").alias("reference_table"),
+                F.col("doc_id").alias("reference_id"),
+                F.lit("sale of products").alias("description"),
+            ),
+            accounts,
+        )
+
+    return Outputs(
+        {
+            "outcome": lambda: outcome.select(*documents.columns, "reason_code"),
+            "sales_orders": lambda: orders,
+            "sales_order_items": lambda: items,
+            "finished_inventory": lambda: issue_stock(finished_inventory, issued, "product_id"),
+            "cash_accounts": lambda: cash()["accounts"],
+            "cash_movements": lambda: ledger_rows(cash()["accepted"]),
+        }
     )
-    return {
-        "outcome": outcome.select(*documents.columns, "reason_code"),
-        "sales_orders": orders,
-        "sales_order_items": items,
-        "finished_inventory": issue_stock(finished_inventory, issued, "product_id"),
-        "cash_accounts": cash["accounts"],
-        "cash_movements": ledger_rows(cash["accepted"]),
-    }

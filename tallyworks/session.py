@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +44,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_BATCH = threading.local()
+
+
+@contextmanager
+def batch(spark: SparkSession) -> Iterator[list[str]]:
+    """Own the intermediate tables that this thread writes: they are deleted at the end, also after an error.
+
+    Results must be written inside; a DataFrame of the batch cannot be read after it. Batches may be
+    nested; each deletes its own tables. Yields the paths.
+    """
+    outer, paths = getattr(_BATCH, "paths", None), []
+    _BATCH.paths = paths
+    try:
+        yield paths
+    finally:
+        _BATCH.paths = outer
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage ends here and the
     rows survive the loss of executors."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+    if getattr(_BATCH, "paths", None) is not None:
+        _BATCH.paths.append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyworks.operators.scan import before, chunked
 from tallyworks.schemas import AMOUNTS, TABLES
+from tallyworks.session import materialise
 
 
 def schema_of(name: str) -> T.StructType:
@@ -77,11 +77,19 @@ def register_views(views: Mapping[str, DataFrame]) -> None:
 def assign_keys(df: DataFrame, key: str, order: list[str], start: int = 0) -> DataFrame:
     """Number the rows ``start + 1, start + 2, ...`` in the given order, which must be total.
 
-    All rows form one sequence. Beyond the split limit it is cut into chunks, and each chunk
-    adds the number of rows in the chunks before it.
+    All rows form one sequence, numbered in two passes at every size: the rows are range-partitioned by
+    the order and written once, each partition is counted, and a row's number is the rows of the
+    partitions before its own plus its place inside. Rows that are equal in the order share a partition.
     """
-    parts = chunked(df.withColumn("_all", F.lit(0)), "_all", order, "keys")
-    numbered = before(parts, "_all", order, {"_before": F.lit(1)})
-    return numbered.withColumn(key, (F.lit(start + 1) + F.col("_before")).cast("bigint")).drop(
-        "_all", "_chunk", "_before"
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    written = materialise(ranged, "keys")
+    counts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row for each partition.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = written.withColumn("_inside", inside).join(bases, "_part")
+    return placed.withColumn(key, (F.lit(start) + F.col("_base") + F.col("_inside")).cast("bigint")).drop(
+        "_part", "_base", "_inside"
     )
