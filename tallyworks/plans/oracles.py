@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from tallyworks.plans.queries import AS_OF, PERIOD
-from tallyworks.sources.adapters import PAID_UNTIL
+from tallyworks.sources.adapters import OPENING_CASH, PAID_UNTIL
 
 # Named sub-queries; a twin lists the ones it uses and their own parts are pulled in.
 PARTS: dict[str, str] = {
@@ -260,6 +260,14 @@ def _sql(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in ordered) + body
 
 
+PARTS["sheets"] = """
+    SELECT user_id AS employee_id, CAST(date_trunc('month', ts) AS DATE) AS period_month, event_type AS work,
+           CAST(count(DISTINCT CAST(ts AS DATE)) AS INTEGER) AS worked_days
+    FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3"""
+PARTS["grants"] = """
+    SELECT o_orderkey AS loan_id, o_totalprice, CASE WHEN o_orderkey % 50 = 4 THEN 99 ELSE c_nationkey END AS account_id,
+           CASE o_orderkey % 50 WHEN 1 THEN 55001 WHEN 2 THEN 55002 WHEN 3 THEN 55003 WHEN 4 THEN 50003 END AS code
+    FROM orders JOIN customer ON c_custkey = o_custkey"""
 PARTS["card_events"] = """
     SELECT item, 2 * doc_id + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS seq, l_returnflag = 'R' AS issue,
            CAST(sum(quantity) AS DECIMAL(14,3)) AS qty, CAST(sum(amount) AS DECIMAL(38,5)) AS cost
@@ -344,6 +352,14 @@ _BODIES: dict[str, str] = {
     "purchase_receipt_outcome": """
         SELECT purchase_id, CASE WHEN status <> 'ordered' THEN 51007 WHEN NOT accepted THEN 50005 END AS reason_code
         FROM purchases LEFT JOIN receipt_steps_done ON seq = purchase_id""",
+    "purchase_receipt_ledger": """
+        SELECT seq AS movement_id, account_id, 'out' AS direction, CAST(-change AS DECIMAL(14,2)) AS amount, 'purchase' AS category,
+               seq AS reference_id
+        FROM receipt_steps JOIN receipt_steps_done USING (account_id, seq) WHERE accepted""",
+    "cash_balances_after_receipt": """
+        SELECT CAST(n_nationkey AS BIGINT) AS account_id, CAST(20000000 + coalesce(moved, 0) AS DECIMAL(14,2)) AS balance
+        FROM nation LEFT JOIN (SELECT account_id, sum(change) AS moved FROM receipt_steps JOIN receipt_steps_done USING (account_id, seq)
+                               WHERE accepted GROUP BY account_id) m ON m.account_id = n_nationkey""",
     "raw_inventory_after_receipt": """
         SELECT item AS raw_material_id, quantity, avg_cost FROM receipts_stock""",
     "stock_card": f"""
@@ -389,6 +405,15 @@ _BODIES: dict[str, str] = {
                               WHERE run IN (SELECT run FROM run_codes WHERE reason_code IS NULL)
                               GROUP BY item) u ON u.item = stock.item""",
     "finished_inventory_after_production": "SELECT item AS product_id, quantity, avg_cost FROM finish_stock",
+    "production_consumption": """
+        SELECT run AS production_order_id, item AS raw_material_id, required AS quantity, unit_cost
+        FROM needs WHERE run IN (SELECT run FROM run_codes WHERE reason_code IS NULL)""",
+    "product_standard_costs": """
+        SELECT p_partkey AS product_id, coalesce(cost, CAST(0 AS DECIMAL(14,2))) AS standard_cost
+        FROM part LEFT JOIN (
+            SELECT item, CAST(CAST((2 * CAST(max_by(cost, n) * 100 AS HUGEINT) * 1000 + CAST(max_by(qty, n) * 1000 AS HUGEINT))
+                     // (2 * CAST(max_by(qty, n) * 1000 AS HUGEINT)) AS BIGINT) * 0.01 AS DECIMAL(14,2)) AS cost
+            FROM finish GROUP BY item) f ON f.item = p_partkey""",
     "production_summary": """
         SELECT run AS production_order_id, order_date, order_date AS completion_date, 'completed' AS status,
                p_name AS product_name, quantity AS produced_qty, total_cost,
@@ -403,6 +428,20 @@ _BODIES: dict[str, str] = {
     "sale_need_by_product": """
         SELECT doc_id, item AS product_id, CAST(sum(quantity) AS DECIMAL(14,3)) AS qty_needed FROM items GROUP BY doc_id, item""",
     "sale_outcome": "SELECT doc_id, customer_id, reason_code FROM sale_codes",
+    "sale_items_sold": """
+        SELECT doc_id AS sales_id, item AS product_id, items.quantity,
+               CASE WHEN l_discount <> 0 THEN unit_price ELSE CAST(p_retailprice AS DECIMAL(14,2)) END AS unit_price,
+               avg_cost AS unit_cost
+        FROM items JOIN part ON p_partkey = item JOIN stock USING (item)
+        WHERE doc_id IN (SELECT doc_id FROM sale_codes WHERE reason_code IS NULL)""",
+    "sale_orders_created": """
+        SELECT doc_id AS sales_id, customer_id, 'paid' AS status, total_amount
+        FROM sale_codes JOIN (
+            SELECT doc_id, CAST(round(sum(CAST(CAST(quantity AS DECIMAL(18,3)) * CAST(
+                       CASE WHEN l_discount <> 0 THEN unit_price ELSE CAST(p_retailprice AS DECIMAL(14,2)) END AS DECIMAL(18,2))
+                       AS DECIMAL(38,5))), 2) AS DECIMAL(14,2)) AS total_amount
+            FROM items JOIN part ON p_partkey = item GROUP BY doc_id) t USING (doc_id)
+        WHERE reason_code IS NULL""",
     "sale_stock_after": """
         SELECT stock.item AS product_id, CAST(quantity - coalesce(sold, 0) AS DECIMAL(14,3)) AS quantity, avg_cost
         FROM stock LEFT JOIN (SELECT item, sum(quantity) AS sold FROM items
@@ -443,6 +482,26 @@ _BODIES: dict[str, str] = {
             SELECT * FROM clicks UNION ALL
             SELECT employee_id, CAST(period_month + INTERVAL 1 MONTH AS DATE), worked_days, bonus FROM clicks) s
         ON s.employee_id = t.employee_id AND s.period_month = t.period_month""",
+    "timesheet_merge_refused": """
+        SELECT employee_id, period_month, worked_days, 8672 AS reason_code
+        FROM (SELECT *, count(*) OVER (PARTITION BY employee_id, period_month) AS n FROM sheets) WHERE n > 1""",
+    "timesheet_merge_last": """
+        SELECT coalesce(s.employee_id, t.employee_id) AS employee_id, coalesce(s.period_month, t.period_month) AS period_month,
+               coalesce(s.worked_days, t.worked_days) AS worked_days, t.bonus, t.deductions
+        FROM timesheets t FULL JOIN (SELECT employee_id, period_month, max_by(worked_days, work) AS worked_days FROM sheets GROUP BY 1, 2) s
+        ON s.employee_id = t.employee_id AND s.period_month = t.period_month""",
+    "loan_grants": "SELECT loan_id, code AS reason_code FROM grants",
+    "loan_grant_balances": """
+        SELECT CAST(n_nationkey AS BIGINT) AS account_id, CAST({opening} + coalesce(lent, 0) AS DECIMAL(14,2)) AS balance
+        FROM nation LEFT JOIN (SELECT account_id, sum(CAST(o_totalprice AS DECIMAL(14,2))) AS lent FROM grants
+                               WHERE code IS NULL GROUP BY account_id) g ON g.account_id = n_nationkey""".format(opening=OPENING_CASH),
+    "loan_payments_made": """
+        SELECT loan_id, installment_no, due_date AS payment_date, principal_due AS principal_paid, interest_due AS interest_paid
+        FROM due JOIN due_steps_done USING (account_id, seq) WHERE accepted""",
+    "loan_schedule_marked": """
+        SELECT s.loan_id, s.installment_no, p.due_date IS NOT NULL AS paid, p.due_date AS paid_at
+        FROM schedule s LEFT JOIN (SELECT loan_id, installment_no, due.due_date FROM due JOIN due_steps_done USING (account_id, seq)
+                                   WHERE accepted) p ON p.loan_id = s.loan_id AND p.installment_no = s.installment_no""",
     "loan_schedule": """
         SELECT *, CAST(principal_due + interest_due AS DECIMAL(15,2)) AS total_due FROM schedule""",
     "loan_balance_after_payments": "SELECT loan_id, status, current_principal FROM settled",

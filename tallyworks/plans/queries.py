@@ -201,6 +201,16 @@ def purchase_receipt_outcome(b: StarBooks) -> DataFrame:
     return _receipt(b)["outcome"].select("purchase_id", "reason_code")
 
 
+@query
+def purchase_receipt_ledger(b: StarBooks) -> DataFrame:
+    return _receipt(b)["cash_movements"].select("movement_id", "account_id", "direction", "amount", "category", "reference_id")
+
+
+@query
+def cash_balances_after_receipt(b: StarBooks) -> DataFrame:
+    return _receipt(b)["cash_accounts"].select("account_id", "balance")
+
+
 @query
 def raw_inventory_after_receipt(b: StarBooks) -> DataFrame:
     return _receipt(b)["raw_inventory"]
@@ -282,6 +292,16 @@ def finished_inventory_after_production(b: StarBooks) -> DataFrame:
     return _production(b)["finished_inventory"]
 
 
+@query
+def production_consumption(b: StarBooks) -> DataFrame:
+    return _production(b)["production_consumption"]
+
+
+@query
+def product_standard_costs(b: StarBooks) -> DataFrame:
+    return _production(b)["products"].select("product_id", "standard_cost")
+
+
 @query
 def production_summary(b: StarBooks) -> DataFrame:
     """Every run costed at the current averages, as if made."""
@@ -317,6 +337,17 @@ def sale_outcome(b: StarBooks) -> DataFrame:
     return _sales(b)["outcome"].select("doc_id", "customer_id", "reason_code")
 
 
+@query
+def sale_items_sold(b: StarBooks) -> DataFrame:
+    """Lines of the accepted sales with their price and the average cost at the sale."""
+    return _sales(b)["sales_order_items"]
+
+
+@query
+def sale_orders_created(b: StarBooks) -> DataFrame:
+    return _sales(b)["sales_orders"].select("sales_id", "customer_id", "status", "total_amount")
+
+
 @query
 def sale_stock_after(b: StarBooks) -> DataFrame:
     return _sales(b)["finished_inventory"].select("product_id", "quantity", "avg_cost")
@@ -371,6 +402,33 @@ def timesheet_upsert(b: StarBooks) -> DataFrame:
     return merge.upsert(b.timesheets(), source, ["employee_id", "period_month"])
 
 
+def _daily_sheets(b: StarBooks) -> DataFrame:
+    """A sheet for each employee, month and kind of work, so that keys repeat."""
+    return (
+        b.star("events")
+        .filter("event_type in ('click', 'view')")
+        .groupBy(
+            F.col("user_id").alias("employee_id"), month_start(F.col("ts").cast("date")).alias("period_month"), F.col("event_type").alias("work")
+        )
+        .agg(F.count_distinct(F.col("ts").cast("date")).cast("int").alias("worked_days"))
+    )
+
+
+@query
+def timesheet_merge_refused(b: StarBooks) -> DataFrame:
+    """Sheets whose employee and month come twice in one merge."""
+    sheets = _daily_sheets(b)
+    _, refused = merge.upsert_or_refuse(b.timesheets(), sheets.drop("work"), ["employee_id", "period_month"])
+    return refused
+
+
+@query
+def timesheet_merge_last(b: StarBooks) -> DataFrame:
+    """The last sheet of an employee and month counts."""
+    merged, _ = merge.upsert_or_refuse(b.timesheets(), _daily_sheets(b), ["employee_id", "period_month"], ["work"])
+    return merged
+
+
 # Credit.
 
 
@@ -384,6 +442,42 @@ def loan_balance_after_payments(b: StarBooks) -> DataFrame:
     return credit.settle_loans(_loans(b), _loan_payments(b)).select("loan_id", "status", "current_principal")
 
 
+def _grants(b: StarBooks) -> dict[str, DataFrame]:
+    """Loans asked for by every order, some with a value that is refused."""
+    nation = b.star("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    fault = F.col("o_orderkey") % 50
+    requests = b.star("orders").join(nation, "o_custkey").select(
+        F.col("o_orderkey").alias("loan_id"),
+        F.col("o_orderpriority").alias("bank_name"),
+        F.when(fault == 1, F.lit(0)).otherwise(money(F.col("o_totalprice"))).cast("decimal(14,2)").alias("principal_amount"),
+        F.when(fault == 2, F.lit(-1)).otherwise(F.col("o_custkey") % 25).cast("decimal(7,4)").alias("interest_rate"),
+        F.when(fault == 3, F.lit(0)).otherwise(6 + F.col("o_custkey") % 19).cast("int").alias("term_months"),
+        F.col("o_orderdate").cast("date").alias("start_date"),
+        F.when(fault == 4, F.lit(99)).otherwise(F.col("c_nationkey")).cast("bigint").alias("account_id"),
+    )
+    return credit.take_loans(requests, b.nation_accounts(), AS_OF)
+
+
+@query
+def loan_grants(b: StarBooks) -> DataFrame:
+    return _grants(b)["outcome"].select("loan_id", "reason_code")
+
+
+@query
+def loan_grant_balances(b: StarBooks) -> DataFrame:
+    return _grants(b)["cash_accounts"].select("account_id", "balance")
+
+
+@query
+def loan_payments_made(b: StarBooks) -> DataFrame:
+    return _instalments(b)["loan_payments"]
+
+
+@query
+def loan_schedule_marked(b: StarBooks) -> DataFrame:
+    return _instalments(b)["loan_schedule"].select("loan_id", "installment_no", "paid", "paid_at")
+
+
 @query
 def loan_instalment_outcome(b: StarBooks) -> DataFrame:
     return _instalments(b)["outcome"].select("loan_id", "installment_no", "reason_code")
