@@ -26,11 +26,16 @@ def annuity(principal: Column, rate: Column, term: Column) -> Column:
     return F.when(rate == 0, flat).otherwise(with_interest)
 
 
+#: Months that the fold of a schedule collects before it puts them aside.
+BLOCK_MONTHS = 64
+
+
 def build_schedule(loans: DataFrame) -> DataFrame:
     """Instalments of loans (loan_id, principal_amount, interest_rate, term_months, start_date).
 
     Each loan is folded month by month inside its row, so there is no shuffle. The last
-    instalment takes what is left.
+    instalment takes what is left. Months are collected in blocks: adding one to an array copies the array, so
+    one array for all months would cost the square of the term.
     """
     priced = loans.withColumn("_rate", monthly_rate(F.col("interest_rate"))).withColumn(
         "_payment", annuity(F.col("principal_amount"), F.col("_rate"), F.col("term_months"))
@@ -39,29 +44,36 @@ def build_schedule(loans: DataFrame) -> DataFrame:
     def interest_on(remaining: Column) -> Column:
         return money(F.round(remaining * F.col("_rate"), 2))
 
-    # The interest of the coming month travels in the state, so it is computed once per month.
-    start = F.struct(
-        money(F.col("principal_amount")).alias("remaining"),
-        interest_on(F.col("principal_amount")).alias("interest"),
-        F.array().cast(f"array<{row}>").alias("rows"),
-    )
+    rows, blocks = f"array<{row}>", f"array<array<{row}>>"
+
+    def state(remaining: Column, interest: Column, **lists: Column) -> Column:
+        """The interest of the coming month travels along, so it is computed once per month."""
+        return F.struct(remaining.alias("remaining"), interest.alias("interest"), *(c.alias(n) for n, c in lists.items()))
 
-    def month(state: Column, no: Column) -> Column:
-        remaining = state["remaining"]
-        part = money(F.col("_payment") - state["interest"])
+    def month(held: Column, no: Column) -> Column:
+        remaining = held["remaining"]
+        part = money(F.col("_payment") - held["interest"])
         principal = F.when((no == F.col("term_months")) | (part > remaining), remaining).otherwise(part)
         after = money(remaining - principal)
         entry = F.struct(
-            no.alias("installment_no"), principal.alias("principal_due"), state["interest"].alias("interest_due")
+            no.alias("installment_no"), principal.alias("principal_due"), held["interest"].alias("interest_due")
         )
-        return F.struct(
-            after.alias("remaining"),
-            interest_on(after).alias("interest"),
-            F.array_append(state["rows"], entry).cast(f"array<{row}>").alias("rows"),
+        return state(after, interest_on(after), rows=F.array_append(held["rows"], entry).cast(rows), blocks=held["blocks"])
+
+    def block(held: Column, first: Column) -> Column:
+        months = F.sequence(first, F.least(first + F.lit(BLOCK_MONTHS - 1), F.col("term_months")))
+        begin = state(held["remaining"], held["interest"], rows=F.array().cast(rows), blocks=held["blocks"])
+        return F.aggregate(
+            months,
+            begin,
+            month,
+            lambda s: state(s["remaining"], s["interest"], blocks=F.array_append(s["blocks"], s["rows"]).cast(blocks)),
         )
 
-    months = F.sequence(F.lit(1), F.col("term_months"))
-    plan = F.aggregate(months, start, month, lambda s: s["rows"])
+    principal = money(F.col("principal_amount"))
+    start = state(principal, interest_on(F.col("principal_amount")), blocks=F.array().cast(blocks))
+    firsts = F.sequence(F.lit(1), F.col("term_months"), F.lit(BLOCK_MONTHS))
+    plan = F.aggregate(firsts, start, block, lambda s: F.flatten(s["blocks"]))
     return priced.select("loan_id", "start_date", F.inline(plan)).select(
         "loan_id",
         "installment_no",
