@@ -124,7 +124,11 @@ class PieceSide:
 
     def _fill(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of pieces behind a space; none for those that do not come back from their ids."""
-        out = {}
+        older = self.table.older
+        out = {piece: older[piece] for piece in missing if piece in older}
+        missing = [piece for piece in missing if piece not in out]
+        for piece, ids in out.items():
+            self.table.store(piece, ids)
         for piece, ids in zip(missing, self.processor.encode(missing, num_threads=1)):
             if b"".join(map(self.bytes.__getitem__, ids)) == b" " + piece.encode():
                 out[piece] = self.table.store(piece, token_bytes(ids))

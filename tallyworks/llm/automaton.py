@@ -119,6 +119,10 @@ class TokenAutomaton:
             self.token[node] = token
 
 
+#: Table entries of an encoder, of about 300 bytes; a full table is compiled anew.
+MAX_TRANSITIONS = 400_000
+
+
 class WordEncoder:
     """Token ids of pre-split words by transitions of the determinised automaton.
 
@@ -126,7 +130,7 @@ class WordEncoder:
     token may have begun. A transition emits the ids that all entries agree on.
     """
 
-    def __init__(self, automaton: TokenAutomaton, max_transitions: int = 120_000):
+    def __init__(self, automaton: TokenAutomaton, max_transitions: int = MAX_TRANSITIONS):
         self.automaton = automaton
         self.max_transitions = max_transitions
         self._reset()
