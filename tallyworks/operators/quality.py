@@ -102,6 +102,32 @@ REFERENCES: dict[tuple[str, str], str] = {
     ("loan_payments", "schedule_id"): "loan_schedule",
 }
 
+# Primary keys; the tables that are missing here have one of several columns (see below).
+PRIMARY: dict[str, list[str]] = {
+    "suppliers": ["supplier_id"],
+    "raw_materials": ["raw_material_id"],
+    "raw_inventory": ["raw_material_id"],
+    "cash_accounts": ["account_id"],
+    "cash_movements": ["movement_id"],
+    "purchase_orders": ["purchase_id"],
+    "purchase_order_items": ["purchase_item_id"],
+    "products": ["product_id"],
+    "production_orders": ["production_order_id"],
+    "production_consumption": ["consumption_id"],
+    "finished_inventory": ["product_id"],
+    "customers": ["customer_id"],
+    "sales_orders": ["sales_id"],
+    "sales_order_items": ["sales_item_id"],
+    "departments": ["department_id"],
+    "positions": ["position_id"],
+    "employees": ["employee_id"],
+    "timesheets": ["timesheet_id"],
+    "payroll": ["payroll_id"],
+    "loans": ["loan_id"],
+    "loan_schedule": ["schedule_id"],
+    "loan_payments": ["payment_id"],
+}
+
 # Unique column lists besides single-column surrogate keys.
 UNIQUE: dict[str, list[list[str]]] = {
     "raw_materials": [["material_name"]],

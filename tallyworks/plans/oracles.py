@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from tallyworks.operators import quality
 from tallyworks.plans.queries import AS_OF, PERIOD
 from tallyworks.sources.adapters import OPENING_CASH, PAID_UNTIL
 
@@ -287,6 +288,107 @@ PARTS["card_steps"] = f"""
 _CARD_QUANTITY = "CAST(CAST(q0 AS DECIMAL(38,0)) * 0.001 AS DECIMAL(14,3))"
 _CARD_AVERAGE = "CAST(CAST(a0 AS DECIMAL(38,0)) * 0.01 AS DECIMAL(14,2))"
 
+# The audited tables, with the columns that the mappings supply.
+AUDITED: dict[str, str] = {
+    "suppliers": "SELECT s_suppkey AS supplier_id, s_name AS supplier_name FROM supplier WHERE s_acctbal >= 0",
+    "raw_materials": """SELECT p_partkey AS raw_material_id, p_name AS material_name, p_type AS unit,
+        CAST(p_size * 10 AS DECIMAL(14,3)) AS min_stock FROM part""",
+    "raw_inventory": "SELECT item AS raw_material_id, quantity, avg_cost FROM stock",
+    "cash_accounts": """SELECT c_custkey AS account_id, c_name AS account_name, balance, 'KZT' AS currency_code
+        FROM customer JOIN opening ON account_id = c_custkey""",
+    "cash_movements": """SELECT event_id AS movement_id, m.ts AS movement_date, account_id, direction, amount, event_type AS category
+        FROM moves m JOIN events ON event_id = seq""",
+    "purchase_orders": "SELECT * FROM purchases",
+    "purchase_order_items": "SELECT doc_id AS purchase_id, item AS raw_material_id, quantity, unit_price FROM items",
+    "products": """SELECT p_partkey AS product_id, p_brand AS sku, p_name AS product_name, p_type AS category,
+        CAST(p_retailprice AS DECIMAL(14,2)) AS sale_price, CAST(0 AS DECIMAL(14,2)) AS standard_cost FROM part""",
+    "bill_of_materials": "SELECT product_id, item AS raw_material_id, qty AS qty_per_unit FROM recipe",
+    "production_orders": """SELECT run AS production_order_id, product_id, order_date, quantity AS planned_qty,
+        'planned' AS status FROM runs""",
+    "production_consumption": """SELECT run AS production_order_id, item AS raw_material_id, required AS quantity, unit_cost
+        FROM needs""",
+    "finished_inventory": "SELECT item AS product_id, quantity, avg_cost FROM stock",
+    "customers": "SELECT c_custkey AS customer_id, c_name AS customer_name FROM customer",
+    "sales_orders": """SELECT o_orderkey AS sales_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS sales_date,
+        CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'draft' ELSE 'cancelled' END AS status FROM orders""",
+    "sales_order_items": """SELECT doc_id AS sales_id, item AS product_id, quantity, unit_price,
+        CAST(round(unit_price * 0.6, 2) AS DECIMAL(14,2)) AS unit_cost FROM lines""",
+    "departments": "SELECT r_regionkey AS department_id, r_name AS department_name FROM region",
+    "positions": """SELECT n_nationkey AS position_id, n_regionkey AS department_id, n_name AS position_name,
+        200000 + 10000 * n_nationkey AS base_salary FROM nation""",
+    "employees": """SELECT c_custkey AS employee_id, c_name AS full_name, c_nationkey AS position_id,
+        c_acctbal >= 0 AS is_active FROM customer""",
+    "timesheets": "SELECT * FROM timesheets",
+    "payroll": "SELECT * FROM payroll",
+    "loans": """SELECT loan_id, bank_name, start_date, principal_amount, interest_rate, term_months, 'active' AS status,
+        principal_amount AS current_principal FROM loans""",
+    "loan_schedule": f"""SELECT *, due_date <= DATE '{PAID_UNTIL}' AS paid,
+        CASE WHEN due_date <= DATE '{PAID_UNTIL}' THEN due_date END AS paid_at FROM schedule""",
+    "loan_payments": f"""SELECT loan_id, due_date AS payment_date, principal_due AS principal_paid,
+        interest_due AS interest_paid FROM schedule WHERE due_date <= DATE '{PAID_UNTIL}'""",
+}
+# Columns of the audited tables, for the names of their rules.
+AUDITED_COLUMNS: dict[str, str] = {
+    "suppliers": "supplier_id supplier_name",
+    "raw_materials": "raw_material_id material_name unit min_stock",
+    "raw_inventory": "raw_material_id quantity avg_cost",
+    "cash_accounts": "account_id account_name balance currency_code",
+    "cash_movements": "movement_id movement_date account_id direction amount category",
+    "purchase_orders": "purchase_id supplier_id order_date status received_date total_amount",
+    "purchase_order_items": "purchase_id raw_material_id quantity unit_price",
+    "products": "product_id sku product_name category sale_price standard_cost",
+    "bill_of_materials": "product_id raw_material_id qty_per_unit",
+    "production_orders": "production_order_id product_id order_date planned_qty status",
+    "production_consumption": "production_order_id raw_material_id quantity unit_cost",
+    "finished_inventory": "product_id quantity avg_cost",
+    "customers": "customer_id customer_name",
+    "sales_orders": "sales_id customer_id sales_date status",
+    "sales_order_items": "sales_id product_id quantity unit_price unit_cost",
+    "departments": "department_id department_name",
+    "positions": "position_id department_id position_name base_salary",
+    "employees": "employee_id full_name position_id is_active",
+    "timesheets": "employee_id period_month worked_days bonus deductions",
+    "payroll": "employee_id period_month gross_salary tax_amount net_salary status paid_date",
+    "loans": "loan_id bank_name start_date principal_amount interest_rate term_months status current_principal",
+    "loan_schedule": "loan_id installment_no due_date principal_due interest_due paid paid_at",
+    "loan_payments": "loan_id payment_date principal_paid interest_paid",
+}
+for _table, _select in AUDITED.items():
+    PARTS[f"audited_{_table}"] = _select
+
+
+def _audit_rules() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, count(*) AS row_count FROM audited_{table} WHERE NOT ({condition})"
+        for table, columns in AUDITED_COLUMNS.items()
+        for rule, condition in quality.conditions(table, columns.split()).items()
+    )
+
+
+def _audit_references() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{child}.{column}' AS reference, count(*) AS row_count FROM audited_{child} c
+            WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM audited_{parent} p WHERE p.{column} = c.{column})"""
+        for (child, column), parent in quality.REFERENCES.items()
+        if column in AUDITED_COLUMNS.get(child, "").split() and parent in AUDITED_COLUMNS
+    )
+
+
+def _audit_keys() -> str:
+    lists = [
+        (table, columns)
+        for table, given in AUDITED_COLUMNS.items()
+        for columns in [quality.PRIMARY.get(table, [""]), *quality.UNIQUE.get(table, [])]
+        if set(columns) <= set(given.split())
+    ]
+    return " UNION ALL ".join(
+        f"""SELECT '{table}({", ".join(columns)})' AS unique_key, count(*) AS repeated_keys,
+            CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count
+            FROM (SELECT count(*) AS n FROM audited_{table} GROUP BY {", ".join(columns)} HAVING count(*) > 1)"""
+        for table, columns in lists
+    )
+
+
 _TOTAL = "CAST(round(coalesce({}, 0), 2) AS DECIMAL(38,2))"
 _NONE = "CAST(NULL AS DECIMAL(38,5))"
 _FLOWS = f"""
@@ -565,6 +667,9 @@ _BODIES: dict[str, str] = {
     "dq_duplicate_keys": """
         SELECT l_orderkey AS purchase_id, l_partkey AS raw_material_id, count(*) AS row_count
         FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+    "dq_audit_rules": _audit_rules(),
+    "dq_audit_references": _audit_references(),
+    "dq_audit_keys": _audit_keys(),
     "dq_duplicate_names": "SELECT p_brand AS sku, count(*) AS row_count FROM part GROUP BY 1 HAVING count(*) > 1",
 }
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import line_total, money, month_start
-from tallyworks.operators import cash, credit, merge, payroll, procurement, production, quality, sales
+from tallyworks.operators import audit, cash, credit, merge, payroll, procurement, production, quality, sales
 from tallyworks.plans import reports
 from tallyworks.sources import documents
 from tallyworks.sources.adapters import PAID_UNTIL, PAYROLL_MONTHS, StarBooks
@@ -604,3 +604,35 @@ def dq_duplicate_keys(b: StarBooks) -> DataFrame:
 @query
 def dq_duplicate_names(b: StarBooks) -> DataFrame:
     return quality.duplicates(b.products(), ["sku"])
+
+
+@query
+def dq_audit_rules(b: StarBooks) -> DataFrame:
+    """Rows that break each value, state, required and length rule, over all mapped tables; payroll, schedule and
+    payments are derived."""
+    return audit.rule_counts(_audited(b))
+
+
+@query
+def dq_audit_references(b: StarBooks) -> DataFrame:
+    """Orphans of each reference between the mapped tables."""
+    return audit.reference_counts(_audited(b))
+
+
+@query
+def dq_audit_keys(b: StarBooks) -> DataFrame:
+    """Repeated values of each primary and unique key of the mapped tables."""
+    return audit.key_counts(_audited(b))
+
+
+def _audited(b: StarBooks) -> dict[str, DataFrame]:
+    needs = _needs(b).select(
+        "production_order_id", "raw_material_id", F.col("required_qty").alias("quantity"), "unit_cost"
+    )
+    return {
+        **b.arriving(),
+        "production_consumption": needs,
+        "payroll": _payroll(b),
+        "loan_schedule": _schedule(b),
+        "loan_payments": _loan_payments(b).drop("installment_no"),
+    }

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.functions.money import cents, money, month_start, quantity, total
+from tallyworks.sources.documents import PURCHASE_ITEM, item_lines
 
 # Schemas of the star-schema tables that the mappings read.
 STAR: dict[str, str] = {
@@ -290,6 +291,38 @@ class StarBooks:
             F.col("event_type").alias("category"),
         )
 
+    # all tables --------------------------------------------------------------------
+
+    def arriving(self) -> dict[str, DataFrame]:
+        """The mapped tables as they arrive, unchecked: purchase lines come from their JSON documents, runs are
+        requests, and events are movements of any amount."""
+        moves = self.event_movements().withColumnRenamed("seq", "movement_id")
+        lines = item_lines(self.purchase_pages(), PURCHASE_ITEM).withColumnRenamed("doc_id", "purchase_id")
+        runs = self.production_requests().withColumnRenamed("quantity", "planned_qty")
+        return {
+            "suppliers": self.suppliers(),
+            "raw_materials": self.raw_materials(),
+            "raw_inventory": self.raw_inventory(),
+            "cash_accounts": self.user_accounts(),
+            "cash_movements": moves,
+            "purchase_orders": self.purchase_orders(),
+            "purchase_order_items": lines,
+            "products": self.products(),
+            "bill_of_materials": self.bill_of_materials(),
+            "production_orders": runs.withColumn("status", F.lit("planned")),
+            "finished_inventory": self.finished_inventory(),
+            "customers": self.customers(),
+            "sales_orders": self.sales_orders(),
+            "sales_order_items": self.sales_order_items(),
+            "departments": self.departments(),
+            "positions": self.positions(),
+            "employees": self.employees(),
+            "timesheets": self.timesheets(),
+            "loans": self.loan_requests()
+            .withColumn("status", F.lit("active"))
+            .withColumn("current_principal", F.col("principal_amount")),
+        }
+
     # JSON documents ----------------------------------------------------------------
 
     def purchase_documents(self) -> DataFrame:

@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from demo import TODAY, tables
-from tallyworks.operators import merge, quality
+from tallyworks.operators import audit, merge, quality
 from tallyworks.schemas import TABLES
 from tallyworks.sources.tables import rows, schema_of
 
@@ -62,3 +62,29 @@ def test_upsert_and_update(spark):
     assert sorted(tuple(r) for r in changed.collect()) == [(1, 10, "a"), (2, 20, "big")]
     unknown = merge.update_where(target, F.lit(None).cast("boolean"), v=F.lit(0))
     assert sorted(r.v for r in unknown.collect()) == [10, 20]
+
+
+def test_audit_counts_every_declared_rule(spark):
+    """Counts over stacked tables equal the checks made one by one, with planted faults and without."""
+    t = tables(spark)
+    broken = dict(t)
+    broken["cash_accounts"] = t["cash_accounts"].unionByName(
+        rows(spark, "cash_accounts", [(None, "x", D(-1), "EURO")], "account_id account_name balance currency_code"), allowMissingColumns=True)
+    lines = rows(spark, "bill_of_materials", [(1, 999, D(0)), (1, 999, D(1)), (None, 999, D(1))])
+    broken["bill_of_materials"] = t["bill_of_materials"].unionByName(lines)
+    for given in (t, broken):
+        for rule, n in audit.rule_counts(given).collect():
+            name = rule.split(".")[0]
+            assert n == given[name].filter(~F.expr(quality.conditions(name, given[name].columns)[rule])).count(), rule
+        found = dict(map(tuple, audit.reference_counts(given).collect()))
+        asked = {f"{c}.{k}": (c, k, p) for (c, k), p in quality.REFERENCES.items() if c in given and p in given}
+        assert set(found) == set(asked)
+        for name, (child, column, parent) in asked.items():
+            assert found[name] == quality.orphans(given[child], column, given[parent]).count(), name
+        for label, repeated, n in audit.key_counts(given).collect():
+            name, columns = label.rstrip(")").split("(")
+            again = [r.row_count for r in quality.duplicates(given[name], columns.split(", ")).collect()]
+            assert (repeated, n) == (len(again), sum(again)), label
+    keys = {r.unique_key: tuple(r)[1:] for r in audit.key_counts(broken).collect()}
+    assert keys["bill_of_materials(product_id, raw_material_id)"] == (1, 2)
+    assert found["bill_of_materials.raw_material_id"] == 3
