@@ -163,11 +163,10 @@ def _flows(
         return kept.withColumnRenamed(date, "on_date")
 
     sold = dated(sales_orders.filter("status = 'paid'").select("sales_id", "sales_date"), "sales_date")
-    # A short period keeps few sales: joining their lines directly lets Spark broadcast the sales
-    # instead of shuffling all lines.
-    sums = _sale_lines(items) if between else _sale_sums(items)
+    # Lines are summed per sale before the exchange, so a long sale is one row a task. On large tables Spark
+    # filters the scan of lines by the kept sales at run time (a Bloom filter below the sums).
     return {
-        "sales": sold.join(sums, "sales_id").select("on_date", "revenue", "cogs"),
+        "sales": sold.join(_sale_sums(items), "sales_id").select("on_date", "revenue", "cogs"),
         "purchases": dated(purchase_orders.filter("status = 'received'"), "received_date").select(
             "on_date", F.col("total_amount").alias("purchase_expense")
         ),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.operators import acceptance, cash, merge
 from tallyworks.operators.acceptance import accept_in_order
+from tallyworks.operators.groups import connected
 from tallyworks.operators.scan import before, chunked
 from tallyworks.sources.tables import assign_keys
 
@@ -117,3 +118,39 @@ def test_running_balance(spark, split):
         at += (i + 1) if i % 3 else -(i + 1)
         want[i] = at
     assert got == want
+
+
+def test_groups_are_served_apart(spark, monkeypatch):
+    """Every item has orders of its own that bounds cannot decide: they are served in one round, as many groups."""
+    calls = []
+    plain = acceptance._served
+    monkeypatch.setattr(acceptance, "_served", lambda df: calls.append(df.select("group").distinct().count()) or plain(df))
+    needs, left, want = [], {k: D(50) for k in range(24)}, {}
+    for seq in range(24 * 16):
+        # Small orders alternate with orders just too big; big ones want a second item of their triple too.
+        k, turn = seq % 24, seq // 24
+        claim = {k: D(1)} if turn % 2 == 0 else {k: left[k] + D(1) / 2, k // 3 * 3 + (k + 1) % 3: D(1)}
+        needs += [(seq, key, n, D(50), True) for key, n in claim.items()]
+        want[seq] = all(n <= left[key] for key, n in claim.items())
+        if want[seq]:
+            for key, n in claim.items():
+                left[key] -= n
+    df = spark.createDataFrame(needs, "seq long, key long, need decimal(14,3), stock decimal(14,3), takes boolean")
+    for block in (1_000, 30):
+        calls.clear()
+        assert {r.seq: r.accepted for r in accept_in_order(df, block).collect()} == want
+        assert max(calls) == 8 and len(calls) <= 2 + len(needs) // block
+    assert len(set(want.values())) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_connected_numbers(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(130)]
+    pairs += [(500, 500), (601, 600), (600, 601)] + [(700, 700 + i) for i in range(1, 60)]
+    root = {n: n for pair in pairs for n in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.id: r.root for r in connected(spark.createDataFrame(pairs, "x long, y long"), "x", "y").collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
