@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import sys
 from collections import OrderedDict
@@ -110,21 +111,34 @@ def one_word(text: str) -> bool:
 
 
 class PieceEncoder:
-    """Ids of a piece of text by the library's tokenizer. Words of Latin letters (behind ``lead``), in
-    lower case if the vocabulary folds case, go to its model at once."""
+    """Ids of a piece of text by the library's tokenizer. What the pre-split rules leave whole for sure goes
+    to its model at once: words of Latin letters (behind ``lead``), in lower case if the vocabulary folds case,
+    and runs of printable ASCII characters of one kind."""
 
     def __init__(self, tokenizer_json: str, lead: str = "", folds_case: bool = True):
         self.tokenizer = load_tokenizer(tokenizer_json)
         self.tokenize = self.tokenizer.model.tokenize
         self.lead, self.skip, self.folds_case = lead, len(lead), folds_case
+        self.whole = (_FOLDED if folds_case else _SPACED).fullmatch
 
     def __call__(self, text: str) -> bytes:
+        if self.whole(text) and "<|" not in text:
+            return token_bytes([token.id for token in self.tokenize(text.replace(" ", _SPACE_SYMBOL))])
         word = text[self.skip :]
         if one_word(word) and text.startswith(self.lead) and not (self.folds_case and word.lower() != word):
             return token_bytes([token.id for token in self.tokenize(byte_symbols(text))])
         return token_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+# Pre-split of printable ASCII text without white space inside: lower case with single digits for the vocabulary
+# that folds case, and behind at most one space for the byte-level one. The contractions.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASCII_MARKS = r"!-/:-@\[-`{-~"
+_FOLDED = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[{_ASCII_MARKS}]+")
+_SPACED = re.compile(rf"{_CONTRACTIONS}| ?[A-Za-z]+| ?[0-9]+| ?[{_ASCII_MARKS}]+")
+_SPACE_SYMBOL = chr(BYTE_SYMBOLS[32])
+
+
 #: Marks that close a word; behind a Latin letter or a digit they always start a new piece.
 _MARKS = ".,!?;:"
 _LATIN_END = "ɐ"
@@ -147,21 +161,32 @@ class WordTable(Bounded):
 
     def __missing__(self, word: bytes):
         value = self.older.get(word)
-        return self.store(word, self._find(word) if value is None else value)
-
-    def _find(self, word: bytes):
-        core = word.lower().rstrip(_MARKS.encode())
-        if core.isalpha():  # ASCII letters
-            if len(core) < len(word):
-                return self[core] + self[word[len(core) :]]
-            return self.encode(core.decode()) if core == word else self[core]
+        if value is not None:
+            return self.store(word, value)
+        lower = word.lower()
+        if lower.isalpha():  # ASCII letters
+            return self.store(word, self.encode(word.decode())) if lower == word else self._sum(word, (lower,))
         text = word.decode()
-        lower = text.lower()
-        if max(lower) >= _LATIN_END or "<|" in text:
-            return self.encode(text)
-        if parts := _split_marks(lower):
-            return self[parts[0].encode()] + self[parts[1].encode()]
-        return self.encode(lower)
+        if "<|" in text:
+            return self.store(word, self.encode(text))
+        if text.isascii() and text.isprintable():
+            parts = _FOLDED.findall(lower.decode())
+            if len(parts) > 1:
+                return self._sum(word, [part.encode() for part in parts])
+            return self.store(word, self.encode(lower.decode())) if lower == word else self._sum(word, (lower,))
+        folded = text.lower()
+        if max(folded) < _LATIN_END and (parts := _split_marks(folded)):
+            return self._sum(word, [part.encode() for part in parts])
+        return self.store(word, self.encode(folded if max(folded) < _LATIN_END else text))
+
+    def _sum(self, word: bytes, parts):
+        """The sum of the parts' values. It is stored only if all parts were known, as a rare word is rarer still
+        in a variant."""
+        known = all(map(self.__contains__, parts))
+        first, *rest = map(self.__getitem__, parts)
+        for value in rest:
+            first = first + value
+        return self.store(word, first) if known else first
 
 
 class _Spaced(Bounded):
