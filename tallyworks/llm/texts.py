@@ -9,6 +9,7 @@ import struct
 import sys
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,25 @@ STORED_WORD = 200
 
 #: Encoders and tables that a Python worker keeps for its next tasks.
 KEPT = 4
-_KEPT: OrderedDict = OrderedDict()
+_KEPT_MODULE = "_tallyworks_kept"
 
 
 def kept(make: Callable, *args: str):
     """``make(*args)``, made once in a worker process and kept for its later tasks. Arguments are vocabularies;
-    the least recently used of more than ``KEPT`` objects goes."""
-    key = make, *(hashlib.sha256(a.encode()).digest() for a in args)
-    if key not in _KEPT:
-        while len(_KEPT) >= KEPT:
-            _KEPT.popitem(last=False)
-        _KEPT[key] = make(*args)
-    _KEPT.move_to_end(key)
-    return _KEPT[key]
+    the least recently used of more than ``KEPT`` objects goes.
+
+    This package travels to the workers by value, so its own globals are new in every task. What stays is
+    held by a module that is registered in the process.
+    """
+    holder = sys.modules.setdefault(_KEPT_MODULE, ModuleType(_KEPT_MODULE))
+    objects = holder.__dict__.setdefault("objects", OrderedDict())
+    key = make.__module__, make.__qualname__, *(hashlib.sha256(a.encode()).digest() for a in args)
+    if key not in objects:
+        while len(objects) >= KEPT:
+            objects.popitem(last=False)
+        objects[key] = make(*args)
+    objects.move_to_end(key)
+    return objects[key]
 
 
 class Bounded(dict):
@@ -51,12 +58,12 @@ class Bounded(dict):
     def store(self, word, value):
         if len(word) > STORED_WORD:
             return value
-        size = sys.getsizeof(word) + sys.getsizeof(value) + 100
-        if self.used + size > self.limit:
+        used = self.used + sys.getsizeof(word) + sys.getsizeof(value) + 100
+        if used > self.limit:
             self.older = dict(self)
             self.clear()
-            self.used = 0
-        self.used += size
+            used -= self.used
+        self.used = used
         self[word] = value
         return value
 
@@ -122,6 +129,8 @@ class PieceEncoder:
         self.whole = (_FOLDED if folds_case else _SPACED).fullmatch
 
     def __call__(self, text: str) -> bytes:
+        if text.isalpha() and text.isascii() and (text.islower() or not self.folds_case):
+            return token_bytes([token.id for token in self.tokenize(text)])
         if self.whole(text) and "<|" not in text:
             return token_bytes([token.id for token in self.tokenize(text.replace(" ", _SPACE_SYMBOL))])
         word = text[self.skip :]
@@ -182,7 +191,7 @@ class WordTable(Bounded):
     def _sum(self, word: bytes, parts):
         """The sum of the parts' values. It is stored only if all parts were known, as a rare word is rarer still
         in a variant."""
-        known = all(map(self.__contains__, parts))
+        known = all([part in self for part in parts])
         first, *rest = map(self.__getitem__, parts)
         for value in rest:
             first = first + value

@@ -4,8 +4,10 @@ import os
 import random
 import struct
 import sys
+import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -14,7 +16,7 @@ import small
 
 from tallyworks.llm import bpe, packing, token_counts, token_files
 from tallyworks.llm.automaton import TokenAutomaton, WordEncoder
-from tallyworks.llm.texts import PieceEncoder, SpacedTexts, WordTable
+from tallyworks.llm.texts import PieceEncoder, SpacedTexts, WordTable, kept
 
 
 def packed(ids):
@@ -135,3 +137,18 @@ def test_files_are_read_by_a_task_each(spark, tmp_path):
     assert len(written) > 1 and all(r.path.startswith("file:///") for r in written)
     read = token_files.read_files(files)
     assert read.rdd.getNumPartitions() == len(written) and read.count() == 60
+
+
+def test_kept_objects_outlive_a_task(spark):
+    """Later tasks of a worker find what an earlier one made: far fewer objects than tasks."""
+    def run(batches):
+        made = kept(_made, "vocabulary")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([made] * batch.num_rows)], names=["made"])
+
+    made = spark.range(0, 64, 1, 16).mapInArrow(run, "made string").distinct().count()
+    assert made <= spark.sparkContext.defaultParallelism < 16
+
+
+def _made(vocabulary: str) -> str:
+    return vocabulary + uuid.uuid4().hex
