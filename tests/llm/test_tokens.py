@@ -141,14 +141,13 @@ def test_files_are_read_by_a_task_each(spark, tmp_path):
 
 def test_kept_objects_outlive_a_task(spark):
     """Later tasks of a worker find what an earlier one made: far fewer objects than tasks."""
+    def make(vocabulary):
+        return vocabulary + uuid.uuid4().hex
+
     def run(batches):
-        made = kept(_made, "vocabulary")
+        made = kept(make, "vocabulary")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([made] * batch.num_rows)], names=["made"])
 
     made = spark.range(0, 64, 1, 16).mapInArrow(run, "made string").distinct().count()
     assert made <= spark.sparkContext.defaultParallelism < 16
-
-
-def _made(vocabulary: str) -> str:
-    return vocabulary + uuid.uuid4().hex
