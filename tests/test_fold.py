@@ -5,6 +5,8 @@ import time
 from decimal import ROUND_HALF_UP
 from decimal import Decimal as D
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyworks.operators import cash, fold, merge
@@ -200,3 +202,57 @@ def test_wide_average_bounds_cost_little(high):
             base += qty
         times.append(time.perf_counter() - start)
     assert times[1] < 20 * times[0] + 1
+
+
+@pytest.mark.parametrize("top, deposits", [(50, 0.5), (50, 0.02), (10**15, 0.3), (3, 0.9)])
+def test_runs_and_lanes_equal_single_steps(top, deposits):
+    """Blocks of rows of one key and rows of many keys at once, against the step."""
+    rng = random.Random(11)
+    amounts = [(1 if rng.random() < deposits else -1) * rng.randint(0, top) for _ in range(30_000)]
+    for opening in (0, 5 * top, -7):
+        states, results = cash.BALANCE.run(0, opening, np.array(amounts))
+        balance, want = opening, []
+        for amount in amounts:
+            balance, passed = cash._pay(0, balance, amount)
+            want.append((balance, passed))
+        assert list(zip(states.tolist(), results.tolist())) == want
+    for step, lanes, inputs in (
+        (merge.AVERAGE.step, merge.AVERAGE.lanes, [(rng.randint(0, top), rng.randint(0, top), rng.randint(0, top), rng.randint(0, 10**17)) for _ in range(500)]),
+        (merge.STOCK.step, merge.STOCK.lanes, [(rng.randint(0, top), rng.randint(0, top), rng.randint(-top, top) or 1, rng.randint(0, top)) for _ in range(500)]),
+    ):
+        got = [x.tolist() for x in lanes(*(np.array(c, np.int64) for c in zip(*inputs)))]
+        assert list(zip(*got)) == [step(*row) for row in inputs]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_blocks_carry_their_keys(monkeypatch, block):
+    """Keys of very different sizes, cut by blocks and by batches, against row by row."""
+    monkeypatch.setattr(fold, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(k, -1, 100, k, rng.randint(0, 9), rng.randint(-50, 30)) for k in range(40) for _ in range(rng.choice([1, 2, 9, 60]))]
+    want = []
+    for i, (k, _, base, state, delta, amount) in enumerate(rows):
+        base, state = (base, state) if not i or rows[i - 1][0] != k else want[-1][1:]
+        after, result = cash._pay(base, state, amount)
+        want.append((result, base + delta, after))
+    names = ["k", "_chunk", "_base", "_open", "_delta", "_signed"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 25])], names=names) for i in range(0, len(rows), 25)]
+    stream = fold._stream(names, fold._pair(cash.BALANCE), ["r", "b", "s"], with_base=True)
+    assert [tuple(r.values()) for batch in stream(iter(batches)) for r in batch.select(["r", "b", "s"]).to_pylist()] == want
+
+
+def test_stock_card_computes_its_events_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "seq long, item long, kind string, qty decimal(14,3), total_cost decimal(38,5)"
+    rows = [(i, i % 20, "issue" if i % 3 else "receipt", D(1 + i % 4), None if i % 3 else D(9)) for i in range(300)]
+    events = spark.createDataFrame(rows, schema).mapInArrow(note, schema)
+    inventory = spark.createDataFrame([], "item long, quantity decimal(14,3), avg_cost decimal(14,2)")
+    made = merge.stock_card(inventory, events, "item")
+    assert made["card"].count() == 300 and made["inventory"].count() == 20
+    assert seen.value == 300
