@@ -171,7 +171,9 @@ def pay_instalments(
     today = F.lit(as_of).cast("date")
     date = F.coalesce("payment_date", today) if "payment_date" in requests.columns else today
     keys = ["loan_id", "installment_no"]
-    marked, counted = first_requests(requests.withColumn("payment_date", date), keys)
+    marked, _ = first_requests(materialise(requests.withColumn("payment_date", date), "instalment-requests"), keys)
+    marked = materialise(marked, "instalment-firsts")
+    counted = marked.filter(F.col("seq") == F.col("_first")).drop("_first")
     plan = schedule.select(*keys, "principal_due", "interest_due", "paid")
     code = F.when(F.col("paid"), 55004).when(F.col("paid").isNull(), 55005)
     checked = materialise(counted.join(plan, keys, "left").withColumn("_code", code), "instalments")
