@@ -6,6 +6,7 @@ import pytest
 
 from demo import TODAY, tables
 from tallyworks.operators import cash, credit, payroll, procurement, production, sales
+from tallyworks.operators.acceptance import accept_in_order
 from tallyworks.sources.tables import rows
 
 AS_OF = TODAY.isoformat()
@@ -220,3 +221,43 @@ def test_credit(spark, books):
     assert {r.seq: r.reason_code for r in rest["outcome"].collect()} == {1: None, 2: None, 3: 55004}
     assert {r.loan_id: (r.status, r.current_principal) for r in rest["loans"].collect()} == {
         5: ("closed", D("0.00")), 7: ("active", D("0.02"))}
+
+
+def test_instalment_requests_are_computed_once(spark, books):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "seq long, loan_id long, installment_no int, account_id long"
+    requests = spark.createDataFrame([(1, 5, 1, 1), (2, 5, 1, 1), (3, 5, 2, 1), (4, None, 2, 1)], schema).mapInArrow(note, schema)
+    loans = spark.createDataFrame([(5, D("100.00"), D(0), 3, TODAY, "active", D("100.00"))], "loan_id long, principal_amount decimal(14,2), "
+                                  "interest_rate decimal(7,4), term_months int, start_date date, status string, current_principal decimal(14,2)")
+    plan = credit.build_schedule(loans).selectExpr("*", "false paid", "cast(null as date) paid_at")
+    paid = credit.pay_instalments(requests, loans, plan, books["cash_accounts"], AS_OF)
+    assert {r.seq: r.reason_code for r in paid["outcome"].collect()} == {1: None, 2: 55004, 3: None, 4: 55005}
+    assert seen.value == 4
+
+
+def test_sales_beyond_the_opening_stock_and_unsold_pages_are_left_early(spark, books, monkeypatch):
+    """Acceptance gets no document that the opening stock refuses; only pages of sold documents are read for items."""
+    offered = []
+
+    def accept(needs):
+        offered.extend(r.seq for r in needs.collect())
+        return accept_in_order(needs)
+
+    monkeypatch.setattr(sales, "accept_in_order", accept)
+    shelf = rows(spark, "finished_inventory", [(1, D("10"), D("3.00"))], "product_id quantity avg_cost")
+    one = '[{"product_id": 1, "quantity": %s}]'
+    pages = [(1, one % 11), (2, one % 6), (3, one % 5), (4, one % 4), (4, one % 0.5), (5, "[]"), (5, one % 11)]
+    sold = sales.create_sales(
+        spark.createDataFrame([(i, 1, 77 if i == 3 else 1) for i in range(1, 6)], "doc_id long, customer_id long, account_id long"),
+        spark.createDataFrame(pages, "doc_id long, items_json string"),
+        books["customers"], books["products"], shelf, books["cash_accounts"], AS_OF)
+    assert codes(sold["outcome"], "doc_id") == {1: 53007, 2: None, 3: 53007, 4: 53007, 5: 53007}
+    assert sorted(offered) == [2, 3, 4]
+    plan = sold["sales_order_items"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LeftSemi")  # parsed above the join
