@@ -46,7 +46,8 @@ def reference_counts(tables: dict[str, DataFrame]) -> DataFrame:
     between the given tables, also those without orphans. A reference to a table that is not given is left out.
 
     Children and parents are stacked as (parent, key) rows; each reference of a parent has a slot of its own
-    to count in, so one grouping serves as the join of them all.
+    to count in, so one grouping serves as the join of them all. Parents go by number, and slots count in
+    fixed-size fields, so that a group is short in memory.
     """
     slots: dict[str, list[str]] = {}
     asked = []
@@ -55,18 +56,19 @@ def reference_counts(tables: dict[str, DataFrame]) -> DataFrame:
             slots.setdefault(parent, []).append(f"{child}.{column}")
             asked.append((child, column, parent, len(slots[parent]) - 1))
     width = max(map(len, slots.values()))
+    numbers = {parent: i for i, parent in enumerate(slots)}
     stacked = []
     for parent in slots:
         key = _parent_key(parent)
         stacked.append(
             tables[parent].select(
-                F.lit(parent).alias("parent"), F.col(key).cast("bigint").alias("key"), F.lit(-1).alias("slot")
+                F.lit(numbers[parent]).alias("parent"), F.col(key).cast("bigint").alias("key"), F.lit(-1).alias("slot")
             )
         )
     for child in dict.fromkeys(c for c, *_ in asked):
         links = [
             F.struct(
-                F.lit(parent).alias("parent"), F.col(column).cast("bigint").alias("key"), F.lit(slot).alias("slot")
+                F.lit(numbers[parent]).alias("parent"), F.col(column).cast("bigint").alias("key"), F.lit(slot).alias("slot")
             )
             for c, column, parent, slot in asked
             if c == child
@@ -83,8 +85,8 @@ def reference_counts(tables: dict[str, DataFrame]) -> DataFrame:
     lost = keys.filter("not known").groupBy("parent").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)])
     found = lost.select("parent", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(width)])).alias("slot", "row_count"))
     names = tables[next(iter(tables))].sparkSession.createDataFrame(
-        [(parent, slot, name) for parent, names in slots.items() for slot, name in enumerate(names)],
-        "parent string, slot int, reference string",
+        [(numbers[parent], slot, name) for parent, names in slots.items() for slot, name in enumerate(names)],
+        "parent int, slot int, reference string",
     )
     return names.join(found, ["parent", "slot"], "left").select(
         "reference", F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count")

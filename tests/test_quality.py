@@ -88,3 +88,15 @@ def test_audit_counts_every_declared_rule(spark):
     keys = {r.unique_key: tuple(r)[1:] for r in audit.key_counts(broken).collect()}
     assert keys["bill_of_materials(product_id, raw_material_id)"] == (1, 2)
     assert found["bill_of_materials.raw_material_id"] == 3
+
+
+def test_audited_groups_are_short(spark):
+    """References are grouped by two numbers, so that a group takes little memory."""
+    plan = audit.reference_counts(tables(spark))._jdf.queryExecution().optimizedPlan()
+    nodes, found = [plan], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Aggregate" and node.groupingExpressions().size() == 2:
+            found.append([node.groupingExpressions().apply(i).dataType().simpleString() for i in range(2)])
+    assert found == [["int", "bigint"]]
