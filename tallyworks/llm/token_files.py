@@ -182,8 +182,8 @@ def write_files(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str,
         with files.open_output_stream(where, compression=None) as sink:
             writer = FrameWriter(sink, frame_ids)
             for batch in slices(batches):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    writer.add(doc_id, table.ids(text or "") + ending)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), table.texts(batch.column("text"))):
+                    writer.add(doc_id, ids + ending)
             writer.close()
         row = [[context.partitionId()], [path], [len(writer.ids)], [sum(writer.counts)], [writer.size]]
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _FILES_ARROW)], schema=_FILES_ARROW)

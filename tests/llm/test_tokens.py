@@ -69,6 +69,45 @@ def test_random_texts_through_small_tables():
         assert spaced.ids(text) == packed(pieces.encode(text, add_special_tokens=False).ids), text
 
 
+AWKWARD = ["the", "Hello", "it's.", "É", "İ", "é", "H\u0331", "ª", "\u0301", " ", "\n", "\x85", "\x1c", "<|endoftext|>", "<|", "!!", ",", "日本", "ß", "\r\n"]
+
+
+def test_whole_slices_equal_the_library():
+    """Words of a slice are looked up together, also beyond what the tables hold."""
+    words, pieces = small.library(small.WORDS), small.library(small.BYTES)
+    table = WordTable(PieceEncoder(small.vocabulary(small.WORDS)), 5000)
+    spaced = SpacedTexts(PieceEncoder(small.vocabulary(small.BYTES), " ", False), 5000)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(AWKWARD) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    texts += ["", None, " ", "a\n\nb\nC. d", "x" * 3000, " ".join(f"Word{'abcdefgh'[i % 8] * (i % 90)}." for i in range(2500))]
+    for low in range(0, len(texts), 500):
+        some = texts[low : low + 500]
+        column = pa.array(["left out", *some], pa.string()).slice(1)
+        assert table.texts(column) == [packed(words.encode(t or "", add_special_tokens=False).ids) for t in some]
+        assert spaced.texts(column) == [packed(pieces.encode(t or "", add_special_tokens=False).ids) for t in some]
+    assert table.texts(pa.array([], pa.string())) == spaced.texts(pa.array([], pa.string())) == []
+
+
+def test_words_of_letters_cost_no_call_each():
+    """Unseen words go to the library together: far fewer calls than words."""
+    for table, lead in ((WordTable, ""), (SpacedTexts, " ")):
+        vocabulary = small.vocabulary(small.WORDS if table is WordTable else small.BYTES)
+        encoder, calls = PieceEncoder(vocabulary, lead, table is WordTable), []
+
+        class Noted:
+            tokenizer = encoder.tokenizer
+
+            def __call__(self, text):
+                calls.append(text)
+                return encoder(text)
+
+        rng = random.Random(6)
+        text = " ".join("".join(rng.choices("abcdeö", k=9)).capitalize() + rng.choice(["", ".", ","]) for _ in range(5000))
+        [ids] = table(Noted()).texts(pa.array([text]))
+        assert ids == packed(small.library(small.WORDS if table is WordTable else small.BYTES).encode(text, add_special_tokens=False).ids)
+        assert len(calls) < 10
+
+
 def test_packing_fills_sequences_and_keeps_every_id(docs):
     library = small.library(small.WORDS)
     rows = packing.pack(docs.repartition(3), small.vocabulary(small.WORDS), 1, length=64).collect()
