@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import PieceEncoder, WordTable, kept, slices, token_bytes, utf8
+from tallyworks.llm.texts import PieceEncoder, WordTable, kept, slices, token_bytes
 from tallyworks.session import materialise
 
 LENGTH = 2048
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataF
         table = kept(_word_table, shared.value)
         part, position = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids = [b"".join(map(table.__getitem__, text.split())) + ending for text in utf8(batch.column("text"))]
+            ids = [found + ending for found in table.texts(batch.column("text"))]
             counts = np.array([len(x) >> 2 for x in ids], dtype=np.int64)
             starts = position + np.cumsum(counts) - counts
             position += int(counts.sum())
