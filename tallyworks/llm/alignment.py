@@ -15,18 +15,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.texts import BYTE_SYMBOLS, TABLE_BYTES, Bounded, PieceEncoder, SpacedTexts, kept, slices, token_bytes
+from tallyworks.llm.texts import BYTE_SYMBOLS, TABLE_BYTES, Bounded, LetterTable, PieceEncoder, Pieces, SpacedTexts, kept, slices, token_bytes
 from tallyworks.session import materialise
 
 #: Rows of the broadcast table of pairs: 13 bytes each.
 HEAD_PAIRS = 1 << 19
 
+#: Bytes of text whose pieces are looked up together; ids, links and tables of two sides stand beside them.
+SLICE_BYTES = 2 << 20
+
 #: Distinct pairs that a counting task holds before it sends them on.
 HELD_PAIRS = 1 << 21
 
@@ -86,6 +90,7 @@ class ByteSide:
         self.encoder.tokenizer.encode_special_tokens = True
         self.table = SpacedTexts(self.encoder)
         self.table.inner.encode = self._ids_of
+        self.table.letters.encode = self._ids_of_words
         self.exact = True
         vocabulary = json.loads(tokenizer_json)["model"]["vocab"]
         back = {chr(symbol): byte for byte, symbol in BYTE_SYMBOLS.items()}
@@ -94,17 +99,28 @@ class ByteSide:
             if all(c in back for c in text):
                 self.bytes[token] = bytes(back[c] for c in text)
 
-    def ids(self, text: str) -> tuple[bytes, bool]:
-        """Ids, and whether they are known to give the text back."""
-        found = self.table.plain_ids(text)
-        return (self.table.ids(" " + text), False) if found is None else (found, self.exact)
+    def found(self, pieces: Pieces) -> tuple[list[bytes | None], bool]:
+        """Ids of every text, None where pieces cannot be told apart, and whether ids are known to give the text back."""
+        return pieces.joined(self.table.behind_space(pieces.distinct)), self.exact
+
+    def ids(self, text: str) -> bytes:
+        return self.table.ids(" " + text)
 
     def _ids_of(self, piece: str) -> bytes:
         ids = self.encoder(piece)
-        if b"".join(self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()) != piece.encode():
-            self.exact = False  # from now on every text is compared
+        self._compare(ids, piece)
         return ids
 
+    def _ids_of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of words behind a space."""
+        ids = LetterTable.encode(self.table.letters, words)
+        self._compare(ids.buffers()[2] or b"", "".join([" " + word for word in words.to_pylist()]))
+        return ids
+
+    def _compare(self, ids, text: str) -> None:
+        if b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]) != text.encode():
+            self.exact = False  # from now on every text is compared
+
 
 class PieceSide:
     """Tokens of a sentencepiece model, which puts a space in front itself."""
@@ -134,17 +150,18 @@ class PieceSide:
                 out[piece] = self.table.store(piece, token_bytes(ids))
         return out
 
-    def ids(self, text: str) -> tuple[bytes, bool]:
-        """Ids, and whether they are known to give the text back."""
-        pieces = text.split(" ")
-        if self.cuts and "" not in pieces and "▁" not in text:
-            found = list(map(self.table.get, pieces))
-            if None in found:
-                extra = self._fill(list({p for p, ids in zip(pieces, found) if ids is None}))
-                found = [extra.get(p) if ids is None else ids for p, ids in zip(pieces, found)]
-            if None not in found:
-                return b"".join(found), True
-        return token_bytes(self.processor.encode(text, num_threads=1)), False
+    def found(self, pieces: Pieces) -> tuple[list[bytes | None], bool]:
+        """Ids of every text, None where text between spaces is not encoded by itself, and that they give the text back."""
+        if not self.cuts:
+            return [None] * (len(pieces.bounds) - 1), True
+        told = pieces.distinct.to_pylist()
+        ids = list(map(self.table.get, told))
+        extra = self._fill([p for p, known in zip(told, ids) if known is None and p and "▁" not in p])
+        values = [extra.get(p) if known is None else known for p, known in zip(told, ids)]
+        return pieces.joined(pa.array(values, pa.large_binary())), True
+
+    def ids(self, text: str) -> bytes:
+        return token_bytes(self.processor.encode(text, num_threads=1))
 
 
 class Aligner:
@@ -160,16 +177,22 @@ class Aligner:
             for side, marks in ((self.a, ",|"), (self.b, ",;"))
         ]
 
-    def __call__(self, text: str) -> tuple | None:
-        """(tokens of A, tokens of B, groups, links, group text, pairs), None if a side does not give the text back."""
-        if not text:
-            return None
+    def texts(self, column: pa.Array) -> Iterator[tuple | None]:
+        """Of every text (tokens of A, tokens of B, groups, links, group text, pairs), None if a side does not give it back."""
+        column = column.fill_null("")
+        pieces = Pieces(column)
+        (a, exact_a), (b, exact_b) = (side.found(pieces) for side in (self.a, self.b))
+        for text, ids_a, ids_b in zip(column, a, b):
+            text = text.as_py()
+            yield self._aligned(text, [(ids_a, exact_a), (ids_b, exact_b)]) if text else None
+
+    def _aligned(self, text: str, known: list[tuple[bytes | None, bool]]) -> tuple | None:
         whole = b" " + text.encode()
         found = []
-        for side, lengths in zip((self.a, self.b), self.lengths):
-            ids, known = side.ids(text)
-            ids = np.frombuffer(ids, "<u4")
-            if not known and b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole:
+        for side, lengths, (ids, exact) in zip((self.a, self.b), self.lengths, known):
+            exact = exact and ids is not None
+            ids = np.frombuffer(side.ids(text) if ids is None else ids, "<u4")
+            if not exact and b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole:
                 return None
             found.append((ids, np.cumsum(lengths[ids])))
         (a, ends_a), (b, ends_b) = found
@@ -213,10 +236,10 @@ def align_documents(docs: DataFrame, byte_json: str, piece_model: bytes, digest:
 
     def run(batches):
         aligner = kept(Aligner, *shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             rows = []
-            for text in batch.column("text").to_pylist():
-                found = aligner(text or "") or (0, 0, 0, 0, "", b"")
+            for found in aligner.texts(batch.column("text")):
+                found = found or (0, 0, 0, 0, "", b"")
                 if digest and found[0]:
                     found = (*found[:4], hashlib.sha256(found[4].encode()).hexdigest(), found[5])
                 rows.append(found)

@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against the libraries and a plain version."""
 
+import base64
 import hashlib
 import os
 import random
@@ -7,6 +8,7 @@ import sys
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -116,6 +118,20 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert alignment.linked(docs.limit(0), small.vocabulary(small.BYTES), MODEL).count() == 0
 
 
+def test_pieces_of_a_slice_are_looked_up_together():
+    """Every distinct piece once a slice, with the results of text by text."""
+    aligner = alignment.Aligner(small.vocabulary(small.BYTES), base64.b64encode(MODEL).decode())
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Haus", "unter.", "x1", "déjà", "a\nB", "日本", "na-na"]) for _ in range(9)) for _ in range(60)] + EXTRA + ["", None]
+    calls, fill = [], aligner.b._fill
+    aligner.b._fill = lambda missing: calls.append(missing) or fill(missing)
+    rows = list(aligner.texts(pa.array([None, *texts], pa.string()).slice(1)))
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0])
+    for r, want in zip(rows, brute(texts), strict=True):
+        found = (*r[:4], hashlib.sha256(r[4].encode()).hexdigest()) if r else (0, 0, 0, 0, "")
+        assert found == (*want[:4], want[-1])
+
+
 def test_runs_are_skipped_exactly():
     rng = random.Random(2)
     for _ in range(400):
