@@ -115,7 +115,9 @@ def links(table: DataFrame, most: int = MOST) -> DataFrame:
     other = filed.select("cell", F.col("fp").alias("other"), F.col("far").alias("other_far"))
     near = F.greatest(*(_far_apart(i) for i in range(_SPREAD))) <= most
     same = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= most
-    pairs = filed.join(other, "cell").filter((F.col("fp") < F.col("other")) & near & same)
+    # An explode is sized by the rows in front of it, so Spark would send a table of some MB, thirty times as large
+    # by then, through the driver; a merge join keeps it in the tasks.
+    pairs = filed.join(other.hint("merge"), "cell").filter((F.col("fp") < F.col("other")) & near & same)
     return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 

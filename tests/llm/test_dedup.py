@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -41,6 +42,13 @@ def test_links_lose_no_pair(spark):
     assert found == want and want
 
 
+def test_filed_fingerprints_stay_in_the_tasks(spark):
+    """A fingerprint is filed in some thirty cells, which Spark counts as one: however small it takes the table for, it is not broadcast."""
+    table = simhash.distance_table(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    text = simhash.links(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     rows = components.components(spark.createDataFrame(links, "a long, b long"), "test").collect()
