@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", "text_key", hexed, "component_id")
+    # Copies shrink the file of fingerprints, by which Spark would take their table for small enough to send around.
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "text_key", hexed, "component_id")
 
 
 def without_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -74,3 +75,10 @@ def test_large_groups_of_copies(spark):
 def test_empty_table(spark, tmp_path):
     small.documents(spark, [], repeat=False).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_sends_no_row_of_every_document_around(spark):
+    """The file of fingerprints is small where texts repeat; its rows stay in the tasks all the same."""
+    docs = spark.range(50).selectExpr("id as doc_id", "'a b c d' as text", "'en' as lang", "'s' as source", "7L as n_chars")
+    text = corpus_pipeline.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin(\(\w+=\w+\))? \[fp#", text) and not re.search(r"BroadcastHashJoin \[fp#\w+\], \[fp#\w+\], Inner", text)
