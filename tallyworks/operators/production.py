@@ -14,14 +14,18 @@ from tallyworks.session import materialise
 
 def explode_recipe(requests: DataFrame, bill_of_materials: DataFrame, raw_inventory: DataFrame) -> DataFrame:
     """Material needs of runs (production_order_id, product_id, quantity): required_qty,
-    unit_cost (the current average, 0 without a stock row) and stock_qty. A need beyond its column is null."""
+    unit_cost (the current average, 0 without a stock row) and stock_qty. A need beyond its column is null.
+
+    Recipes and stock are merged, never broadcast: their rows grow with the products, and Spark sizes them by files
+    that hold a few bytes for a row.
+    """
     stock = raw_inventory.select(
         "raw_material_id", F.col("quantity").alias("stock_qty"), F.col("avg_cost").alias("_avg")
     )
     return (
         requests.select("production_order_id", "product_id", "quantity")
-        .join(bill_of_materials, "product_id")
-        .join(stock, "raw_material_id", "left")
+        .join(bill_of_materials.hint("merge"), "product_id")
+        .join(stock.hint("merge"), "raw_material_id", "left")
         .select(
             "production_order_id",
             "product_id",

@@ -43,3 +43,12 @@ def test_monthly_report_computes_each_source_once(spark):
     # lines are scanned once for sales and once for purchases, events once for timesheets
     assert len(re.findall(r"ReadSchema: struct<l_orderkey", text)) == 2
     assert len(re.findall(r"ReadSchema: struct<ts:", text)) == 1
+
+
+def test_audit_broadcasts_no_table_that_grows(spark):
+    """Files hold few bytes for a row, so tables of many million rows look small: only the one of positions may be sent around."""
+    text = queries.QUERIES["dq_audit_references"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    joins = [(kind, keys) for kind, keys in re.findall(r"(\w+Join)(?:\(\w+=\w+\))? \[([^\]]*)\]", text)]
+    assert {re.sub(r"#\d+L?", "", keys) for kind, keys in joins if kind.startswith("Broadcast")} <= {"position_id", "parent, slot"}
+    for key in ("purchase_id", "product_id", "raw_material_id", "employee_id"):
+        assert any(kind == "SortMergeJoin" and keys.startswith(key) for kind, keys in joins), key
