@@ -234,3 +234,14 @@ def test_texts_are_kept_as_short_ids():
         assert {t["word"]: t["times"] for t in row["tail"]} == Counter(lm_scoring.key_of(w) for w in found if w != b"a")
         assert (row["n_tokens"], row["n_known"]) == (len(found) + 1, found.count(b"a") + 1)
         assert math.isclose(row["base"], found.count(b"a") * math.log10(0.31) + math.log10(0.41))
+
+
+def test_four_thousand_tokens_have_places_of_their_own():
+    """The model reads and predicts each of them by itself, not as one of the others by its count alone."""
+    vocabulary = attention.Vocabulary(np.arange(1, 4001))
+    assert len(set(vocabulary.place.tolist())) == 4000 and not vocabulary.inside.any()
+    weights = attention.start(vocabulary)
+    rare = [vocabulary.place[[5, 1500]], vocabulary.place[[1500, 5]]]
+    grads = attention.gradients(weights, *attention.windows(rare, 0, 1))[2]
+    assert np.abs(grads["vectors"][vocabulary.place[[5, 1500]]]).sum(axis=1).all()
+    assert grads["token_bias"].reshape(-1)[vocabulary.place[[5, 1500]]].all()
